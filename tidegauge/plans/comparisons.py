@@ -156,12 +156,11 @@ def symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     "cross_compare",
     """WITH c AS (
-  SELECT o_orderpriority AS config, o_orderstatus AS op, o_custkey % 2 AS client,
-         CASE WHEN o_orderpriority = '1-URGENT' AND o_custkey % 2 = 1 AND o_orderstatus = 'F' THEN 0.0
-              ELSE CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) END AS v
-  FROM orders GROUP BY ALL),
+  SELECT config, op, client, CASE WHEN config = '1-URGENT' AND client = 1 AND op = 'F' THEN 0.0 ELSE v END AS v FROM (
+    SELECT o_orderpriority AS config, o_orderstatus AS op, o_custkey % 2 AS client,
+           CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM orders GROUP BY 1, 2, 3)),
 s AS (
-  SELECT config, op, max(v) AS single, count(nullif(v, 0)) AS n, sum(nullif(v, 0)) AS total FROM c GROUP BY ALL),
+  SELECT config, op, max(v) AS single, count(nullif(v, 0)) AS n, sum(nullif(v, 0)) AS total FROM c GROUP BY config, op),
 r AS (
   SELECT config, op, CASE WHEN config IN ('1-URGENT', '2-HIGH') THEN CASE WHEN n = 2 THEN total END
                           ELSE single END AS v FROM s)

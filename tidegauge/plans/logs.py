@@ -220,7 +220,7 @@ SELECT o_orderkey AS job, 'READ' AS op, CAST(round(cents / 1e6) AS BIGINT) AS bw
   CASE WHEN o_orderstatus = 'P' THEN 0 ELSE CAST(round(o_totalprice) AS BIGINT) END AS iops,
   CAST(round((o_custkey * 1500 + 500) / 1000) AS BIGINT) AS p99_us, o_custkey AS p50_ns FROM o
 UNION ALL
-SELECT o_orderkey, 'WRITE', CASE WHEN o_orderstatus = 'F' THEN 0 ELSE CAST(round(cents / 2e6) AS BIGINT) END,
+SELECT o_orderkey, 'WRITE', CASE WHEN o_orderstatus = 'F' THEN 0 ELSE CAST(round((cents // 2) / 1e6) AS BIGINT) END,
   0, 0, NULL FROM o""",
 )
 def fio_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +236,7 @@ def fio_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("percentile")
         ).alias("clat_ns"),
     )
-    # half of the read figure, in whole bytes, so that rounding stays the same
-    write = F.when(F.col("o_orderstatus") != "F", F.struct((F.col("cents") / 2).alias("bw_bytes")))
+    write = F.when(F.col("o_orderstatus") != "F", F.struct(F.floor(F.col("cents") / 2).alias("bw_bytes")))
     text = F.to_json(F.struct(F.array(F.struct(read.alias("read"), write.alias("write"))).alias("jobs")))
     docs = o.select("o_orderkey", F.from_json(text, RESULT_SCHEMA).alias("doc")).select("o_orderkey", "doc.jobs")
     rows = fio_rows(docs, "o_orderkey")
@@ -327,7 +326,8 @@ def training_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     "memory_lines",
     f"""WITH {IO}
 SELECT CAST(label AS VARCHAR) AS label, seq, CAST(w AS BIGINT) AS hwm_mib, CAST(w AS BIGINT) * 2 AS used_mib,
-  TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (sum(back) OVER (PARTITION BY label ORDER BY seq)) + CAST(ts AS TIME)::INTERVAL AS at
+  TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * CAST(sum(back) OVER (PARTITION BY label ORDER BY seq) AS INTEGER)
+    + (date_trunc('second', ts) - date_trunc('day', ts)) AS at
 FROM (SELECT *, CASE WHEN date_trunc('second', ts)::TIME < date_trunc('second', lag(ts) OVER
   (PARTITION BY label ORDER BY seq))::TIME THEN 1 ELSE 0 END AS back FROM io)""",
 )

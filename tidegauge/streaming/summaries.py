@@ -23,11 +23,15 @@ from tidegauge.session import shared_dir
 def read_sample_stream(
     spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Parquet files of typed samples as they arrive."""
+    """Parquet files of typed samples as they arrive.
+
+    The path is given as a pattern of itself, since a stream takes a single
+    file only from a pattern; a folder is read the same way.
+    """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def _timed(sdf: DataFrame, ts: str, watermark: str) -> DataFrame:
