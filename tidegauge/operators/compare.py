@@ -56,7 +56,7 @@ def battery_report(
     )
     grid = results.select(*by).distinct().select(*by, F.inline(rows))
     one = results.groupBy(*by, test, op).agg(F.max(value).alias(value))
-    return join_on(grid, one, by + [test, op]).orderBy(*by, "ord")
+    return join_on(grid, one, by + [test, op], null_safe=True).orderBy(*by, "ord")
 
 
 def pair_clients(
@@ -120,18 +120,18 @@ def join_spec(
     spec: DataFrame,
     on: str | Sequence[str],
     spread_by: str | Sequence[str] | None = None,
-    rows_per_split: int = 2_000_000,
+    hot_rows: int = 10_000_000,
 ) -> DataFrame:
     """Measure next to its denominator; ``spec`` has one row per key.
 
     A small ``spec`` is broadcast by Spark on its size. With ``spread_by``, hot
-    keys of a larger one are split.
+    keys of a larger one come by broadcast and the join stays even.
     """
     on = as_list(on)
     if spread_by is None:
         return join_on(df, spec, on)
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    return attach(df, join_on(counts, spec, on), on, spread_by, "_rows", rows_per_split=rows_per_split)
+    return attach(df, join_on(counts, spec, on), on, spread_by, "_rows", hot_rows)
 
 
 def within(actual: Column, lo: Column, hi: Column, tol_pct: Column | None = None) -> Column:
@@ -234,22 +234,26 @@ def pct_of_level(
     return df.withColumn("pct_of_level", F.try_divide(v, ref) * 100)
 
 
-def constant_across(df: DataFrame, key: str | Sequence[str], col: str) -> DataFrame:
-    """Whether all rows of a key carry the same non-missing text.
+def _distinct_texts(df: DataFrame, key: Sequence[str], text: Column) -> DataFrame:
+    """Rows per (key, text). Hash-aggregated, so repeated texts collapse in
+    every task before the few that remain are compared."""
+    return df.groupBy(*key, text.alias("_text")).agg(F.count(F.lit(1)).alias("_n"))
 
-    Compares smallest and largest value, so no distinct set is built.
-    """
-    text = F.col(col).cast("string")
+
+def constant_across(df: DataFrame, key: str | Sequence[str], col: str) -> DataFrame:
+    """Whether all rows of a key carry the same non-missing text."""
+    key = as_list(key)
     return (
-        df.groupBy(*as_list(key))
+        _distinct_texts(df, key, F.col(col).cast("string"))
+        .groupBy(*key)
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count(text).alias("_present"),
-            F.min(text).alias("low"),
-            F.max(text).alias("high"),
+            F.sum("_n").alias("n"),
+            F.max(F.col("_text").isNull()).alias("_gap"),
+            F.min("_text").alias("low"),
+            F.max("_text").alias("high"),
         )
-        .withColumn("is_constant", (F.col("_present") == F.col("n")) & F.col("low").eqNullSafe(F.col("high")))
-        .drop("_present")
+        .withColumn("is_constant", ~F.col("_gap") & F.col("low").eqNullSafe(F.col("high")))
+        .drop("_gap")
     )
 
 
@@ -257,13 +261,15 @@ def replica_agreement(
     df: DataFrame, key: str | Sequence[str], host: str, target: str, hosts: int = 2, missing: str = "MISSING"
 ) -> DataFrame:
     """Whether all hosts resolve a key to the same target; one row per host."""
-    t = F.nullif(F.col(target).cast("string"), F.lit(missing))
+    key = as_list(key)
+    found = df.filter(F.col(host).isNotNull())
     return (
-        df.groupBy(*as_list(key))
+        _distinct_texts(found, key, F.nullif(F.col(target).cast("string"), F.lit(missing)))
+        .groupBy(*key)
         .agg(
-            F.count(F.when(F.col(host).isNotNull(), t)).alias("n_targets"),
-            F.min(t).alias("low"),
-            F.max(t).alias("high"),
+            F.sum(F.when(F.col("_text").isNotNull(), F.col("_n")).otherwise(F.lit(0))).alias("n_targets"),
+            F.min("_text").alias("low"),
+            F.max("_text").alias("high"),
         )
         .withColumn("agree", (F.col("n_targets") == hosts) & F.coalesce(F.col("low") == F.col("high"), F.lit(False)))
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.text import EVENT_PATTERNS, MEM_PATTERN, event_fields, kinds_of, mem_extracts
-from tidegauge.functions.units import epoch_us, exact_sum
-from tidegauge.operators.spread import as_list, attach, carry_last, join_on, rank_cut
+from tidegauge.functions.units import bin_of, epoch_us, exact_sum
+from tidegauge.operators.spread import as_list, attach, join_on, rank_cut
 
 
 def event_lines(df: DataFrame, line: str, patterns: Mapping[str, str] = EVENT_PATTERNS) -> DataFrame:
@@ -79,7 +79,7 @@ def hot_cold(
     run: str,
     step: str,
     secs: str,
-    rows_per_split: int = 2_000_000,
+    hot_rows: int = 10_000_000,
 ) -> DataFrame:
     """First checkpoint of a run is hot, later ones cold; ratio to the first."""
     firsts = df.groupBy(run).agg(
@@ -87,7 +87,7 @@ def hot_cold(
         F.min_by(secs, step).alias("_first_secs"),
         F.count(F.lit(1)).alias("_rows"),
     )
-    both = attach(df, firsts, run, step, "_rows", rows_per_split=rows_per_split)
+    both = attach(df, firsts, run, step, "_rows", hot_rows)
     return (
         both.withColumn("regime", F.when(F.col(step) == F.col("_first_step"), "hot").otherwise("cold"))
         .withColumn("ratio", F.try_divide(F.col(secs).cast("double"), F.col("_first_secs").cast("double")))
@@ -122,14 +122,27 @@ def slowdown_tail(
 ) -> DataFrame:
     """Throughput in the ``n_steps`` steps after a checkpoint against the rest.
 
-    ``step`` is a whole number, unique per run.
+    ``step`` is a whole number, unique per run. Runs are cut into ranges of
+    ``span`` steps. A checkpoint reaches no further than the next range, so its
+    row goes to both and every range is decided by itself.
     """
-    seen = carry_last(df, run, step, F.when(is_checkpoint, F.col(step)), "_ckpt", span)
-    since = F.col(step) - F.col("_ckpt")
-    tail = F.coalesce((since >= 1) & (since <= n_steps), F.lit(False))
-    value = F.col(tps)
+    if n_steps > span:
+        raise ValueError("span must be at least n_steps")
+    laid = (
+        df.select(run, F.col(step).alias("_step"), is_checkpoint.alias("_is_ckpt"), F.col(tps).alias("_tps"))
+        .withColumn("_here", bin_of("_step", span))
+        .withColumn(
+            "_range",
+            F.explode(F.when(F.col("_is_ckpt"), F.array("_here", F.col("_here") + 1)).otherwise(F.array("_here"))),
+        )
+    )
+    upto = Window.partitionBy(run, "_range").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_is_ckpt"), F.col("_step")), ignorenulls=True).over(upto)
+    rows = laid.withColumn("_since", F.col("_step") - last).filter(F.col("_range") == F.col("_here"))
+    tail = F.coalesce(F.col("_since").between(1, n_steps), F.lit(False))
+    value = F.col("_tps")
     return (
-        seen.withColumn("_tail", tail)
+        rows.withColumn("_tail", tail)
         .groupBy(run)
         .agg(
             F.count(F.when(F.col("_tail"), value)).alias("tail_n"),

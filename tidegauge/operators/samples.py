@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.units import bin_of, epoch_us, exact_sum
-from tidegauge.operators.spread import as_list, flag_first, join_on
+from tidegauge.functions.units import bin_of, epoch_us, exact_sum, whole_units
+from tidegauge.operators.spread import as_list, flag_first
 
 
 def on_device(df: DataFrame, device: str | None, match: str = "exact", col: str = "device") -> DataFrame:
@@ -133,81 +133,86 @@ def bursts(
     """Runs of samples no more than ``gap_seconds`` apart, as one row each.
 
     1. Samples within one gap-wide slot always belong together, so they are
-       aggregated per (log, slot) before anything is shuffled.
+       aggregated per (log, slot) before anything is gathered.
     2. Runs are found inside ranges of ``span`` slots: at most ``span`` rows.
-    3. One edge row per range tells whether its first run continues the last
-       run of the range before; continued runs take that run's start.
-    4. Runs are aggregated by (log, start).
+    3. A run inside a range is done. Only the first and the last run of a range
+       can go on in its neighbours; these, at most two rows per range, are
+       chained along the log and aggregated once more.
     """
     by = as_list(by)
     gap = gap_seconds * 1_000_000
-    total = F.col(r) + F.col(w)
-    parts = {
-        "_n": (F.count(F.lit(1)), F.sum),
-        "_r": (_part_sum(r, decimals), F.sum),
-        "_w": (_part_sum(w, decimals), F.sum),
-        "peak_r": (F.max(r), F.max),
-        "peak_w": (F.max(w), F.max),
-        "peak_rw": (F.max(total), F.max),
-    }
-
-    def merged(start: str, end: str) -> list[Column]:
-        return [F.min(start).alias("_s"), F.max(end).alias("_e")] + [
-            again(c).alias(c) for c, (_, again) in parts.items()
+    unit = 0 if decimals is None else decimals
+
+    def part_sum(col: str) -> Column:
+        return F.sum(F.col(col).cast("double")) if decimals is None else F.sum(whole_units(col, unit))
+
+    def merge_sum(col: str) -> Column:
+        return F.sum(col) if decimals is None else F.sum(F.col(col).cast("decimal(38,0)"))
+
+    def mean(col: str) -> Column:
+        return F.col(col).cast("double") / F.lit(float(10**unit)) / F.col("n")
+
+    peaks = ["peak_r", "peak_w", "peak_rw"]
+
+    def merged() -> list[Column]:
+        return [
+            F.min("_s").alias("_s"),
+            F.max("_e").alias("_e"),
+            F.sum("n").alias("n"),
+            merge_sum("_r").alias("_r"),
+            merge_sum("_w").alias("_w"),
+            *[F.max(c).alias(c) for c in peaks],
         ]
 
+    def opens(w) -> Column:
+        return F.coalesce(F.col("_s") - F.lag("_e").over(w) > gap, F.lit(True)).cast("int")
+
     slots = (
         df.withColumn("_us", epoch_us(ts))
         .groupBy(*by, bin_of("_us", gap).alias("_slot"))
-        .agg(F.min("_us").alias("_s"), F.max("_us").alias("_e"), *[first.alias(c) for c, (first, _) in parts.items()])
+        .agg(
+            F.min("_us").alias("_s"),
+            F.max("_us").alias("_e"),
+            F.count(F.lit(1)).alias("n"),
+            part_sum(r).alias("_r"),
+            part_sum(w).alias("_w"),
+            F.max(r).alias("peak_r"),
+            F.max(w).alias("peak_w"),
+            F.max(F.col(r) + F.col(w)).alias("peak_rw"),
+        )
         .withColumn("_range", bin_of("_slot", span))
     )
     inside = Window.partitionBy(*by, "_range").orderBy("_slot")
-    opens = F.coalesce(F.col("_s") - F.lag("_e").over(inside) > gap, F.lit(True))
     runs = (
-        slots.withColumn("_open", opens.cast("int"))
+        slots.withColumn("_open", opens(inside))
         .withColumn("_run", F.sum("_open").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*by, "_range", "_run")
-        .agg(*merged("_s", "_e"))
+        .withColumn("_runs", F.max("_run").over(Window.partitionBy(*by, "_range")))
+        .groupBy(*by, "_range", "_runs", "_run")
+        .agg(*merged())
     )
-    across = Window.partitionBy(*by).orderBy("_range")
-    edges = (
-        runs.groupBy(*by, "_range")
-        .agg(
-            F.min("_s").alias("_head"),
-            F.max("_e").alias("_tail"),
-            F.max("_s").alias("_tail_start"),
-            F.count(F.lit(1)).alias("_runs"),
-        )
-        .withColumn("_joined", F.coalesce(F.col("_head") - F.lag("_tail").over(across) <= gap, F.lit(False)))
-        .withColumn("_anchor", F.when((F.col("_runs") > 1) | ~F.col("_joined"), F.col("_tail_start")))
-        .withColumn(
-            "_origin",
-            F.last("_anchor", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)),
-        )
-        .filter("_joined")
-        .select(*by, "_range", F.lit(1).cast("bigint").alias("_run"), "_origin")
+    edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_runs"))
+    along = Window.partitionBy(*by).orderBy("_range", "_run")
+    chained = (
+        runs.filter(edge)
+        .withColumn("_open", opens(along))
+        .withColumn("_chain", F.sum("_open").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*by, "_chain")
+        .agg(*merged())
+        .drop("_chain")
     )
-    linked = join_on(runs, edges, by + ["_range", "_run"])
-    whole = linked.groupBy(*by, F.coalesce("_origin", "_s").alias("_start")).agg(*merged("_s", "_e"))
+    whole = runs.filter(~edge).drop("_range", "_runs", "_run").unionByName(chained)
     kind = df.schema[ts].dataType
     return whole.select(
         *by,
         F.timestamp_micros("_s").cast(kind).alias("burst_start"),
         F.timestamp_micros("_e").cast(kind).alias("burst_end"),
-        F.col("_n").alias("n"),
-        (F.col("_r").cast("double") / F.col("_n")).alias("mean_r"),
-        (F.col("_w").cast("double") / F.col("_n")).alias("mean_w"),
-        "peak_r",
-        "peak_w",
-        "peak_rw",
+        "n",
+        mean("_r").alias("mean_r"),
+        mean("_w").alias("mean_w"),
+        *peaks,
     )
 
 
-def _part_sum(col: str, decimals: int | None) -> Column:
-    return F.sum(F.col(col).cast("double" if decimals is None else f"decimal(18,{decimals})"))
-
-
 # Rate bands of the published burst signatures, MB/s.
 BURST_BANDS = (
     ("pure write", "peak_w", 1000.0, 1700.0, "checkpoint, cache hot"),

@@ -21,19 +21,30 @@ def as_list(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
-    """Null-safe equality of column pairs (still an equi-join for Spark)."""
-    return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
+def same_keys(
+    left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], null_safe: bool = False
+) -> Column:
+    """Equality of column pairs; null-safe equality is still an equi-join."""
+    return reduce(
+        lambda a, b: a & b,
+        [left[a].eqNullSafe(right[b]) if null_safe else left[a] == right[b] for a, b in pairs],
+    )
+
 
+def join_on(
+    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", null_safe: bool = False
+) -> DataFrame:
+    """Equi-join that keeps the key columns of ``left``.
 
-def join_on(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe equi-join that keeps the key columns of ``left``."""
+    Without ``null_safe`` a side that is already partitioned by the keys is not
+    shuffled again.
+    """
     on = as_list(on)
     renamed = right.select(
         *[F.col(c).alias(f"_on_{c}") for c in on],
         *[F.col(c) for c in right.columns if c not in on],
     )
-    joined = left.join(renamed, same_keys(left, renamed, [(c, f"_on_{c}") for c in on]), how)
+    joined = left.join(renamed, same_keys(left, renamed, [(c, f"_on_{c}") for c in on], null_safe), how)
     return joined.drop(*[f"_on_{c}" for c in on])
 
 
@@ -44,12 +55,15 @@ def flag_first(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str
     joined on group *and* order, so the join spreads a hot group evenly.
     """
     by, order = as_list(by), as_list(order)
-    firsts = (
-        df.groupBy(*by)
-        .agg(F.min(F.struct(*order)).alias("_first"))
-        .select(*by, *[F.col(f"_first.{c}").alias(c) for c in order], F.lit(True).alias("_hit"))
+    # a plain column keeps the aggregation on hashes; a struct needs a sort
+    first = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    smallest = df.groupBy(*by).agg(F.min(first).alias("_first"))
+    parts = ["_first"] if len(order) == 1 else [f"_first.{c}" for c in order]
+    firsts = smallest.select(
+        *by, *[F.col(p).alias(c) for p, c in zip(parts, order)], F.lit(True).alias("_hit")
     )
-    return join_on(df, firsts, by + order).withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
+    flagged = join_on(df, firsts, by + order, null_safe=True)
+    return flagged.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def rank_cut(
@@ -92,7 +106,7 @@ def carry_last(
 
     ``order`` is a whole number, unique per group, so a range of ``span`` order
     values holds at most ``span`` rows. Values are carried inside ranges, and
-    from range to range through one summary row each.
+    from range to range through one summary row each. ``by`` is never null.
     """
     by = as_list(by)
     ranged = df.withColumn("_range", bin_of(order, span)).withColumn("_value", value)
@@ -141,27 +155,31 @@ def attach(
     on: str | Sequence[str],
     spread_by: str | Sequence[str],
     rows_col: str,
-    how: str = "left",
-    rows_per_split: int = 2_000_000,
+    hot_rows: int = 10_000_000,
 ) -> DataFrame:
-    """Join a one-row-per-key table to a fact table with hot keys.
+    """Left join of a one-row-per-key table to a fact table with hot keys.
 
-    ``rows_col`` of ``per_key`` is the number of fact rows of the key. A key
-    above ``rows_per_split`` rows is split by a hash of ``spread_by`` and its
-    ``per_key`` row is repeated once per split. The broadcast list of split keys
-    holds at most (fact rows / rows_per_split) rows.
+    ``rows_col`` of ``per_key`` is the number of fact rows of the key. Keys
+    above ``hot_rows`` come by broadcast: there are at most (fact rows /
+    hot_rows) of them. Their fact rows then have nothing to look for in the
+    join of the other keys, and are spread over it by a hash of ``spread_by``.
     """
     on = as_list(on)
-    splits = F.ceil(F.col(rows_col) / F.lit(rows_per_split)).cast("bigint")
-    hot = per_key.filter(F.col(rows_col) > rows_per_split).select(*on, splits.alias("_splits"))
-    tagged = join_on(df, F.broadcast(hot), on).withColumn(
-        "_split",
-        F.pmod(F.xxhash64(*as_list(spread_by)), F.coalesce("_splits", F.lit(1).cast("bigint"))),
+    payload = [c for c in per_key.columns if c not in on and c != rows_col]
+    hot = per_key.filter(F.col(rows_col) > hot_rows).select(
+        *on, F.struct(*payload).alias("_hot"), F.col(rows_col).alias("_hot_rows")
+    )
+    spread = F.pmod(F.xxhash64(*as_list(spread_by)), F.lit(1 << 20)) + 1
+    tagged = join_on(df, F.broadcast(hot), on, null_safe=True).withColumn(
+        "_spread", F.when(F.col("_hot_rows").isNotNull(), spread).otherwise(F.lit(0).cast("bigint"))
+    )
+    # always 0, but not a literal, so that it stays one of the join keys
+    other = per_key.filter(F.col(rows_col) <= hot_rows).select(
+        *on, F.struct(*payload).alias("_other"), F.least(F.col(rows_col), F.lit(0)).cast("bigint").alias("_spread")
     )
-    repeated = per_key.withColumn(
-        "_split", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(splits, F.lit(1)) - 1))
-    ).drop(rows_col)
-    return join_on(tagged, repeated, on + ["_split"], how).drop("_split", "_splits")
+    joined = join_on(tagged, other, on + ["_spread"], null_safe=True)
+    found = F.coalesce("_hot", "_other")
+    return joined.select(*df.columns, *[found[c].alias(c) for c in payload])
 
 
 def interval_join(

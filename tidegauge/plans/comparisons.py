@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.units import (
-    bin_of,
     exact_sum,
     fmt_rate,
     pct_of,
@@ -24,10 +23,6 @@ from tidegauge.plans.samples import IO, io_samples
 from tidegauge.session import shared_dir
 
 
-def money(col: str) -> Column:
-    return F.col(col).cast("decimal(18,2)")
-
-
 # ---- units and text -------------------------------------------------------
 
 
@@ -303,11 +298,11 @@ levels AS (
 def nation_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     # orders are summed per customer before the join, so no customer is hot
     spent = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.sum(money("o_totalprice")).alias("spent")
+        exact_sum("o_totalprice").alias("spent")
     )
     customers = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     by_nation = spent.join(customers, "c_custkey").groupBy("n_nationkey").agg(
-        F.sum("spent").cast("double").alias("total")
+        exact_sum("spent").alias("total")
     )
     return by_nation.join(load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.functions.units import epoch_us
+from tidegauge.functions.units import epoch_us, exact_sum
 from tidegauge.operators import curves, samples
 from tidegauge.operators.compare import cross_source
 from tidegauge.operators.events import signpost_interval, slowdown_tail
@@ -354,6 +354,6 @@ def two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = io_samples(spark, sf_dir)
 
     def total(col: str, name: str) -> DataFrame:
-        return rows.groupBy("label").agg(F.sum(F.col(col).cast("decimal(18,2)")).cast("double").alias(name))
+        return rows.groupBy("label").agg(exact_sum(col).alias(name))
 
     return cross_source(total("r_mbs", "a"), total("w_mbs", "b"), "label", "a", "b")
