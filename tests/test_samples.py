@@ -170,19 +170,17 @@ def test_hot_rows_are_spread_over_shuffle_partitions(spark):
             spark.conf.set(c, v)
 
 
-def test_carry_and_running_sum(spark):
+def test_running_drops_over_ranges(spark):
     rnd = random.Random(3)
-    rows = [("g", i, rnd.choice([None, None, None, i])) for i in range(300)] + [("h", 5, None)]
-    df = spark.createDataFrame(rows, "g string, i long, v long")
-    got = {(r.g, r.i): r.c for r in spread.carry_last(df, "g", "i", F.col("v"), "c", span=16).collect()}
-    before = {(r.g, r.i): r.c for r in spread.carry_last(df, "g", "i", F.col("v"), "c", 16, inclusive=False).collect()}
-    sums = {(r.g, r.i): r.c for r in spread.running_sum(df, "g", "i", F.col("v"), "c", span=16).collect()}
-    last, total = None, 0
-    for _, i, v in rows[:300]:
-        assert before[("g", i)] == last
-        last, total = (last if v is None else v), total + (v or 0)
-        assert got[("g", i)] == last and sums[("g", i)] == total
-    assert got[("h", 5)] is None
+    rows = [("g", i, rnd.randrange(10)) for i in range(300)] + [("h", 5, 1)]
+    df = spark.createDataFrame(rows, "g string, i long, v int")
+    for span in (1, 16, 4096):
+        got = {(r.g, r.i): r.c for r in spread.running_drops(df, "g", "i", "v", "c", span=span).collect()}
+        drops = 0
+        for k, (_, i, v) in enumerate(rows[:300]):
+            drops += k > 0 and v < rows[k - 1][2]
+            assert got[("g", i)] == drops
+        assert got[("h", 5)] == 0
 
 
 def test_interval_join_against_brute_force(spark):

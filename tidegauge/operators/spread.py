@@ -93,60 +93,43 @@ def rank_cut(
     return cut if rank else cut.drop(name)
 
 
-def carry_last(
-    df: DataFrame,
-    by: str | Sequence[str],
-    order: str,
-    value: Column,
-    out: str,
-    span: int = 4096,
-    inclusive: bool = True,
+def running_drops(
+    df: DataFrame, by: str | Sequence[str], order: str, value: str, out: str, span: int = 4096
 ) -> DataFrame:
-    """Last non-null ``value`` at (or only before) each row in ``order``.
+    """How often ``value`` has dropped from one row to the next, up to each row.
 
     ``order`` is a whole number, unique per group, so a range of ``span`` order
-    values holds at most ``span`` rows. Values are carried inside ranges, and
-    from range to range through one summary row each. ``by`` is never null.
+    values holds at most ``span`` rows. Drops are counted inside ranges; one
+    summary row per range carries the count on. ``by`` is never null.
     """
     by = as_list(by)
-    ranged = df.withColumn("_range", bin_of(order, span)).withColumn("_value", value)
-    end = 0 if inclusive else -1
-    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-    across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    tails = (
-        ranged.groupBy(*by, "_range")
-        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_tail"))
-        .withColumn("_before", F.last("_tail", ignorenulls=True).over(across))
-        .drop("_tail")
+    inside = Window.partitionBy(*by, "_range").orderBy(order)
+    along = Window.partitionBy(*by).orderBy("_range")
+    drop = F.coalesce((F.col(value) < F.lag(value).over(inside)).cast("bigint"), F.lit(0).cast("bigint"))
+    local = (
+        df.withColumn("_range", bin_of(order, span))
+        .withColumn("_drop", drop)
+        .withColumn("_local", F.sum("_drop").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .drop("_drop")
     )
-    local = ranged.withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
-    return (
-        join_on(local, tails, by + ["_range"])
-        .withColumn(out, F.coalesce("_local", "_before"))
-        .drop("_range", "_value", "_local", "_before")
-    )
-
-
-def running_sum(
-    df: DataFrame, by: str | Sequence[str], order: str, value: Column, out: str, span: int = 4096
-) -> DataFrame:
-    """Sum of ``value`` up to each row, in the same bounded ranges."""
-    by = as_list(by)
-    ranged = df.withColumn("_range", bin_of(order, span)).withColumn("_value", value)
-    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    border = F.coalesce((F.col("_head") < F.lag("_tail").over(along)).cast("bigint"), F.lit(0).cast("bigint"))
     before = (
-        ranged.groupBy(*by, "_range")
-        .agg(F.sum("_value").alias("_part"))
-        .withColumn("_before", F.sum("_part").over(across))
-        .drop("_part")
-    )
-    local = ranged.withColumn("_local", F.sum("_value").over(inside))
-    return (
-        join_on(local, before, by + ["_range"])
-        .withColumn(out, F.coalesce("_local", F.lit(0)) + F.coalesce("_before", F.lit(0)))
-        .drop("_range", "_value", "_local", "_before")
+        local.groupBy(*by, "_range")
+        .agg(
+            F.min_by(value, order).alias("_head"),
+            F.max_by(value, order).alias("_tail"),
+            F.max("_local").alias("_drops"),
+        )
+        .withColumn("_border", border)
+        .withColumn(
+            "_before",
+            F.sum("_border").over(along.rowsBetween(Window.unboundedPreceding, 0))
+            + F.coalesce(F.sum("_drops").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        )
+        .select(*by, "_range", "_before")
     )
+    counted = join_on(local, before, by + ["_range"])
+    return counted.withColumn(out, F.col("_local") + F.col("_before")).drop("_range", "_local", "_before")
 
 
 def attach(

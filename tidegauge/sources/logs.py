@@ -15,7 +15,7 @@ from tidegauge.functions.text import (
     phase_of,
 )
 from tidegauge.functions.units import scale
-from tidegauge.operators.spread import carry_last, running_sum
+from tidegauge.operators.spread import running_drops
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -64,29 +64,24 @@ def parse_mem_lines(
     Sample clocks have no date: the date comes from the file name and a day is
     added each time the clock steps back.
     """
-    fields = [
-        F.regexp_extract(line, rf"^.*\b{k}=(\d+)MiB", 1).try_cast("bigint").alias(f"{k}_mib") for k in MEM_KEYS
-    ]
-    clock = r"^(\d\d):(\d\d):(\d\d) "
-    part = [F.regexp_extract(line, clock, i).try_cast("int") for i in (1, 2, 3)]
+    part = [F.substring(line, at, 2).try_cast("int") for at in (1, 4, 7)]  # HH:MM:SS
     if day is None:
         day = F.try_to_timestamp(F.regexp_extract(base_name(path), r"(\d{8})-\d{6}", 1), F.lit("yyyyMMdd"))
     rows = lines.filter(F.col(line).contains("hwm=")).select(
         F.col(path).alias("_path"),
         F.col(line_no).alias("seq"),
         (part[0] * 3600 + part[1] * 60 + part[2]).alias("_clock"),
-        day.cast("timestamp").alias("_day"),
-        *fields,
+        F.col(line).alias("_line"),
+        F.unix_seconds(day.cast("timestamp")).alias("_day"),
     )
-    seen = carry_last(rows, "_path", "seq", F.col("_clock"), "_prev", inclusive=False)
-    back = F.coalesce((F.col("_clock") < F.col("_prev")).cast("bigint"), F.lit(0).cast("bigint"))
-    dated = running_sum(seen, "_path", "seq", back, "_days")
-    seconds = F.unix_seconds("_day") + F.col("_days") * 86400 + F.col("_clock")
+    dated = running_drops(rows, "_path", "seq", "_clock", "_days")
     return dated.select(
         label_from_path("_path", "anon-rss-").alias("label"),
         "seq",
-        F.timestamp_seconds(seconds).alias("ts"),
-        *[f"{k}_mib" for k in MEM_KEYS],
+        F.timestamp_seconds(F.col("_day") + F.col("_days") * 86400 + F.col("_clock")).alias("ts"),
+        *[
+            F.regexp_extract("_line", rf"\b{k}=(\d+)MiB", 1).try_cast("bigint").alias(f"{k}_mib") for k in MEM_KEYS
+        ],
     )
 
 
