@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.text import host_of, label_from_path, phase_of
 from tidegauge.functions.units import bw_mbs, epoch_us, iops, latency_us, percentile_of
-from tidegauge.operators import events, samples
+from tidegauge.operators import events
 from tidegauge.plans.registry import load, registered
 from tidegauge.plans.samples import IO, io_samples
 from tidegauge.sources.fio import RESULT_SCHEMA, fio_rows, parse_fio_lines, parse_job_files
@@ -270,15 +270,10 @@ def fio_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_fio_lines(lines, "label", "seq", "line")
 
 
-@registered(
-    "iostat_capture",
-    f"""WITH {IO}
-SELECT 'log-' || label AS label, count(*) AS n, max(r) AS peak_r, max(w) AS peak_w, max(w + 1) AS peak_util,
-  min(date_trunc('second', ts)) AS first_ts FROM io GROUP BY ALL""",
-)
-def iostat_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+def capture_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One capture per user with a report per event; a partition row is added."""
     row = "%s 1.00 %.2f 0.00 0.00 0.10 4.00 2.00 %.2f 0.00 0.00 0.10 4.00 %.2f"
-    blocks = io_samples(spark, sf_dir).select(
+    return io_samples(spark, sf_dir).select(
         F.concat(F.lit("/logs/iostat-log-"), F.col("label").cast("string"), F.lit(".log")).alias("path"),
         F.concat_ws(
             "\n",
@@ -290,7 +285,16 @@ def iostat_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.format_string(row, F.lit("nvme0n1p1"), F.lit(9999.0), F.lit(9999.0), F.lit(100.0)),
         ).alias("value"),
     )
-    parsed = parse_iostat_blocks(blocks)
+
+
+@registered(
+    "iostat_capture",
+    f"""WITH {IO}
+SELECT 'log-' || label AS label, count(*) AS n, max(r) AS peak_r, max(w) AS peak_w, max(w + 1) AS peak_util,
+  min(date_trunc('second', ts)) AS first_ts FROM io GROUP BY ALL""",
+)
+def iostat_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse_iostat_blocks(capture_blocks(spark, sf_dir))
     kind = "timestamp_ntz"
     return parsed.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),
@@ -433,17 +437,3 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
             label_from_path("path", "iostat-", strip=False).alias("kept"),
         )
     )
-
-
-@registered(
-    "device_report",
-    f"""WITH {IO}
-SELECT 'log-' || label AS label, greatest(max(r), 0) AS peak_r, greatest(max(w), 0) AS peak_w, count(*) AS n
-FROM io WHERE r > 50 OR w > 50 GROUP BY ALL""",
-)
-def device_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples.active_samples(io_samples(spark, sf_dir), "r_mbs", "w_mbs", 50)
-    named = rows.select(F.concat(F.lit("log-"), F.col("label").cast("string")).alias("label"), "seq", "r_mbs", "w_mbs")
-    peaks = samples.io_peaks(named, "label", "seq", skip_first=False).drop("peak_rw")
-    counts = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return peaks.join(counts, "label")
