@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -54,12 +55,9 @@ def base_name(path: Column | str) -> Column:
 
 def label_from_path(path: Column | str, prefix: str = "", suffix: str = ".log", strip: bool = True) -> Column:
     """File name without ``suffix`` and, with ``strip``, without ``prefix``."""
-    name = base_name(path)
-    if suffix:
-        name = F.when(name.endswith(suffix), F.left(name, F.length(name) - len(suffix))).otherwise(name)
-    if strip and prefix:
-        name = F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1 << 30)).otherwise(name)
-    return name
+    head = f"(?:{re.escape(prefix)})?" if strip and prefix else ""
+    tail = f"(?:{re.escape(suffix)})?" if suffix else ""
+    return F.regexp_extract(_c(path), f"^(?:.*/)?{head}([^/]*?){tail}$", 1)
 
 
 def phase_of(label: Column | str) -> Column:

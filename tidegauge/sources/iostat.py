@@ -11,7 +11,8 @@ from tidegauge.functions.text import host_of, label_from_path, phase_of
 from tidegauge.operators.samples import on_device
 
 # Stamp line, and positions of read and write rate in a row.
-STAMP_LINE = r"^[0-9][0-9]/"
+STAMP_LINE = r"(?m)^([0-9][0-9]/.*)$"
+HEADER_LINE = r"(?m)^(Device.*)$"
 READ_FIELD = 3
 WRITE_FIELD = 9
 
@@ -34,42 +35,61 @@ def parse_iostat_blocks(
     positions where the header lacks them. ``seq`` orders the samples of a log
     by stamp and by row within the report.
     """
-    lines = F.filter(
-        F.transform(F.split(F.col(block), "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", ""))), lambda x: x != ""
+    text = F.replace(F.col(block), F.lit("\r"), F.lit(""))
+
+    def words(line: Column) -> Column:
+        return F.split(F.trim(line), r"\s+")
+
+    def position(name: str, usual: int) -> Column:
+        if not by_header:
+            return F.lit(usual)
+        at = F.array_position("_names", name).cast("int")
+        return F.when(at > 0, at).otherwise(F.lit(usual))
+
+    # what holds for a whole report is found before its rows are taken apart
+    heads = blocks.select(
+        label_from_path(path, prefix).alias("label"),
+        F.split(text, "\n").alias("_lines"),
+        F.trim(F.regexp_extract(text, STAMP_LINE, 1)).alias("_stamp"),
+        words(F.regexp_extract(text, HEADER_LINE, 1)).alias("_names"),
     )
-    parts = blocks.select(path, lines.alias("_lines"))
-    stamp = F.get(F.filter("_lines", lambda x: x.rlike(STAMP_LINE)), F.lit(0))
-    header = F.split(F.get(F.filter("_lines", lambda x: x.startswith("Device")), F.lit(0)), r"\s+")
-    rows = F.filter(
-        "_lines", lambda x: ~x.rlike(STAMP_LINE) & ~x.startswith("Device") & ~x.startswith("Linux ")
+    stamped = F.coalesce(*[F.try_to_timestamp(F.col("_stamp"), F.lit(f)) for f in stamp_formats])
+    reports = heads.select(
+        "label",
+        F.nullif(F.col("_stamp"), F.lit("")).alias("stamp"),
+        stamped.alias("ts"),
+        position("rMB/s", READ_FIELD).alias("_r_at"),
+        position("wMB/s", WRITE_FIELD).alias("_w_at"),
+        "_lines",
     )
-    parts = parts.select(
-        path, stamp.alias("stamp"), header.alias("_header"), F.posexplode(rows).alias("_pos", "_row")
+    rows = reports.select(
+        "label", "stamp", "ts", "_r_at", "_w_at", F.posexplode("_lines").alias("_pos", "_line")
     )
+    line = F.ltrim(F.col("_line"))
+    if device is None:
+        kept = (line != "") & ~line.rlike(r"^[0-9][0-9]/") & ~line.startswith("Device") & ~line.startswith("Linux ")
+    else:
+        kept = line.startswith(device)
 
-    def field(name: str, usual: int) -> Column:
-        at = F.lit(usual)
-        if by_header:
-            at = F.coalesce(F.nullif(F.array_position("_header", name).cast("int"), F.lit(0)), F.lit(usual))
+    def field(at: Column) -> Column:
         return F.try_element_at(F.col("_fields"), at).try_cast("double")
 
-    stamped = F.coalesce(*[F.try_to_timestamp(F.col("stamp"), F.lit(f)) for f in stamp_formats])
-    name = label_from_path(path, prefix)
-    samples = parts.withColumn("_fields", F.split("_row", r"\s+")).select(
-        name.alias("label"),
-        phase_of(name).alias("phase"),
-        host_of(name).alias("host"),
+    fields = rows.filter(kept).select(
+        "label", "stamp", "ts", "_r_at", "_w_at", "_pos", words(F.col("_line")).alias("_fields")
+    )
+    samples = fields.select(
+        "label",
+        phase_of("label").alias("phase"),
+        host_of("label").alias("host"),
         F.get("_fields", F.lit(0)).alias("device"),
         "stamp",
-        stamped.alias("ts"),
-        "_pos",
-        field("rMB/s", READ_FIELD).alias("r_mbs"),
-        field("wMB/s", WRITE_FIELD).alias("w_mbs"),
-        F.try_element_at(F.col("_fields"), F.lit(-1)).try_cast("double").alias("util_pct"),
+        "ts",
+        field(F.col("_r_at")).alias("r_mbs"),
+        field(F.col("_w_at")).alias("w_mbs"),
+        field(F.lit(-1)).alias("util_pct"),
+        (F.unix_seconds("ts") * F.lit(65536) + F.col("_pos")).alias("seq"),
     )
-    return on_device(samples, device, match).withColumn(
-        "seq", F.unix_seconds("ts") * F.lit(65536) + F.col("_pos")
-    ).drop("_pos")
+    return on_device(samples, device, match)
 
 
 def read_iostat(
