@@ -19,7 +19,7 @@ from tidegauge.operators.audit import audit_sweep
 from tidegauge.operators.events import with_default
 from tidegauge.operators.report import summary_lines, to_fixed_width, to_markdown, write_table
 from tidegauge.plans.registry import load, registered
-from tidegauge.plans.samples import IO, io_samples
+from tidegauge.plans.samples import IO, NUMBERED, SUMMARY, io_samples, io_summary
 from tidegauge.session import shared_dir
 
 
@@ -574,10 +574,22 @@ def fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_fixed_width(brand_counts(spark, sf_dir), {"p_brand": 10, "n": -7, "top": -8}, heads, ["p_brand"])
 
 
-@registered("summary_lines")
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidegauge.plans.samples import io_summary
+def _fixed(col: str, width: int, digits: int) -> str:
+    """SQL text of a double the way Spark prints it: its shortest decimal form
+    rounded half up."""
+    exact = f"CAST(CAST({col} AS VARCHAR) AS DECIMAL(38,18))"
+    return f"lpad(CAST(CAST(round({exact}, {digits}) AS DECIMAL(38,{digits})) AS VARCHAR), {width}, ' ')"
+
 
+@registered(
+    "summary_lines",
+    f"""WITH {NUMBERED}, s AS (SELECT label, {SUMMARY} FROM x GROUP BY label)
+SELECT rpad(CAST(label AS VARCHAR), 32, ' ') || ' peakR=' || {_fixed("peak_r", 7, 1)}
+  || ' peakW=' || {_fixed("peak_w", 7, 1)} || '  totR=' || {_fixed("total_r_gb", 6, 2)}
+  || ' GB totW=' || {_fixed("total_w_gb", 6, 2)} || ' GB  actAvgR=' || {_fixed("active_avg_r", 7, 1)}
+  || ' actAvgW=' || {_fixed("active_avg_w", 7, 1)} || ' actN=' || active_n AS line FROM s""",
+)
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary_lines(io_summary(spark, sf_dir))
 
 
