@@ -15,7 +15,7 @@ def put(spark, path, rows, mode="append"):
 
 
 def stream(spark, path):
-    return st.read_sample_stream(spark, path, spark.read.parquet(path).schema)
+    return st.read_sample_stream(spark, path + "/", spark.read.parquet(path).schema)
 
 
 def test_tumbling_summary_equals_batch(spark, tmp_path):

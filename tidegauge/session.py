@@ -32,10 +32,11 @@ def build_session(
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
-        .config("spark.ui.enabled", "false")
     )
     if master is not None:
         builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.ui.enabled", "false")
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if driver_memory is not None:

@@ -3,7 +3,7 @@
 The input is a stream of *typed* samples (see ``read_sample_stream``); the
 since-boot block of a capture is dropped before samples are emitted, because
 its place in a log is not known to a stream. Rows later than the watermark are
-dropped, so the batch operators on the stored samples remain the reference.
+dropped, so the batch operators on the stored samples have the last word.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ def read_sample_stream(
 ) -> DataFrame:
     """Parquet files of typed samples as they arrive.
 
-    The path is given as a pattern of itself, since a stream takes a single
-    file only from a pattern; a folder is read the same way.
+    A path is given as a pattern of itself, since a stream takes a single file
+    only from a pattern; a folder is read the same way.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    path = path.rstrip("/")
+    is_pattern = any(c in path for c in "*?[{")
+    return reader.parquet(path if is_pattern else f"{path[:-1]}[{path[-1]}]")
 
 
 def _timed(sdf: DataFrame, ts: str, watermark: str) -> DataFrame:
