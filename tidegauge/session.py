@@ -44,16 +44,23 @@ def build_session(
     return builder.getOrCreate()
 
 
+#: Own folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder that the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Where it is unset a
-    temporary folder is used, but only in local mode: executors of a cluster
-    could not see one.
+    ``spark.checkpoint.dir`` is read from the session. Only where it is unset,
+    and only in local mode, one temporary folder per application takes its
+    place: executors of a cluster could not see one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="tidegauge-")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="tidegauge-")
+        root = _OWN[app]
     return f"{root.rstrip('/')}/tidegauge/{purpose}-{uuid.uuid4().hex}"
