@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tidegauge.session import shared_dir
 
@@ -40,6 +41,57 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
 
+#: Bits of a membership map, 2 MB whatever it is made from.
+MAP_BITS = 1 << 24
+
+
+def membership(hashes: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter with two probes over a long column, packed into MAP_BITS bits.
+
+    Its size is fixed, so it may go to every task; with many hashes it lets
+    more through, and the join behind it decides in any case.
+    """
+    h = F.col(column)
+    probes = F.array(h.bitwiseAND(F.lit(MAP_BITS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(MAP_BITS - 1)))
+    slots = hashes.select(F.explode(probes).alias("slot"))
+    parts = (
+        slots.groupBy((F.col("slot") / 32768).cast("int").alias("part"))
+        .agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
+        .collect()
+    )
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in parts:
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def possible(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (uint64) the map may hold."""
+    low = (hashes & np.uint64(MAP_BITS - 1)).astype(np.int64)
+    out = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
+    at = np.flatnonzero(out)
+    high = ((hashes[at] >> np.uint64(32)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
+    out[at] = (bits[high >> 3] >> (high & 7).astype(np.uint8)) & 1 > 0
+    return out
+
+
+class WordHashes:
+    """XXH64 of words, remembered; a full memory is emptied."""
+
+    def __init__(self, seed: int, most: int = 1_000_000):
+        self.seed, self.most, self.known = seed, most, {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > self.most:
+            self.known = {}
+        known, seed = self.known, self.seed
+        found = list(map(known.get, words))
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = known[words[i]] = xxh64_intdigest(words[i], seed)
+        return np.array(found, np.uint64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the graph whose edges are the rows (a, b), both long.
 
