@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,6 @@ REMEMBERED = 1_000_000
 PLAIN = re.compile(r"[a-zß-öø-ž]+")
 #: A full stop or comma alone between a letter and white space is a piece of its own.
 STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
-#: Rows that one ranking group holds on average.
-RANK_GROUP = 100_000
 
 
 class WordIds:
@@ -183,11 +182,11 @@ def slots(patterns: list[tuple[list[int], int]]) -> dict[int, list[tuple[int, in
 def ranked(rows: DataFrame) -> DataFrame:
     """Rows with their rank among the rows of equal length, from 0.
 
-    A length may hold a third of all rows, so ranks are taken in groups of
-    about RANK_GROUP rows and groups get their first rank from the counts of
-    those before them.
+    A length may hold a third of all rows, so each length is cut into as many
+    groups as the root of the number of rows: groups are ranked each for
+    themselves and get their first rank from the counts of those before them.
     """
-    groups = max(1, -(-rows.count() // RANK_GROUP))
+    groups = isqrt(rows.count()) + 1
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("row", "start"), F.lit(groups)))
     sizes = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
