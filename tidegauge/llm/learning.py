@@ -85,15 +85,24 @@ class Adam:
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) with P(y = 1) close to sigmoid(a x + b), by Newton steps with a small ridge; a is kept positive."""
+    """(a, b) with P(y = 1) close to sigmoid(a x + b), by Newton steps; a is kept positive.
+
+    Few rows are soon told apart perfectly: a ridge and targets a little inside
+    0 and 1 keep the slope from growing without bound.
+    """
+    y = np.where(y > 0.5, 1 - 1 / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    middle, spread = logits.mean(), logits.std() + 1e-9
+    x = (logits - middle) / spread
     a, b = 1.0, 0.0
-    for _ in range(50):
-        p = sigmoid(a * logits + b)
+    for _ in range(100):
+        p = sigmoid(a * x + b)
         w = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * logits).sum() + 0.01 * (a - 1), (p - y).sum() + 0.01 * b])
-        h = np.array([[(w * logits * logits).sum() + 0.01, (w * logits).sum()], [(w * logits).sum(), w.sum() + 0.01]])
+        g = np.array([((p - y) * x).sum() + 0.1 * (a - 1), (p - y).sum()])
+        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum()]])
         step = np.linalg.solve(h, g)
+        step *= min(1.0, 1.0 / max(abs(step).max(), 1e-12))  # far from the optimum Newton steps may overshoot
         a, b = a - step[0], b - step[1]
         if abs(step).max() < 1e-6:
             break
-    return max(float(a), 1e-3), float(b)
+    a = max(float(a), 1e-3)
+    return a / spread, float(b - a * middle / spread)

@@ -142,11 +142,8 @@ def train(noise: list[str], seed: int = 1) -> Model:
             around = [[noise_tokens[k] for k in random.integers(0, len(noise_tokens), random.integers(0, 12))] for _ in range(2)]
             examples.append((grams_of(around[0] + kept + around[1]), classes))
 
-    seen: dict[str, int] = {}
-    for g, classes in examples:
-        for w in g if classes else ():
-            seen[w] = seen.get(w, 0) + 1
-    features = sorted(w for w, n in seen.items() if n >= 4 and not all(p in ordinary for p in w.split(" ")))
+    own = {w for t, _ in statements for w in grams_of(tokens_of(t))}
+    features = sorted(w for w in own if not all(p in ordinary for p in w.split(" ")))
     index = {w: i for i, w in enumerate(features)}
     x = np.zeros((len(examples), len(features)), np.float32)
     y = np.zeros((len(examples), len(CLASSES)), np.float32)

@@ -17,7 +17,8 @@ from tidegauge.llm.learning import Adam, CharGrams, calibrate, labelled_sample,
 PASSAGE = 48
 #: Sizes: character input, passage encoding, attention, trigram buckets; counts taken of a word and of a passage.
 CHAR_IN, ENCODED, ATTEND, GRAMS, WORD_COUNTS, PASSAGE_COUNTS = 16, 16, 8, 8192, 7, 4
-EPOCHS, BATCH, RATE = 6, 64, 0.01
+#: Passes over the sample, more of them for a small one until LEAST_STEPS steps are made.
+EPOCHS, LEAST_STEPS, BATCH, RATE = 5, 200, 64, 0.01
 #: Documents are good from this score on.
 CUT = 0.3
 PARTS, HELD_OUT = 5, 0
@@ -171,7 +172,7 @@ class AttentionModel:
 
 
 def train(sample: pd.DataFrame, seed: int = 10) -> AttentionModel:
-    """Fit a model on (text, y): a document's label is all that is known of its passages."""
+    """Fit a model on (text, y): a document's label is all that is known of its passages; every fifth document only calibrates."""
     random = np.random.default_rng(seed)
     model = AttentionModel.fresh(seed)
     y = sample["y"].to_numpy(np.float32)
@@ -179,16 +180,18 @@ def train(sample: pd.DataFrame, seed: int = 10) -> AttentionModel:
         model.a, model.b = 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         return model
     docs = [passages_of(t) for t in sample["text"]]
+    learn = np.arange(len(docs)) % 5 > 0  # the rest only calibrates
     adam = Adam(model.params, RATE)
-    for epoch in range(EPOCHS):
-        order = random.permutation(len(docs))
+    epochs = max(EPOCHS, LEAST_STEPS * BATCH // len(docs))
+    for epoch in range(epochs):
+        order = random.permutation(np.flatnonzero(learn))
         for at in range(0, len(order), BATCH):
             mine = order[at : at + BATCH]
-            adam.rate = RATE * (1 - 0.9 * (epoch + at / len(order)) / EPOCHS)
+            adam.rate = RATE * (1 - 0.9 * (epoch + at / len(order)) / epochs)
             adam.update(model.train_step(Bags([docs[i] for i in mine]), y[mine]))
     model.forget()
     found = np.concatenate([model.logits(list(sample["text"][at : at + 256])) for at in range(0, len(sample), 256)])
-    model.a, model.b = calibrate(found.astype(np.float64), y)
+    model.a, model.b = calibrate(found[~learn].astype(np.float64), y[~learn])
     model.forget()
     return model
 
