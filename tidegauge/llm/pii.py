@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,22 +135,29 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _terms(bits: np.ndarray):
-    """For each text the distinct words that may be candidates."""
+    """Words that may be candidates and in how many texts of a task they stand, added up before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
+        seen: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+
         for b in batches:
             if len(known) > 1_000_000:
                 known = {}
-            out = []
             for text in b.column(0).to_pylist():
                 words = set(WORD.findall((text or "").lower()))
                 new = [w for w in words if w not in known]
                 if new:
                     hashes = np.array([xxh64_intdigest(w.encode(), 42) for w in new], np.uint64)
                     known.update(zip(new, possible(bits, hashes).tolist()))
-                out += [w for w in words if known[w]]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["term"])
+                seen.update(w for w in words if known[w])
+            if len(seen) > 200_000:
+                yield counted()
+                seen.clear()
+        yield counted()
 
     return run
 
@@ -175,8 +183,8 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = stored(pairs.where(F.col("n_et") >= SUPPORT), "pairs")
     terms = pairs.select("term").distinct()
     bits = membership(terms.select(F.xxhash64("term").alias("h")), "h")
-    seen = docs.select(F.col("text").cast("string")).mapInArrow(_terms(bits), "term string")
-    n_t = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    seen = docs.select(F.col("text").cast("string")).mapInArrow(_terms(bits), "term string, n long")
+    n_t = seen.groupBy("term").agg(F.sum("n").alias("n_t"))
     n_e = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     total = float(max(2, found.count()))
     share = F.log(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(total) / F.col("n_e"))
