@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontam, licenses, packing, pii, quality, sharding, simhash, substrings, toxicity
+from tidegauge.llm import decontam, licenses, packing, pii, quality, search, sharding, simhash, substrings, toxicity
 from tidegauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,52 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# terms by RE2; the same classes as on bytes, as all of them are ASCII
+SQL["op5_search"] = rf"""
+WITH word AS (
+    SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')) AS term FROM documents
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM word GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+size AS (
+    SELECT d.doc_id, coalesce(w.n, 0) AS n
+    FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM word GROUP BY ALL) w ON w.doc_id = d.doc_id
+), corpus AS (SELECT count(*)::DOUBLE AS n, avg(n) AS mean FROM size),
+scored AS (
+    SELECT q.doc_id AS query_id, t.doc_id, round(sum(
+        ln(1 + (corpus.n - df.df + 0.5) / (df.df + 0.5))
+        * t.tf * {search.K1 + 1} / (t.tf + {search.K1} * ({1 - search.B} + {search.B} * size.n / corpus.mean))
+    ), {search.DECIMALS}) AS score
+    FROM tf q JOIN tf t ON t.term = q.term JOIN df ON df.term = q.term JOIN size ON size.doc_id = t.doc_id, corpus
+    WHERE q.doc_id % 20 = 0 GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= {search.TOP}
+"""
+
+# the table is filled one claim at a time: claim k is made by shard k mod SHARDS
+SQL["op8_sharding"] = f"""
+WITH RECURSIVE claims(k, taken) AS (
+    SELECT 0, list_transform(range({sharding.SLOTS}), lambda x: -1)
+    UNION ALL
+    SELECT k + 1, list_concat(list_concat(taken[1:slot], [(k % {sharding.SHARDS})]), taken[slot + 2:])
+    FROM (
+        SELECT k, taken, list_filter(
+            list_transform(range({sharding.SLOTS}), lambda j: (
+                (k % {sharding.SHARDS} + 1) * {sharding.OFFSET_FACTOR} % {sharding.SLOTS}
+                + j * ((k % {sharding.SHARDS} + 1) * {sharding.SKIP_FACTOR} % ({sharding.SLOTS} - 1) + 1)
+            ) % {sharding.SLOTS}), lambda s: taken[s + 1] = -1)[1] AS slot
+        FROM claims WHERE k < {sharding.SLOTS}
+    )
+), filled AS (SELECT taken FROM claims WHERE k = {sharding.SLOTS}),
+lookup AS (SELECT unnest(range({sharding.SLOTS})) AS slot, unnest(taken) AS shard FROM filled),
+placed AS (
+    SELECT doc_id, source, n_chars,
+        (doc_id % {sharding.SLOTS * 1000} * {sharding.KEY_FACTOR} + (doc_id >> 16) % {sharding.SLOTS}) % {sharding.SLOTS} AS slot
+    FROM documents
+)
+SELECT doc_id, source, n_chars, slot, shard::INTEGER AS shard FROM placed JOIN lookup USING (slot)
+"""
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -45,6 +91,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, asked)
+
+
 @query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents")).drop("text_hash")
