@@ -80,7 +80,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PARAGRAPHS = 200, 20_000, 1500
 #: Altered copies of each statement to learn from; share of the examples kept for calibration.
 COPIES, CALIBRATION = 16, 0.3
 #: Share of sampled paragraphs from which on a word is too common to be evidence; weight of the L1 penalty; steps.
-COMMON, PENALTY, STEPS = 0.01, 0.002, 250
+COMMON, PENALTY, STEPS = 0.01, 0.0005, 300
 #: Probability of a class, and share of a template's word pairs, from which on they count.
 CUT, TEMPLATE_SHARE = 0.5, 0.8
 TOKEN = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"

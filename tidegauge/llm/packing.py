@@ -68,6 +68,8 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; a text that spells a special token goes to the tokenizer whole."""
+        if not texts:
+            return []
         special = [i for i, t in enumerate(texts) if "<|" in t]
         lines = [[] if "<|" in t else STOP.sub(rb" \1", t.encode().lower()).split() for t in texts]
         if len(self.known) > REMEMBERED:

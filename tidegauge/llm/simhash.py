@@ -138,9 +138,10 @@ def near_links(prints: DataFrame) -> DataFrame:
         keyed = _keyed(rows, level)
         counts = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = keyed.join(counts, ["t", "key"])
-        small = sized.where(F.col("n") <= BUCKET).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
+        last = level + 1 == len(MASKS)
+        small = (sized if last else sized.where(F.col("n") <= BUCKET)).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
         found.append(small.select(F.explode(links("fps")).alias("e")).select("e.a", "e.b"))
-        if level + 1 == len(MASKS):
+        if last:
             break
         rows = stored(sized.where(F.col("n") > BUCKET).select("fp", "t"), "hot-buckets")
         if rows.isEmpty():

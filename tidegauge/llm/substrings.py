@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from tidegauge.llm.common import WordHashes, small_batches
+from tidegauge.llm.common import WordHashes, small_batches, stored
 
 #: Words of an edge of the graph (a window); its nodes are the first and the last EDGE - 1 of them.
 EDGE = 13
@@ -72,99 +72,226 @@ class Passages:
         joined = [b" ".join(self.words[p[0] : p[-1] + EDGE]) for p in self.paths]
         return np.frombuffer(b"".join(map(xxh3_128_digest, joined)), "<i8").reshape(-1, 2)
 
-    def edges(self, at: np.ndarray) -> np.ndarray:
-        """(first node, last node) of windows."""
-        return np.stack([self.nodes[at], self.nodes[at + 1]], axis=1).view(np.int64)
 
-
-def held(edges: np.ndarray, gone: list[dict] | None) -> np.ndarray:
-    """Which edges are in a list of them."""
-    pairs = np.array([(e["first"], e["last"]) for e in gone or []], np.int64).reshape(-1, 2)
+def held(edges: np.ndarray, gone: list[dict] | None, first: str, last: str) -> np.ndarray:
+    """Which pairs of longs are in a list of them."""
+    if not gone:
+        return np.zeros(len(edges), bool)
+    pairs = np.array([(e[first], e[last]) for e in gone], np.int64).reshape(-1, 2)
     _, at = np.unique(np.concatenate([pairs, edges]), axis=0, return_inverse=True)
     return np.isin(at.ravel()[len(pairs) :], at.ravel()[: len(pairs)])
 
 
+#: Pairs of a key and a document that a task settles among themselves before they are shuffled.
+CHUNK = 2_000_000
+
+
+def settled(keys: np.ndarray, docs: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs (key, document) with whether the key is known to be shared.
+
+    Of the documents of a key here, all but the smallest are known to share it
+    with a smaller one and need not meet the rest of the corpus: the smallest
+    stands for them. With ``whole`` that the key is shared at all is what
+    matters, so the smallest is also known, besides standing for the others. A
+    key of very many documents thus has one open row for each chunk.
+    """
+    order = np.lexsort((docs, *keys.T[::-1]))
+    keys, docs = keys[order], docs[order]
+    same_key = (keys[1:] == keys[:-1]).all(1)
+    new = np.ones(len(docs), bool)
+    new[1:] = ~(same_key & (docs[1:] == docs[:-1]))
+    keys, docs = keys[new], docs[new]
+    known = np.zeros(len(docs), bool)
+    known[1:] = (keys[1:] == keys[:-1]).all(1)
+    if whole:
+        also = np.flatnonzero(known[1:] & ~known[:-1])
+        keys, docs = np.concatenate([keys, keys[also]]), np.concatenate([docs, docs[also]])
+        known = np.concatenate([known, np.ones(len(also), bool)])
+    return keys, docs, known
+
+
+def _batch(keys: np.ndarray, docs: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+    names = ["k0", "k1"][: keys.shape[1]]
+    return pa.RecordBatch.from_arrays([*(pa.array(k) for k in keys.T), pa.array(docs), pa.array(known)], names=[*names, "doc_id", "known"])
+
+
+def in_chunks(pairs: Iterator[tuple[np.ndarray, np.ndarray]], width: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    held, n = [(np.zeros((0, width), np.int64), np.zeros(0, np.int64))], 0
+    for keys, docs in pairs:
+        held.append((keys.reshape(-1, width), docs))
+        n += len(docs)
+        if n >= CHUNK:
+            yield _batch(*settled(*map(np.concatenate, zip(*held)), whole))
+            held, n = held[:1], 0
+    yield _batch(*settled(*map(np.concatenate, zip(*held)), whole))
+
+
+def _shared(width: int, whole: bool):
+    """Keys that documents share, from rows in order of key and document: a run is followed row by row, never held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, first_doc, waiting = None, 0, False
+        for b in batches:
+            keys = np.stack([b.column(i).to_numpy() for i in range(width)], axis=1)
+            docs, known = b.column(width).to_numpy(), b.column(width + 1).to_numpy(zero_copy_only=False)
+            out = [(keys[known], docs[known])]
+            keys, docs = keys[~known], docs[~known]
+            if len(docs):
+                new = np.ones(len(docs), bool)
+                new[1:] = (keys[1:] != keys[:-1]).any(1)
+                goes_on = last_key is not None and (keys[0] == last_key).all()
+                number = np.cumsum(new) - 1
+                firsts = docs[new]
+                if goes_on:
+                    firsts[0] = first_doc
+                later = docs > firsts[number]
+                out.append((keys[later], docs[later]))
+                if whole:  # the first documents of runs that have others
+                    more = np.zeros(len(firsts), bool)
+                    more[number[later]] = True
+                    if goes_on and more[0] and waiting:
+                        out.append((last_key[None], np.array([first_doc])))
+                    mine = more.copy()
+                    mine[0] &= not goes_on
+                    out.append((keys[new][mine], firsts[mine]))
+                    waiting = not more[-1] and (waiting or not goes_on or len(firsts) > 1)
+                last_key, first_doc = keys[-1], firsts[-1]
+            keys, docs = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([*(pa.array(k) for k in keys.T), pa.array(docs)], names=[*["k0", "k1"][:width], "doc_id"])
+
+    return run
+
+
+def shared_keys(rows: DataFrame, width: int, whole: bool, name: str) -> DataFrame:
+    """(doc_id, name): the list of keys that a document shares with a smaller one, or with ``whole`` with any other."""
+    keys = ["k0", "k1"][:width]
+    dealt = rows.repartition(F.when(F.col("known"), F.col("doc_id")).otherwise(F.col("k0"))).sortWithinPartitions(*keys, "doc_id")
+    found = dealt.mapInArrow(_shared(width, whole), ", ".join(f"{k} long" for k in (*keys, "doc_id")))
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct(*keys) if width > 1 else F.col("k0")).alias(name))
+
+
 def _array(x) -> np.ndarray:
     return np.array([] if x is None else x, np.int64)
 
 
 def _minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        each = [np.unique(minimisers(HASHES(words_of(t)))).view(np.int64) for t in b.column(1).to_pylist()]
-        ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in each])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), pa.array(ids)], names=["seed", "doc_id"])
+    def pairs():
+        for b in batches:
+            each = [np.unique(minimisers(HASHES(words_of(t)))).view(np.int64) for t in b.column(1).to_pylist()]
+            yield np.concatenate(each), np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in each])
 
+    yield from in_chunks(pairs(), 1, True)
 
-def _pairs(name_a: str, name_b: str, found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    rows = np.concatenate([np.zeros((0, 2), np.int64), *(r for _, r in found)])
-    ids = np.repeat(np.array([i for i, _ in found], np.int64), [len(r) for _, r in found])
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(ids)], names=[name_a, name_b, "doc_id"])
 
+FOUND = "doc_id long, n_words long, whole_sha256 string, text string, starts array<long>, sizes array<long>, a array<long>, b array<long>"
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+LONGS = pa.list_(pa.int64())
+FOUND_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), LONGS, LONGS, LONGS, LONGS]
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _columns(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of each document; the text goes along only where there are any."""
     for b in batches:
-        found = []
+        out = []
         for doc_id, text, flags in zip(*(c.to_pylist() for c in b.columns)):
-            passages = Passages(text, _array(flags).view(np.uint64))
-            found.append((doc_id, np.unique(passages.digests(), axis=0)))
-        yield _pairs("a", "b", found)
+            passages = Passages(text, _array(flags).view(np.uint64)) if flags else None
+            words = passages.words if passages else words_of(text)
+            sha = hashlib.sha256(b" ".join(words)).hexdigest()
+            if passages and passages.paths:
+                digests = passages.digests()
+                lists = ([p[0] for p in passages.paths], [len(p) for p in passages.paths], digests[:, 0], digests[:, 1])
+                out.append((doc_id, len(words), sha, text, *lists))
+            else:
+                out.append((doc_id, len(words), sha, None, None, None, None, None))
+        yield _columns(out, FOUND_NAMES, FOUND_TYPES)
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs():
+        for b in batches:
+            a, c = (b.column(k).flatten().to_numpy() for k in (1, 2))
+            sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            yield np.stack([a, c], axis=1), np.repeat(b.column(0).to_numpy(), sizes)
+
+    yield from in_chunks(pairs(), 2, False)
+
+
+def nodes_of(words: list[bytes]) -> np.ndarray:
+    return mixed(runs_hashed(HASHES(words), NODE_FACTORS))
+
+
+def open_windows(starts: list[int], sizes: list[int], gone: np.ndarray) -> np.ndarray:
+    """Windows of the paths that are not gone."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.arange(s, s + n) for s, n, g in zip(starts, sizes, gone) if not g)])
+
+
+def gone_of(a: list[int], b: list[int], gone_paths: list[dict] | None) -> np.ndarray:
+    return held(np.array([a, b], np.int64).T, gone_paths, "k0", "k1")
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = []
-        for doc_id, text, flags, gone in zip(*(c.to_pylist() for c in b.columns)):
-            passages = Passages(text, _array(flags).view(np.uint64))
-            left = ~np.isin(passages.digests()[:, 0], _array(gone))
-            at = [p for p, keep in zip(passages.paths, left) if keep]
-            found.append((doc_id, np.unique(passages.edges(np.concatenate(at)), axis=0) if at else np.zeros((0, 2), np.int64)))
-        yield _pairs("first", "last", found)
+    def pairs():
+        for batch in batches:
+            for doc_id, text, starts, sizes, a, b, gone_paths in zip(*(c.to_pylist() for c in batch.columns)):
+                at = open_windows(starts, sizes, gone_of(a, b, gone_paths))
+                if len(at):
+                    nodes = nodes_of(words_of(text)).view(np.int64)
+                    yield np.stack([nodes[at], nodes[at + 1]], axis=1), np.full(len(at), doc_id)
+
+    yield from in_chunks(pairs(), 2, False)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for batch in batches:
         out = []
-        for doc_id, text, flags, gone_paths, gone_edges in zip(*(c.to_pylist() for c in b.columns)):
+        for doc_id, n_words, sha, text, starts, sizes, a, b, gone_paths, gone_edges in zip(*(c.to_pylist() for c in batch.columns)):
             if not gone_paths and not gone_edges:
-                words = words_of(text)
-                starts = np.zeros(0, np.int64)
+                out.append((doc_id, n_words, 0, sha, []))
+                continue
+            words = words_of(text)
+            gone = gone_of(a, b, gone_paths)
+            rest = open_windows(starts, sizes, gone)
+            if len(rest) and gone_edges:
+                nodes = nodes_of(words).view(np.int64)
+                rest = rest[held(np.stack([nodes[rest], nodes[rest + 1]], axis=1), gone_edges, "k0", "k1")]
             else:
-                passages = Passages(text, _array(flags).view(np.uint64))
-                words = passages.words
-                gone = np.isin(passages.digests()[:, 0], _array(gone_paths))
-                kept = [p for p, g in zip(passages.paths, gone) if not g]
-                rest = np.concatenate([np.zeros(0, np.int64), *kept])
-                rest = rest[held(passages.edges(rest), gone_edges)]
-                starts = np.concatenate([rest, *(p for p, g in zip(passages.paths, gone) if g)])
+                rest = rest[:0]
+            windows = np.concatenate([rest, open_windows(starts, sizes, ~gone)])
             change = np.zeros(len(words) + 1, np.int64)
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + EDGE, -1)
+            np.add.at(change, windows, 1)
+            np.add.at(change, windows + EDGE, -1)
             removed = np.cumsum(change)[:-1] > 0
-            text = b" ".join(w for w, r in zip(words, removed) if not r) if len(starts) else b" ".join(words)
+            kept = hashlib.sha256(b" ".join(w for w, r in zip(words, removed) if not r)).hexdigest()
             spans = np.flatnonzero(np.diff(np.concatenate([[0], removed, [0]]).astype(np.int8)))
-            out.append((doc_id, len(words), int(removed.sum()), hashlib.sha256(text).hexdigest(), spans.reshape(-1, 2).tolist(), text.decode()))
-        columns = list(zip(*out)) or [[]] * 6
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=KEPT_NAMES)
+            out.append((doc_id, n_words, int(removed.sum()), kept, spans.reshape(-1, 2).tolist()))
+        yield _columns(out, KEPT_NAMES, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(LONGS)])
 
 
-KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>, kept string"
+KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>"
 KEPT_NAMES = [c.split()[0] for c in KEPT.split(", ")]
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, spans (of words removed) and the kept text.
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and spans (first word, word after the last) removed.
 
     A word goes if a window of 13 words over it also starts in a document with
     a smaller doc_id. Windows whose minimiser occurs in one document only can't
     be repeated and never leave their document. The others are edges of the
     graph. Runs of them between anchor nodes are compacted into paths, which
-    are joined by a 128-bit digest of their words: a path that a smaller
-    document also has goes whole. Only paths that occur here first are opened
-    again, and their edges joined by both their nodes, which finds where paths
-    branch or are entered midway. What was found returns to the document by its
-    id, so all steps are joins and pre-aggregated minima, and none holds the
-    documents of a passage together.
+    meet by a 128-bit digest of their words: a path that a smaller document
+    also has goes whole. Only paths that occur here first are opened again, and
+    their edges meet by both their nodes, which finds where paths branch or are
+    entered midway. What was found returns to the words of a document by its
+    id and the start of each path.
+
+    Keys of minimisers, paths and edges are settled within tasks first, so that
+    a passage of very many documents has one row for each task in the shuffle,
+    and are then followed in sorted order, never gathered.
 
     A null id is smaller than none and compared with none: such rows keep all
     words. Null and empty texts have no words. Rows that repeat an id never
@@ -173,28 +300,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = texts.where("doc_id is not null")
-    seeds = named.mapInArrow(_minimisers, "seed long, doc_id long")
-
-    def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
-        span = rows.groupBy(*key).agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("until"))
-        return span.where("source < until").select(*key, "source")
-
-    flags = seeds.join(repeated(seeds, ["seed"]).drop("source"), "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("flags"))
-    flagged = named.join(flags, "doc_id").select("doc_id", "text", "flags")
-    paths = flagged.mapInArrow(_paths, "a long, b long, doc_id long")
-    gone_paths = (
-        paths.join(repeated(paths, ["a", "b"]), ["a", "b"]).where("source < doc_id").groupBy("doc_id").agg(F.collect_list("a").alias("gone_paths"))
-    )
-    opened = flagged.join(gone_paths, "doc_id", "left").select("doc_id", "text", "flags", "gone_paths")
-    edges = opened.mapInArrow(_edges, "first long, last long, doc_id long")
-    gone_edges = (
-        edges.join(repeated(edges, ["first", "last"]), ["first", "last"]).where("source < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("gone_edges"))
-    )
-    joined = (
-        texts.join(flags, "doc_id", "left")
-        .join(gone_paths, "doc_id", "left")
-        .join(gone_edges, "doc_id", "left")
-        .select("doc_id", "text", "flags", "gone_paths", "gone_edges")
-    )
-    return joined.mapInArrow(_kept, KEPT)
+    seeds = texts.where("doc_id is not null").mapInArrow(_minimisers, "k0 long, doc_id long, known boolean")
+    flags = shared_keys(seeds, 1, True, "flags")
+    found = stored(texts.join(flags, "doc_id", "left").select("doc_id", "text", "flags").mapInArrow(_passages, FOUND), "passages")
+
+    pair = "k0 long, k1 long, doc_id long, known boolean"
+    opened = found.where("text is not null")
+    paths = opened.select("doc_id", "a", "b").mapInArrow(_paths, pair)
+    gone_paths = stored(shared_keys(paths, 2, False, "gone_paths"), "shared-paths")
+    with_gone = opened.join(gone_paths, "doc_id", "left").select("doc_id", "text", "starts", "sizes", "a", "b", "gone_paths")
+    gone_edges = stored(shared_keys(with_gone.mapInArrow(_edges, pair), 2, False, "gone_edges"), "shared-edges")
+    both = gone_paths.join(gone_edges, "doc_id", "full")
+    return found.join(both, "doc_id", "left").select(*found.columns, "gone_paths", "gone_edges").mapInArrow(_kept, KEPT)
