@@ -181,7 +181,7 @@ def test_license_scan(spark):
     for i, (family, templates) in enumerate(licenses.TEMPLATES.items()):
         rows.append((100 + i, sentence(r, 20) + "\n" + templates[0] + "\n" + sentence(r, 9)))
         want[100 + i] = family
-    rows += [(200, "All rights reserved, see our own license agreement."), (201, None), (202, ""), (None, "Released under the MIT License."), (203, "x " * 50_000)]
+    rows += [(200, "Copyright of the author. All rights reserved."), (201, None), (202, ""), (None, "Released under the MIT License."), (203, "x " * 50_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' as row", "1 as license")
     got = licenses.license_scan(df).collect()
     by_id = {x.doc_id: x for x in got}
