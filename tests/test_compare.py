@@ -54,15 +54,15 @@ def test_symmetry_of_published_clients(spark):
 def test_write_ladder(spark):
     rows = [(1, 13400.0), (2, 11851.0), (3, 1974.0), (4, 600.0)]
     df = spark.createDataFrame(rows, "ord int, rate double")
-    got = compare.ratio_ladder(df, "ord", "rate").orderBy("ord").collect()
+    got = compare.ratio_ladder(df, "ord", "rate", []).orderBy("ord").collect()
     assert [round(r.gap_to_next, 2) if r.gap_to_next else None for r in got] == [1.13, 6.0, 3.29, None]
     assert round(got[0].total_gap, 1) == 22.3
 
 
 def test_percent_of_level(spark):
     df = spark.createDataFrame([(1, 2200.0), (2, 490.0), (3, 65.0)], "ord int, v double")
-    prev = compare.pct_of_level(df, "ord", "v").orderBy("ord").collect()
-    first = compare.pct_of_level(df, "ord", "v", "first").orderBy("ord").collect()
+    prev = compare.pct_of_level(df, "ord", "v", []).orderBy("ord").collect()
+    first = compare.pct_of_level(df, "ord", "v", [], "first").orderBy("ord").collect()
     assert [r.pct_of_level for r in prev] == [None, 490 / 2200 * 100, 65 / 490 * 100]
     assert [r.pct_of_level for r in first] == [100.0, 490 / 2200 * 100, 65 / 2200 * 100]
 

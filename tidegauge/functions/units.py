@@ -112,19 +112,27 @@ def size_bytes(col: Column | str) -> Column:
 
 def whole_units(col: Column | str, decimals: int) -> Column:
     """A measurement with a fixed number of decimals as a whole number."""
-    return F.rint(_c(col).cast("double") * F.lit(float(10**decimals))).cast("bigint")
+    return F.rint(finite(col) * F.lit(float(10**decimals))).cast("bigint")
 
 
-def exact_sum(col: Column | str, decimals: int | None = 2) -> Column:
-    """Sum whose value does not depend on the order rows arrive in.
+def finite(col: Column | str) -> Column:
+    """A figure as a double; what is not a number (a word such as ``nan`` or ``inf`` in a log) is missing."""
+    v = _c(col).cast("double")
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
 
-    Measurements have a fixed number of decimals, so whole numbers are added
-    and turned into a double once. The number is added in two parts, because
+
+def exact_sum(col: Column | str, decimals: int | None = None) -> Column:
+    """Sum; with ``decimals`` one whose value does not depend on the order rows arrive in.
+
+    Only a caller that knows its measurements to have a fixed number of decimals
+    passes it: digits beyond would be lost. Whole numbers are then added and
+    turned into a double once. The number is added in two parts, because
     one part could pass the range of a bigint on very many rows; a decimal sum
-    would be several times slower. ``decimals=None`` adds doubles.
+    would be several times slower. Without ``decimals`` doubles are added. A
+    figure that is not a number counts as missing.
     """
     if decimals is None:
-        return F.sum(_c(col).cast("double"))
+        return F.sum(finite(col))
     units = whole_units(col, decimals)
     high = F.sum(F.shiftright(units, 20)).cast("decimal(38,0)")
     low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(38,0)")

@@ -166,13 +166,13 @@ def check_expected(
 
 
 def triage(df: DataFrame, by: str | Sequence[str], shape_ok: Column | None = None) -> DataFrame:
-    """Overall state: ok, drift on some metric, or investigate a broken shape."""
+    """Overall state: investigate a broken shape, drift on some metric, some metric missing, or ok."""
     broken = F.lit(False) if shape_ok is None else ~F.bool_and(shape_ok)
     drifted = F.count_if(F.col("verdict") == "drift")
     return df.groupBy(*as_list(by)).agg(
         F.count(F.lit(1)).alias("n"),
         drifted.alias("n_drift"),
-        F.when(broken, "investigate").when(drifted > 0, "drift").otherwise("ok").alias("state"),
+        F.when(broken, "investigate").when(drifted > 0, "drift").when(F.count_if(F.col("verdict") == "missing") > 0, "missing").otherwise("ok").alias("state"),
     )
 
 
@@ -206,7 +206,7 @@ def lift(
     )
 
 
-def ratio_ladder(df: DataFrame, order: str, value: str, by: str | Sequence[str] = ()) -> DataFrame:
+def ratio_ladder(df: DataFrame, order: str, value: str, by: str | Sequence[str]) -> DataFrame:
     """Gap of each level to the next, and of the first level to the last.
 
     A ladder is a list of summary levels, one row each.
@@ -220,7 +220,7 @@ def ratio_ladder(df: DataFrame, order: str, value: str, by: str | Sequence[str]
 
 
 def pct_of_level(
-    df: DataFrame, order: str, value: str, base: str = "previous", by: str | Sequence[str] = ()
+    df: DataFrame, order: str, value: str, by: str | Sequence[str], base: str = "previous"
 ) -> DataFrame:
     """Percent of the level before, or of the first level."""
     w = Window.partitionBy(*as_list(by)).orderBy(order)
@@ -260,14 +260,17 @@ def constant_across(df: DataFrame, key: str | Sequence[str], col: str) -> DataFr
 def replica_agreement(
     df: DataFrame, key: str | Sequence[str], host: str, target: str, hosts: int = 2, missing: str = "MISSING"
 ) -> DataFrame:
-    """Whether all hosts resolve a key to the same target; one row per host."""
+    """Whether ``hosts`` different hosts resolve a key, all to the same target; a host may report more than once.
+
+    ``n_targets`` counts the hosts that resolve it.
+    """
     key = as_list(key)
     found = df.filter(F.col(host).isNotNull())
     return (
-        _distinct_texts(found, key, F.nullif(F.col(target).cast("string"), F.lit(missing)))
+        _distinct_texts(found, [*key, host], F.nullif(F.col(target).cast("string"), F.lit(missing)))
         .groupBy(*key)
         .agg(
-            F.sum(F.when(F.col("_text").isNotNull(), F.col("_n")).otherwise(F.lit(0))).alias("n_targets"),
+            F.count_distinct(F.when(F.col("_text").isNotNull(), F.col(host))).alias("n_targets"),
             F.min("_text").alias("low"),
             F.max("_text").alias("high"),
         )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.units import exact_sum
-from tidegauge.operators.spread import as_list, join_on
+from tidegauge.operators.spread import as_list
 
 
 def dir_of(path: str, depth: int):
@@ -25,7 +25,7 @@ def footprint(entries: DataFrame, depth: int, path: str = "path", length: str =
 
 
 def effective_bw(
-    df: DataFrame, by: str | Sequence[str], size: str, secs: str, decimals: int | None = 2
+    df: DataFrame, by: str | Sequence[str], size: str, secs: str, decimals: int | None = None
 ) -> DataFrame:
     """Bytes moved in a phase / seconds the phase took."""
     return (
@@ -36,7 +36,7 @@ def effective_bw(
 
 
 def overhead_share(
-    df: DataFrame, by: str | Sequence[str], ckpt: str, wall: str, decimals: int | None = 2
+    df: DataFrame, by: str | Sequence[str], ckpt: str, wall: str, decimals: int | None = None
 ) -> DataFrame:
     """Part of a run's wall clock spent in checkpoints."""
     return (
@@ -52,15 +52,17 @@ def total_cost(
     by: str | Sequence[str],
     secs: str,
     sync_secs: str,
-    decimals: int | None = 2,
+    decimals: int | None = None,
 ) -> DataFrame:
-    """Checkpoint blocks plus the sync after the run; no sync counts as 0."""
+    """Checkpoint blocks plus the sync after the run; a run may lack either, which counts as 0."""
     by = as_list(by)
     blocks = events.groupBy(*by).agg(exact_sum(secs, decimals).alias("block_secs"))
     syncs = sync.groupBy(*by).agg(exact_sum(sync_secs, decimals).alias("sync_secs"))
     return (
-        join_on(blocks, syncs, by)
-        .withColumn("sync_secs", F.coalesce("sync_secs", F.lit(0.0)))
+        blocks.withColumn("sync_secs", F.lit(0.0))
+        .unionByName(syncs.withColumn("block_secs", F.lit(0.0)))
+        .groupBy(*by)
+        .agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("block_secs", "sync_secs")])
         .withColumn("total_secs", F.col("block_secs") + F.col("sync_secs"))
     )
 

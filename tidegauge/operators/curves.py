@@ -22,7 +22,7 @@ def bw_curve(
     t_ms: str = "t_ms",
     value: str = "bw_kib",
     bin_s: int = 1,
-    decimals: int | None = 0,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Sum over all threads of a job per time bin; put direction into ``by``."""
     return df.groupBy(*as_list(by), bin_of(t_ms, 1000 * bin_s).alias("bin")).agg(
@@ -35,7 +35,7 @@ def bw_knee(
     by: str | Sequence[str],
     smooth: int = 5,
     frac: float = 0.5,
-    decimals: int | None = 2,
+    decimals: int | None = None,
 ) -> DataFrame:
     """First bin whose smoothed rate is below ``frac`` of the early level.
 

@@ -18,17 +18,17 @@ def event_lines(df: DataFrame, line: str, patterns: Mapping[str, str] = EVENT_PA
 
 
 def head_per(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], n: int) -> DataFrame:
-    return rank_cut(df, by, [F.col(c).asc() for c in as_list(order)], n)
+    return rank_cut(df, by, [F.col(c).asc() for c in as_list(order)], n, slice_by=as_list(order))
 
 
 def tail_per(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], n: int) -> DataFrame:
-    return rank_cut(df, by, [F.col(c).desc() for c in as_list(order)], n)
+    return rank_cut(df, by, [F.col(c).desc() for c in as_list(order)], n, slice_by=as_list(order))
 
 
-def head_per_kind(df: DataFrame, by: str | Sequence[str], order: str, limits: Mapping[str, int]) -> DataFrame:
+def head_per_kind(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], limits: Mapping[str, int]) -> DataFrame:
     """First lines per log and kind, with a limit for each kind."""
     kinds = df.filter(F.col("kind").isin(*limits))
-    cut = rank_cut(kinds, as_list(by) + ["kind"], [F.col(order).asc()], max(limits.values()), rank="_rank")
+    cut = rank_cut(kinds, as_list(by) + ["kind"], [F.col(c).asc() for c in as_list(order)], max(limits.values()), "_rank", as_list(order))
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
     return cut.filter(F.col("_rank") <= F.try_element_at(limit, F.col("kind"))).drop("_rank")
 
@@ -77,25 +77,26 @@ def message_rows(lines: DataFrame, labels: DataFrame, label: str, line: str, mes
 def hot_cold(
     df: DataFrame,
     run: str,
-    step: str,
+    step: str | Sequence[str],
     secs: str,
     hot_rows: int = 10_000_000,
 ) -> DataFrame:
     """First checkpoint of a run is hot, later ones cold; ratio to the first."""
+    at = F.struct(*as_list(step))
     firsts = df.groupBy(run).agg(
-        F.min(step).alias("_first_step"),
-        F.min_by(secs, step).alias("_first_secs"),
+        F.min(at).alias("_first_step"),
+        F.min_by(secs, at).alias("_first_secs"),
         F.count(F.lit(1)).alias("_rows"),
     )
     both = attach(df, firsts, run, step, "_rows", hot_rows)
     return (
-        both.withColumn("regime", F.when(F.col(step) == F.col("_first_step"), "hot").otherwise("cold"))
+        both.withColumn("regime", F.when(at == F.col("_first_step"), "hot").otherwise("cold"))
         .withColumn("ratio", F.try_divide(F.col(secs).cast("double"), F.col("_first_secs").cast("double")))
         .drop("_first_step", "_first_secs")
     )
 
 
-def regime_stats(df: DataFrame, by: str | Sequence[str], secs: str, decimals: int | None = 2) -> DataFrame:
+def regime_stats(df: DataFrame, by: str | Sequence[str], secs: str, decimals: int | None = None) -> DataFrame:
     """Mean, fastest and slowest time per regime."""
     return (
         df.groupBy(*as_list(by))
@@ -117,7 +118,7 @@ def slowdown_tail(
     is_checkpoint: Column,
     tps: str,
     n_steps: int,
-    decimals: int | None = 2,
+    decimals: int | None = None,
     span: int = 4096,
 ) -> DataFrame:
     """Throughput in the ``n_steps`` steps after a checkpoint against the rest.
@@ -158,9 +159,16 @@ def slowdown_tail(
 
 
 def signpost_interval(df: DataFrame, run: str | Sequence[str], ts: str, start: Column, stop: Column) -> DataFrame:
-    """Seconds from the first ``start`` marker to the first ``stop`` marker."""
+    """Seconds from the first ``start`` marker to the first ``stop`` marker at or after it.
+
+    Markers are reduced to one row per run and time before they meet.
+    """
+    run = as_list(run)
+    first = df.groupBy(*run).agg(F.min(F.when(start, F.col(ts))).alias("from_ts"))
+    stops = df.filter(stop).groupBy(*run, F.col(ts).alias("_stop")).agg(F.count(F.lit(1)).alias("_n"))
+    later = join_on(stops, first, run, "inner", null_safe=True).filter(F.col("_stop") >= F.col("from_ts"))
+    ends = later.groupBy(*run).agg(F.min("_stop").alias("to_ts"))
     return (
-        df.groupBy(*as_list(run))
-        .agg(F.min(F.when(start, F.col(ts))).alias("from_ts"), F.min(F.when(stop, F.col(ts))).alias("to_ts"))
+        join_on(first, ends, run, null_safe=True)
         .withColumn("secs", (epoch_us("to_ts") - epoch_us("from_ts")) / F.lit(1e6))
     )

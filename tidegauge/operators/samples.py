@@ -52,7 +52,7 @@ def io_summary(
     period: float = 2,
     threshold: float = 50,
     skip_first: bool = True,
-    decimals: int | None = 2,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Peak, volume and active average per log, in one aggregation.
 
@@ -127,7 +127,7 @@ def bursts(
     r: str = "r_mbs",
     w: str = "w_mbs",
     gap_seconds: int = 3,
-    decimals: int | None = 2,
+    decimals: int | None = None,
     span: int = 4096,
 ) -> DataFrame:
     """Runs of samples no more than ``gap_seconds`` apart, as one row each.
@@ -275,7 +275,7 @@ def load_regime(df: DataFrame, bytes_read: str, size: str, full: float = 0.95, n
     )
 
 
-def near_zero(df: DataFrame, by: str | Sequence[str], col: str, eps: float, decimals: int | None = 2) -> DataFrame:
+def near_zero(df: DataFrame, by: str | Sequence[str], col: str, eps: float, decimals: int | None = None) -> DataFrame:
     """Whether a log's total stays below ``eps``."""
     sums = df.groupBy(*as_list(by)).agg(F.coalesce(exact_sum(col, decimals), F.lit(0.0)).alias("total"))
     return sums.withColumn("is_zero", F.col("total") < eps)

@@ -49,21 +49,25 @@ def join_on(
 
 
 def flag_first(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], out: str = "is_first") -> DataFrame:
-    """Mark each group's row with the smallest ``order`` (unique per group).
+    """Mark exactly one row of each group, the one with the smallest ``order``.
 
-    The group minimum is a pre-aggregated pass over the key columns only. It is
-    joined on group *and* order, so the join spreads a hot group evenly.
+    A null order comes last. Equal orders are told apart by a hash of the row's
+    other columns, and equal rows are numbered, so never more than one row is
+    marked. The group minimum is a pre-aggregated pass over few columns. It is
+    joined on group, order and hash, so both the join and the numbering spread
+    a hot group evenly.
     """
     by, order = as_list(by), as_list(order)
-    # a plain column keeps the aggregation on hashes; a struct needs a sort
-    first = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    smallest = df.groupBy(*by).agg(F.min(first).alias("_first"))
-    parts = ["_first"] if len(order) == 1 else [f"_first.{c}" for c in order]
-    firsts = smallest.select(
-        *by, *[F.col(p).alias(c) for p, c in zip(parts, order)], F.lit(True).alias("_hit")
-    )
-    flagged = join_on(df, firsts, by + order, null_safe=True)
-    return flagged.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
+    hashed = [f.name for f in df.schema if "map" not in f.dataType.simpleString()]
+    keyed = df.withColumn("_tie", F.xxhash64(*hashed))
+    parts = [c for o in order for c in (F.col(o).isNull().alias(f"_null_{o}"), F.col(o))]
+    smallest = keyed.groupBy(*by).agg(F.min(F.struct(*parts, "_tie")).alias("_first"))
+    at = [*order, "_tie"]
+    firsts = smallest.select(*by, *[F.col(f"_first.{c}").alias(c) for c in at], F.lit(True).alias("_hit"))
+    joined = join_on(keyed, firsts, by + at, null_safe=True)
+    same = Window.partitionBy(*by, *at).orderBy(F.lit(1))
+    flagged = joined.withColumn(out, F.coalesce("_hit", F.lit(False)) & (F.row_number().over(same) == 1))
+    return flagged.drop("_hit", "_tie")
 
 
 def rank_cut(
@@ -72,22 +76,24 @@ def rank_cut(
     order: Sequence[Column],
     n: int,
     rank: str | None = None,
+    slice_by: Sequence[str] = (),
 ) -> DataFrame:
     """First ``n`` rows per group.
 
     Up to the window group limit Spark cuts every group to ``n`` rows in each
-    task before the shuffle. Above it, rows are first cut inside hashed slices
-    of the group, so that the last step gets at most ``slices * n`` rows.
+    task before the shuffle. Above it, rows are first cut inside slices of the
+    group by a hash of ``slice_by``, ever fewer of them, so that no step gets
+    more than eight times ``n`` rows of what the step before has kept.
     """
     by = as_list(by)
     name = rank or "_rank"
     spark = df.sparkSession
     limit = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if n > limit:
-        slices = 64
-        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(slices)))
-        w = Window.partitionBy(*by, "_slice").orderBy(*order)
-        df = sliced.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r", "_slice")
+        for slices in (512, 64, 8):
+            sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*by, *slice_by), F.lit(slices)))
+            w = Window.partitionBy(*by, "_slice").orderBy(*order)
+            df = sliced.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r", "_slice")
     w = Window.partitionBy(*by).orderBy(*order)
     cut = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
     return cut if rank else cut.drop(name)

@@ -77,16 +77,14 @@ def chat_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     "head_per_kind",
     f"""WITH {LINES}, r AS (
-  SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY doc_id * 100000 + line_no) AS rn FROM k
+  SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY doc_id, line_no) AS rn FROM k
   WHERE kind IN ('licence', 'address', 'short'))
 SELECT source, kind, doc_id, line_no FROM r
 WHERE rn <= CASE kind WHEN 'licence' THEN 10 WHEN 'address' THEN 4 ELSE 30 END""",
 )
 def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = events.event_lines(doc_lines(spark, sf_dir), "line", LINE_KINDS).withColumn(
-        "_at", F.col("doc_id") * 100000 + F.col("line_no")
-    )
-    cut = events.head_per_kind(tagged, "source", "_at", {"licence": 10, "address": 4, "short": 30})
+    tagged = events.event_lines(doc_lines(spark, sf_dir), "line", LINE_KINDS)
+    cut = events.head_per_kind(tagged, "source", ["doc_id", "line_no"], {"licence": 10, "address": 4, "short": 30})
     return cut.select("source", "kind", "doc_id", F.col("line_no").cast("bigint").alias("line_no"))
 
 
@@ -120,12 +118,15 @@ def extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- heads, tails, plateaus, regimes ---------------------------------------------
 
 
+STEP = ["day", "o_orderkey"]
+
+
 def ordered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a customer in time order, by a whole-number step."""
+    """Orders of a customer in time order, by day and number."""
     return load(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("run"),
         "o_orderkey",
-        (F.unix_date(F.to_date("o_orderdate")) * F.lit(10**10) + F.col("o_orderkey")).alias("step"),
+        F.to_date("o_orderdate").alias("day"),
         F.col("o_totalprice").alias("secs"),
         "o_orderpriority",
     )
@@ -133,51 +134,50 @@ def ordered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STEPS = """
 s AS (
-  SELECT o_custkey AS run, o_orderkey, datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 10000000000
-    + o_orderkey AS step, o_totalprice AS secs, o_orderpriority FROM orders
+  SELECT o_custkey AS run, o_orderkey, CAST(o_orderdate AS DATE) AS day, o_totalprice AS secs, o_orderpriority FROM orders
 )"""
 
 
 @registered(
     "head_per",
-    f"""WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS rn FROM s)
+    f"""WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY day, o_orderkey) AS rn FROM s)
 SELECT run, o_orderkey FROM r WHERE rn <= 4""",
 )
 def head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.head_per(ordered_orders(spark, sf_dir), "run", "step", 4).select("run", "o_orderkey")
+    return events.head_per(ordered_orders(spark, sf_dir), "run", STEP, 4).select("run", "o_orderkey")
 
 
 @registered(
     "tail_per",
-    f"""WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS rn FROM s)
+    f"""WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY day DESC, o_orderkey DESC) AS rn FROM s)
 SELECT run, o_orderkey FROM r WHERE rn <= 3""",
 )
 def tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.tail_per(ordered_orders(spark, sf_dir), "run", "step", 3).select("run", "o_orderkey")
+    return events.tail_per(ordered_orders(spark, sf_dir), "run", STEP, 3).select("run", "o_orderkey")
 
 
 @registered(
     "memory_plateau",
-    f"""WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS rn FROM s),
+    f"""WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY day DESC, o_orderkey DESC) AS rn FROM s),
 d AS (SELECT DISTINCT run, o_orderpriority FROM r WHERE rn <= 5)
 SELECT run, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS plateau FROM d GROUP BY run""",
 )
 def plateau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events.memory_plateau(ordered_orders(spark, sf_dir), "run", "step", "o_orderpriority", 5)
+    rows = events.memory_plateau(ordered_orders(spark, sf_dir), "run", STEP, "o_orderpriority", 5)
     return rows.withColumn("plateau", F.array_join("plateau", ","))
 
 
 HOT = STEPS + """,
 h AS (
-  SELECT run, step, secs, CASE WHEN row_number() OVER w = 1 THEN 'hot' ELSE 'cold' END AS regime,
+  SELECT run, day, o_orderkey, secs, CASE WHEN row_number() OVER w = 1 THEN 'hot' ELSE 'cold' END AS regime,
          secs / nullif(first_value(secs) OVER w, 0) AS ratio
-  FROM s WINDOW w AS (PARTITION BY run ORDER BY step)
+  FROM s WINDOW w AS (PARTITION BY run ORDER BY day, o_orderkey)
 )"""
 
 
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ordered_orders(spark, sf_dir).select("run", "step", "secs")
-    return events.hot_cold(rows, "run", "step", "secs")
+    rows = ordered_orders(spark, sf_dir).select("run", *STEP, "secs")
+    return events.hot_cold(rows, "run", STEP, "secs")
 
 
 @registered("hot_cold", f"WITH {HOT} SELECT * FROM h")
@@ -192,7 +192,7 @@ SELECT regime, count(*) AS n, min(secs) AS min_secs, max(secs) AS max_secs,
   CAST(sum(CAST(secs AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_secs FROM h GROUP BY regime""",
 )
 def regime_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.regime_stats(regimes(spark, sf_dir), "regime", "secs")
+    return events.regime_stats(regimes(spark, sf_dir), "regime", "secs", decimals=2)
 
 
 # ---- parsers on raw text made from the tables --------------------------------------

@@ -80,7 +80,7 @@ def sweep_text(report: DataFrame) -> DataFrame:
 
 def device_report(samples: DataFrame, threshold: float = 50, period: float = 2) -> DataFrame:
     """One summary row per log, by label."""
-    return io_summary(samples, "label", "seq", threshold=threshold, period=period).orderBy("label")
+    return io_summary(samples, "label", "seq", threshold=threshold, period=period, decimals=2).orderBy("label")
 
 
 def checkpoint_report(lines: DataFrame) -> DataFrame:

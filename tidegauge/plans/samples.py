@@ -50,7 +50,7 @@ SUMMARY = """
 
 @registered("io_summary", f"WITH {NUMBERED} SELECT label, {SUMMARY} FROM x GROUP BY label")
 def io_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.io_summary(io_samples(spark, sf_dir), "label", "seq")
+    return samples.io_summary(io_samples(spark, sf_dir), "label", "seq", decimals=2)
 
 
 @registered(
@@ -59,7 +59,7 @@ def io_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f" SELECT device, {SUMMARY} FROM x GROUP BY device",
 )
 def io_summary_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.io_summary(io_samples(spark, sf_dir), "device", "seq")
+    return samples.io_summary(io_samples(spark, sf_dir), "device", "seq", decimals=2)
 
 
 @registered(
@@ -124,7 +124,7 @@ b AS (
 
 def hour_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = samples.active_samples(io_samples(spark, sf_dir), "r_mbs", "w_mbs", 50)
-    return samples.bursts(active, "label", "ts", gap_seconds=3600, span=64)
+    return samples.bursts(active, "label", "ts", gap_seconds=3600, span=64, decimals=2)
 
 
 @registered("bursts", f"WITH {RUNS} SELECT * FROM b")
@@ -210,7 +210,7 @@ def in_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT label, total, total < 2500 AS is_zero FROM s""",
 )
 def near_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.near_zero(run_samples(spark, sf_dir), "label", "r_mbs", 2500.0)
+    return samples.near_zero(run_samples(spark, sf_dir), "label", "r_mbs", 2500.0, decimals=2)
 
 
 @registered(
@@ -231,9 +231,10 @@ def run_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "signpost_interval",
-    """WITH s AS (
-  SELECT user_id AS run, min(ts) FILTER (WHERE event_type = 'signup') AS from_ts,
-         min(ts) FILTER (WHERE event_type = 'purchase') AS to_ts FROM events GROUP BY user_id)
+    """WITH f AS (
+  SELECT user_id AS run, min(ts) FILTER (WHERE event_type = 'signup') AS from_ts FROM events GROUP BY user_id),
+s AS (SELECT run, from_ts, (SELECT min(ts) FROM events e WHERE e.user_id = f.run AND e.event_type = 'purchase'
+    AND e.ts >= f.from_ts) AS to_ts FROM f)
 SELECT *, (epoch_us(to_ts) - epoch_us(from_ts)) / 1e6 AS secs FROM s""",
 )
 def signposts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +258,7 @@ SELECT *, steady_tps / nullif(tail_tps, 0) AS slowdown FROM m""",
 )
 def slowdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", "event_type", "value")
-    return slowdown_tail(events, "run", "event_id", F.col("event_type") == "error", "value", 200, span=1024)
+    return slowdown_tail(events, "run", "event_id", F.col("event_type") == "error", "value", 200, span=1024, decimals=2)
 
 
 @registered(
@@ -326,7 +327,7 @@ SELECT f.job, e.early, min(bin) FILTER (WHERE smoothed < e.early * 0.5) AS knee_
 FROM f JOIN e ON f.job = e.job GROUP BY f.job, e.early""",
 )
 def bw_knee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.bw_knee(hour_curve(spark, sf_dir), "job", smooth=5, frac=0.5)
+    return curves.bw_knee(hour_curve(spark, sf_dir), "job", smooth=5, frac=0.5, decimals=2)
 
 
 @registered(
@@ -354,6 +355,6 @@ def two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = io_samples(spark, sf_dir)
 
     def total(col: str, name: str) -> DataFrame:
-        return rows.groupBy("label").agg(exact_sum(col).alias(name))
+        return rows.groupBy("label").agg(exact_sum(col, 2).alias(name))
 
     return cross_source(total("r_mbs", "a"), total("w_mbs", "b"), "label", "a", "b")

@@ -50,7 +50,7 @@ SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, device, max(r
 FROM x WHERE window_start + INTERVAL 1 HOUR <= {FINAL} GROUP BY window_start, device""",
 )
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = stream_io_summary(sample_stream(spark, sf_dir), "device", window="1 hour", watermark="1 hour")
+    summary = stream_io_summary(sample_stream(spark, sf_dir), "device", window="1 hour", watermark="1 hour", decimals=2)
     return drain_to_table(summary, "stream-summary")
 
 
@@ -80,7 +80,7 @@ SELECT window_start, window_start + INTERVAL 3 HOUR AS window_end, device, count
 FROM s WHERE window_start + INTERVAL 3 HOUR <= {FINAL} GROUP BY window_start, device""",
 )
 def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = stream_rate(sample_stream(spark, sf_dir), "device", window="3 hours", slide="1 hour", watermark="1 hour")
+    rates = stream_rate(sample_stream(spark, sf_dir), "device", window="3 hours", slide="1 hour", watermark="1 hour", decimals=2)
     return drain_to_table(rates, "stream-rate")
 
 

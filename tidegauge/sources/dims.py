@@ -74,23 +74,37 @@ EXPECTED = (
 )
 
 
+def fixed(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A small table of fixed values as literal rows: Spark knows its size and can broadcast it."""
+
+    def literal(v) -> str:
+        if v is None:
+            return "null"
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else repr(v)
+
+    columns = [c.split() for c in schema.split(", ")]
+    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    casts = ", ".join(f"cast({name} as {kind}) as {name}" for name, kind in columns)
+    return spark.sql(f"select {casts} from values {values} as t({', '.join(n for n, _ in columns)})")
+
+
 def spec_df(spark: SparkSession, values: Mapping[str, float] | None = None) -> DataFrame:
     """Denominators by name; ``values`` replaces single figures."""
     rows = list({**SPEC, **(values or {})}.items())
-    return spark.createDataFrame(rows, "spec_metric string, spec double")
+    return fixed(spark, rows, "spec_metric string, spec double")
 
 
 def sweep_df(spark: SparkSession) -> DataFrame:
     rows = [(i, *r) for i, r in enumerate(SWEEP)]
-    return spark.createDataFrame(rows, "ord int, job string, title string, kind string, op string, spec_metric string")
+    return fixed(spark, rows, "ord int, job string, title string, kind string, op string, spec_metric string")
 
 
 def catalogue_df(spark: SparkSession, entries=BATTERY) -> DataFrame:
     rows = [(i, *r) for i, r in enumerate(entries)]
-    return spark.createDataFrame(rows, "ord int, test string, op string, description string")
+    return fixed(spark, rows, "ord int, test string, op string, description string")
 
 
 def expected_df(spark: SparkSession, entries=EXPECTED) -> DataFrame:
-    return spark.createDataFrame(
-        list(entries), "scenario string, metric string, regime string, lo double, hi double, tol_pct double"
+    return fixed(
+        spark, entries, "scenario string, metric string, regime string, lo double, hi double, tol_pct double"
     )

@@ -136,10 +136,10 @@ def parse_job_files(files: DataFrame, path: str = "path", text: str = "value") -
     sections = files.select(path, F.split(clean, r"(?m)^\s*\[").alias("_parts")).select(
         path,
         F.transform(
-            F.slice("_parts", 2, 1 << 20),
+            F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0))),
             lambda s: F.struct(
                 F.trim(F.substring_index(s, "]", 1)).alias("name"),
-                F.substring(s, F.locate("]", s) + 1, F.lit(1 << 30)).alias("body"),
+                F.substring(s, F.locate("]", s) + 1, F.length(s)).alias("body"),
             ),
         ).alias("_sections"),
     )

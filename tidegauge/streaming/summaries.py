@@ -58,7 +58,7 @@ def stream_io_summary(
     w: str = "w_mbs",
     period: float = 2,
     threshold: float = 50,
-    decimals: int | None = 2,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Peak, volume and active average per tumbling window."""
     by = as_list(by)
@@ -138,7 +138,7 @@ def stream_rate(
     watermark: str = "1 minute",
     r: str = "r_mbs",
     w: str = "w_mbs",
-    decimals: int | None = 2,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Mean rates over sliding windows."""
     by = as_list(by)
