@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tests.test_sources import capture, device_row
@@ -126,3 +128,36 @@ def test_tables_are_partitioned_and_pruned(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["phase=cold", "phase=hot"]
     report.write_lines(df.select(F.col("id").cast("string").alias("line")).orderBy("line"), str(tmp_path / "l"))
     assert spark.read.text(str(tmp_path / "l")).count() == 100
+
+
+STAMPS = {
+    "iso": [f"2026-05-{d:02d}T10:00:00" for d in (1, 2, 3)],
+    "day first": [f"{d}/05/2026 10:00:00" for d in (13, 14, 15)],
+    "month first, out of order": ["05/03/2026 10:00:02", "05/03/2026 10:00:00", "05/03/2026 10:00:04"],
+    "none": ["", "", ""],
+}
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+@pytest.mark.parametrize("between", ["", "blank"])
+@pytest.mark.parametrize("stamps", STAMPS)
+def test_device_report_whatever_the_stamps(spark, write, stamps, between, ends):
+    """Exactly the first row of each file goes; equal names in two folders and blanks in names stay apart."""
+    row = "nvme0n1 1.0 {} 0 0 0 0 2.0 {} 0 0 0 0 0.5 1.0"
+
+    def log(*rates):
+        parts = []
+        for stamp, (r, w) in zip(STAMPS[stamps], rates):
+            parts += [stamp, row.format(r, w), *([""] if between else [])]
+        return ends.join(x for x in parts if x or between) + ends
+
+    root = write({"d 3/iostat-train-h1.log": log((5000, 1), (100, 403), (60, 0)), "d4/iostat-train-h1.log": log((9000, 9), (70, 8), (70, 8))})
+    got = reports.device_report(iostat.read_iostat(spark, f"{root}/*/iostat-*.log")).collect()
+    found = {r.path.split("/")[-2]: (r.label, r.peak_r, r.peak_w, r.active_n, r.total_r_gb) for r in got}
+    assert found == {"d 3": ("train-h1", 100.0, 403.0, 2, 160 * 2 / 1024), "d4": ("train-h1", 70.0, 8.0, 2, 140 * 2 / 1024)}
+
+
+def test_every_sample_has_the_stamp_of_its_report(spark, write):
+    text = "\r\n".join(f"05/03/2026 10:00:0{i}\r\nnvme0n1 1 {i} 0 0 0 0 2 {i} 0 0 0 0 0 1" for i in range(4))
+    rows = iostat.read_iostat(spark, f"{write({'iostat-a.log': text})}/iostat-a.log").orderBy("seq").collect()
+    assert [(r.stamp[-1], r.r_mbs) for r in rows] == [(str(i), float(i)) for i in range(4)]

@@ -193,3 +193,20 @@ def test_interval_join_against_brute_force(spark):
     for bucket in (1, 60, 100000):
         got = spread.interval_join(p, q, "k", F.col("at"), F.col("lo"), F.col("hi"), bucket)
         assert sorted((r.i, r.j) for r in got.collect()) == want
+
+
+def test_exactly_one_first_row(spark):
+    rows = [("a", "d", 1, None, 1.0, 1.0), ("a", "d", 1, None, 1.0, 1.0), ("a", "d", 1, None, 2.0, 1.0), ("a", "d", None, None, 3.0, 1.0)]
+    rows += [("b", "d", None, None, float(k), 0.0) for k in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    left = samples.drop_since_boot(df, "label", "seq").collect()
+    assert [sum(r.label == k for r in left) for k in "ab"] == [3, 3] and any(r.seq is None for r in left if r.label == "a")
+
+
+def test_sums_keep_small_and_odd_figures(spark):
+    rows = [("a", "d", i, None, 0.004, 0.0) for i in range(1001)] + [("b", "d", 0, None, float("nan"), 1.0), ("b", "d", 1, None, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.label: r for r in samples.near_zero(df, "label", "r_mbs", 1.0).collect()}
+    assert abs(got["a"].total - 4.004) < 1e-9 and not got["a"].is_zero and got["b"].total == 2.0
+    rounded = {r.label: r for r in samples.near_zero(df, "label", "r_mbs", 1.0, decimals=2).collect()}
+    assert rounded["b"].total == 2.0

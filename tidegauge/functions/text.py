@@ -49,6 +49,11 @@ def mem_extracts(line: Column | str, pattern: str = MEM_PATTERN) -> Column:
     return F.regexp_extract_all(_c(line), F.lit(f"({pattern})"), F.lit(1))
 
 
+def file_path() -> Column:
+    """Path of the file a row was read from, without the escapes of a URI."""
+    return F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def base_name(path: Column | str) -> Column:
     return F.element_at(F.split(_c(path), "/"), -1)
 

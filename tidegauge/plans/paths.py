@@ -16,7 +16,7 @@ from tidegauge.sources.logs import parse_training_lines
 
 @registered("device_report", f"WITH {NUMBERED} SELECT 'log-' || label AS label, {SUMMARY} FROM x GROUP BY label")
 def device(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.device_report(parse_iostat_blocks(capture_blocks(spark, sf_dir)))
+    return reports.device_report(parse_iostat_blocks(capture_blocks(spark, sf_dir))).drop("path")
 
 
 # ---- sweep -----------------------------------------------------------------------

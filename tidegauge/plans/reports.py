@@ -79,8 +79,9 @@ def sweep_text(report: DataFrame) -> DataFrame:
 
 
 def device_report(samples: DataFrame, threshold: float = 50, period: float = 2) -> DataFrame:
-    """One summary row per log, by label."""
-    return io_summary(samples, "label", "seq", threshold=threshold, period=period, decimals=2).orderBy("label")
+    """One summary row per log file; files of different folders may share a label."""
+    each = io_summary(samples, ["path", "label"], "seq", threshold=threshold, period=period, decimals=2)
+    return each.orderBy("label", "path")
 
 
 def checkpoint_report(lines: DataFrame) -> DataFrame:

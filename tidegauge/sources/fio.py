@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.functions.text import base_name, label_from_path
+from tidegauge.functions.text import base_name, file_path, label_from_path
 from tidegauge.functions.units import to_mb_per_s
 
 _SIDE = T.StructType(
@@ -162,5 +162,5 @@ def parse_job_files(files: DataFrame, path: str = "path", text: str = "value") -
 
 
 def read_job_params(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.text(path, wholetext=True).select("value", file_path().alias("path"))
     return parse_job_files(files).select(label_from_path("path", suffix=".fio").alias("file"), "job", "params")

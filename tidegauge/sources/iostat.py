@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.functions.text import host_of, label_from_path, phase_of
+from tidegauge.functions.text import file_path, host_of, label_from_path, phase_of
 from tidegauge.operators.samples import on_device
 
 # Stamp line, and positions of read and write rate in a row.
@@ -28,12 +28,16 @@ def parse_iostat_blocks(
     stamp_formats: Sequence[str] = STAMP_FORMATS,
     prefix: str = "iostat-",
     by_header: bool = True,
+    record: Sequence[str] = (),
 ) -> DataFrame:
-    """Typed samples from report blocks (stamp line, header, device rows).
-
-    The rate columns are found by the names in the header, at the usual
-    positions where the header lacks them. ``seq`` orders the samples of a log
-    by stamp and by row within the report.
+    """Typed samples from text that holds reports (stamp line, header, device rows), one or many per row.
+
+    Text is cut at stamp lines, so every sample gets the stamp of its own
+    report, whatever parts them. The rate columns are found by the names in the
+    header, at the usual positions where the header lacks them. ``seq`` orders
+    the samples of a log: by the ``record`` columns, which say where a text
+    lies in its file, and the place in the text; the stamp only takes part
+    where no ``record`` is given. ``path`` stays, as files may share a label.
     """
     text = F.replace(F.col(block), F.lit("\r"), F.lit(""))
 
@@ -46,38 +50,47 @@ def parse_iostat_blocks(
         at = F.array_position("_names", name).cast("int")
         return F.when(at > 0, at).otherwise(F.lit(usual))
 
+    def wanted(line: Column) -> Column:
+        line = F.ltrim(line)
+        if device is not None:
+            return line.startswith(device)
+        return (line != "") & ~line.rlike(r"^[0-9][0-9]/") & ~line.startswith("Device") & ~line.startswith("Linux ")
+
     # what holds for a whole report is found before its rows are taken apart
-    heads = blocks.select(
-        label_from_path(path, prefix).alias("label"),
-        F.split(text, "\n").alias("_lines"),
-        F.trim(F.regexp_extract(text, STAMP_LINE, 1)).alias("_stamp"),
-        words(F.regexp_extract(text, HEADER_LINE, 1)).alias("_names"),
+    reports = blocks.select(
+        F.col(path).alias("path"),
+        *record,
+        F.regexp_extract(text, HEADER_LINE, 1).alias("_header"),
+        F.posexplode(F.split(text, r"(?m)(?=^[0-9][0-9]/)")).alias("_part", "_text"),
+    ).select(
+        "path",
+        *record,
+        "_part",
+        F.trim(F.regexp_extract("_text", STAMP_LINE, 1)).alias("_stamp"),
+        words(F.coalesce(F.nullif(F.regexp_extract("_text", HEADER_LINE, 1), F.lit("")), "_header")).alias("_names"),
+        F.filter(
+            F.transform(F.split("_text", "\n"), lambda line, i: F.struct(i.alias("_pos"), line.alias("_line"))),
+            lambda x: wanted(x["_line"]),
+        ).alias("_lines"),
     )
     stamped = F.coalesce(*[F.try_to_timestamp(F.col("_stamp"), F.lit(f)) for f in stamp_formats])
-    reports = heads.select(
-        "label",
+    rows = reports.where(F.size("_lines") > 0).select(
+        "path",
+        *record,
+        "_part",
         F.nullif(F.col("_stamp"), F.lit("")).alias("stamp"),
         stamped.alias("ts"),
         position("rMB/s", READ_FIELD).alias("_r_at"),
         position("wMB/s", WRITE_FIELD).alias("_w_at"),
-        "_lines",
+        F.inline("_lines"),
     )
-    rows = reports.select(
-        "label", "stamp", "ts", "_r_at", "_w_at", F.posexplode("_lines").alias("_pos", "_line")
-    )
-    line = F.ltrim(F.col("_line"))
-    if device is None:
-        kept = (line != "") & ~line.rlike(r"^[0-9][0-9]/") & ~line.startswith("Device") & ~line.startswith("Linux ")
-    else:
-        kept = line.startswith(device)
 
     def field(at: Column) -> Column:
         return F.try_element_at(F.col("_fields"), at).try_cast("double")
 
-    fields = rows.filter(kept).select(
-        "label", "stamp", "ts", "_r_at", "_w_at", "_pos", words(F.col("_line")).alias("_fields")
-    )
+    fields = rows.withColumn("_fields", words(F.col("_line"))).withColumn("label", label_from_path("path", prefix))
     samples = fields.select(
+        "path",
         "label",
         phase_of("label").alias("phase"),
         host_of("label").alias("host"),
@@ -87,7 +100,7 @@ def parse_iostat_blocks(
         field(F.col("_r_at")).alias("r_mbs"),
         field(F.col("_w_at")).alias("w_mbs"),
         field(F.lit(-1)).alias("util_pct"),
-        (F.unix_seconds("ts") * F.lit(65536) + F.col("_pos")).alias("seq"),
+        F.struct(*(record or ["ts"]), "_part", "_pos").alias("seq"),
     )
     return on_device(samples, device, match)
 
@@ -99,14 +112,19 @@ def read_iostat(
     match: str = "exact",
     **parse,
 ) -> DataFrame:
-    """Samples of one log or of all logs a glob names.
+    """Samples of one log or of all logs a glob names, in the order of the file whatever their stamps.
 
-    Reports are separated by an empty line, so one record holds a stamp and its
-    rows and large logs stay splittable.
+    Records end at an empty line where logs have them, so large logs stay
+    splittable; a log without empty lines is one record.
     """
     blocks = (
         spark.read.option("lineSep", "\n\n")
         .text(path)
-        .select("value", F.col("_metadata.file_path").alias("path"))
+        .select(
+            "value",
+            file_path().alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("record"),
+        )
     )
-    return parse_iostat_blocks(blocks, device=device, match=match, **parse)
+    return parse_iostat_blocks(blocks, device=device, match=match, record=["block", "record"], **parse)

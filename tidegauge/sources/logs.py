@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.text import (
     base_name,
     event_fields,
+    file_path,
     host_of,
     label_from_path,
     line_ts,
@@ -25,7 +26,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     the row id of the scan grows along the file (it is an order, not a count).
     """
     return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
+        file_path().alias("path"),
         F.monotonically_increasing_id().alias("line_no"),
         F.regexp_replace("value", "\r$", "").alias("line"),
     )
