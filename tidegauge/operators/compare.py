@@ -278,14 +278,18 @@ def replica_agreement(
     )
 
 
+def source_agreement(df: DataFrame, a: str, b: str, tol: float = 0.05) -> DataFrame:
+    """Relative difference of two columns with the same rate, and whether it is small."""
+    return df.withColumn("rel_diff", F.try_divide(F.abs(F.col(a) - F.col(b)), F.col(b))).withColumn(
+        "agree", F.col("rel_diff") <= tol
+    )
+
+
 def cross_source(
     df_a: DataFrame, df_b: DataFrame, key: str | Sequence[str], a: str, b: str, tol: float = 0.05
 ) -> DataFrame:
     """Two sources of the same rate; both have one row per key."""
-    joined = join_on(df_a, df_b, key, "inner")
-    return joined.withColumn("rel_diff", F.try_divide(F.abs(F.col(a) - F.col(b)), F.col(b))).withColumn(
-        "agree", F.col("rel_diff") <= tol
-    )
+    return source_agreement(join_on(df_a, df_b, key, "inner"), a, b, tol)
 
 
 def mixed_rate(df: DataFrame, r: str, w: str) -> DataFrame:

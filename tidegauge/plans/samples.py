@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.units import epoch_us, exact_sum
 from tidegauge.operators import curves, samples
-from tidegauge.operators.compare import cross_source
-from tidegauge.operators.events import signpost_interval, slowdown_tail
+from tidegauge.operators.compare import source_agreement
+from tidegauge.operators.events import head_per, signpost_interval, slowdown_tail
 from tidegauge.operators.intervals import align_events, elapsed, samples_in_run
 from tidegauge.plans.registry import load, registered
 
@@ -310,6 +310,26 @@ def hour_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.bw_curve(rows, "job", "t_ms", "value", bin_s=3600, decimals=2)
 
 
+@registered(
+    "bw_head",
+    """WITH p AS (
+  SELECT event_type AS job, user_id % 4 AS thread, event_id, epoch_us(ts) // 1000 / 1000 AS secs,
+    row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events)
+SELECT job, thread, event_id, secs FROM p WHERE rn <= 10""",
+)
+def first_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First logged intervals of each thread of a job."""
+    points = load(spark, sf_dir, "events").select(
+        F.col("event_type").alias("job"),
+        (F.col("user_id") % 4).alias("thread"),
+        "event_id",
+        F.floor(epoch_us("ts") / 1000).alias("t_ms"),
+        F.get_json_object("props", "$.k").try_cast("bigint").alias("bw_kib"),
+    )
+    first = head_per(points, ["job", "thread"], ["t_ms", "event_id"], 10)
+    return curves.bw_points(first).select("job", "thread", "event_id", "secs")
+
+
 @registered("bw_curve", f"WITH {CURVE} SELECT * FROM curve")
 def bw_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hour_curve(spark, sf_dir)
@@ -352,9 +372,5 @@ def bw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT label, a, b, abs(a - b) / nullif(b, 0) AS rel_diff, abs(a - b) / nullif(b, 0) <= 0.05 AS agree FROM s""",
 )
 def two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = io_samples(spark, sf_dir)
-
-    def total(col: str, name: str) -> DataFrame:
-        return rows.groupBy("label").agg(exact_sum(col, 2).alias(name))
-
-    return cross_source(total("r_mbs", "a"), total("w_mbs", "b"), "label", "a", "b")
+    totals = io_samples(spark, sf_dir).groupBy("label").agg(exact_sum("r_mbs", 2).alias("a"), exact_sum("w_mbs", 2).alias("b"))
+    return source_agreement(totals, "a", "b")

@@ -188,8 +188,9 @@ def stream_alerts(
 def drain_to_table(sdf: DataFrame, purpose: str, out: str | None = None) -> DataFrame:
     """Process what is available now into a parquet table and return the table.
 
-    Output and progress lie in the shared folder, so a restarted run goes on
-    where it stopped and a lost executor loses nothing.
+    Output and progress lie in the shared folder, so a lost executor loses
+    nothing. With ``out`` a restarted run goes on where it stopped; without it
+    every call starts a table of its own.
     """
     spark = sdf.sparkSession
     root = out or shared_dir(spark, purpose)
