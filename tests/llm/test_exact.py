@@ -306,7 +306,7 @@ def test_blocks_are_skipped():
     n = 4000
     terms = [np.array([1]) if i % 400 else np.array([1, 2]) for i in range(n)]
     sizes = np.array([len(t) for t in terms])
-    shard = search.Shard(np.arange(n), r.integers(5, 50, n), np.concatenate(terms), np.ones(sizes.sum(), np.int64), sizes, 20.0)
+    shard = search.Shard(n, r.integers(5, 50, n), np.concatenate(terms), np.ones(sizes.sum(), np.int64), sizes, 20.0)
     found, scores = shard.top(np.array([0, 1]), np.array([0.01, 5.0]))
     assert sorted(found.tolist()) == list(range(0, n, 400)) and len(scores) == 10
 

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,13 +47,14 @@ def seed_hashes(words: list[str]) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for item, text in zip(b["item_id"], b["text"]):
+        for item, text in zip(*(c.to_pylist() for c in b.columns)):
             for mask, row in enumerate(seed_hashes(words_of(text)).view(np.int64)):
                 out += [(item, at, mask, h) for at, h in enumerate(row.tolist())]
-        yield pd.DataFrame(out, columns=["item_id", "item_pos", "mask", "hash"])
+        columns, types = list(zip(*out)) or [[]] * 4, [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["item_id", "item_pos", "mask", "hash"])
 
 
 REGION = "doc_id long, text_hash long, region long, start long, words array<string>, hits array<struct<pos:long,mask:int,hash:long>>"
@@ -114,13 +114,15 @@ def overlap(doc: list[str], item: list[str], shift: int) -> tuple[int, int, int]
     return int(first + a), int(b - a), int(same[a:b].sum())
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [overlap(list(d), words_of(t), int(s) - int(r)) for d, t, s, r in zip(b["words"], b["text"], b["shift"], b["start"])]
-        out = b[["doc_id", "text_hash", "item_id"]].copy()
-        out["item_start"], out["overlap_words"], out["same_words"] = [[f[k] for f in found] for k in range(3)]
-        out["doc_start"] = b["shift"] + out["item_start"]
-        yield out[out["overlap_words"] > 0]
+        out = []
+        for doc_id, text_hash, item_id, text, words, shift, start in zip(*(c.to_pylist() for c in b.columns)):
+            first, size, same = overlap(words, words_of(text), shift - start)
+            if size:
+                out.append((doc_id, text_hash, item_id, first, size, same, shift + first))
+        columns = list(zip(*out)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=[c.split()[0] for c in VERIFIED.split(", ")])
 
 
 VERIFIED = (
@@ -146,7 +148,7 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     tests = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    seeds = stored(tests.mapInPandas(_items, "item_id long, item_pos long, mask int, hash long"), "seeds")
+    seeds = stored(tests.mapInArrow(_items, "item_id long, item_pos long, mask int, hash long"), "seeds")
     rows = docs.select(
         F.col("doc_id").cast("long"),
         F.xxhash64("text").alias("text_hash"),
@@ -161,7 +163,7 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
         .distinct()
     )
     placed = pairs.join(regions.drop("hits"), ["region", "start"]).join(tests, "item_id")
-    found = placed.select("doc_id", "text_hash", "item_id", "text", "words", "shift", "start").mapInPandas(_verify, VERIFIED)
+    found = placed.select("doc_id", "text_hash", "item_id", "text", "words", "shift", "start").mapInArrow(_verify, VERIFIED)
     best = F.max_by(F.struct("item_start", "overlap_words", "same_words", "doc_start"), F.struct("overlap_words", "same_words", -F.col("doc_start"), -F.col("item_start")))
     return found.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b")).select("doc_id", "text_hash", "item_id", "b.*")
 

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -217,18 +216,18 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY)
     places = slots(shortest_pack_first(counts, capacity))
     tables = {length: tuple(np.array(c, np.int64) for c in zip(*found)) for length, found in places.items()}
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sequence, offset = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            length, rank = b["length"].to_numpy(), b["rank"].to_numpy()
+            sequence, offset = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            length, rank = b.column(2).to_numpy(), b.column(5).to_numpy()
             for size in np.unique(length):
                 mine = np.flatnonzero(length == size)
                 firsts, sequences, offsets = tables[int(size)]
                 at = np.searchsorted(firsts, rank[mine], side="right") - 1
                 sequence[mine] = sequences[at] + rank[mine] - firsts[at]
                 offset[mine] = offsets[at]
-            yield b.assign(sequence_id=sequence, offset=offset).drop(columns=["row", "rank"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[c.split()[0] for c in kept.split(", ")])
 
     kept = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    named = ranked(rows).select("doc_id", "row", "start", "length", "ids_crc32", "doc_tokens", "rank")
-    return named.mapInPandas(placed, kept)
+    named = ranked(rows).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")
+    return named.mapInArrow(placed, kept)

@@ -9,7 +9,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ WORD = re.compile(r"\w{3,}")
 CONTEXT = 8
 #: Rows in which a term must stand beside a value before it can be said to reveal it.
 SUPPORT = 3
+#: Column that carries spans to the texts.
+SPANS = "_found_spans"
 #: Share of a value's information that a term may disclose.
 THRESHOLD = 0.8
 
@@ -241,18 +242,22 @@ def redact(text: str, spans: str) -> str:
     return "".join(out) + text[at:]
 
 
-def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        change = b["found_spans"].notna() & (b["found_spans"] != "")
-        b.loc[change, "text"] = [redact(t, s) for t, s in zip(b.loc[change, "text"], b.loc[change, "found_spans"])]
-        if "n_chars" in b:
-            b.loc[change, "n_chars"] = b.loc[change, "text"].str.len()
-        yield b.drop(columns=["found_spans"])
+        names = b.schema.names
+        columns = dict(zip(names, b.columns))
+        spans = columns.pop(SPANS).to_pylist()
+        texts = [redact(t, s) if s else t for t, s in zip(columns["text"].to_pylist(), spans)]
+        columns["text"] = pa.array(texts, columns["text"].type)
+        if "n_chars" in columns:
+            sizes = [len(t) if s else n for t, s, n in zip(texts, spans, columns["n_chars"].to_pylist())]
+            columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """Documents with their personal data generalised or removed; n_chars follows the new text, other columns stay."""
-    spans = personal_data(docs).where("spans <> ''").select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), F.col("spans").alias("found_spans")).distinct()
+    spans = personal_data(docs).where("spans <> ''").select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), F.col("spans").alias(SPANS)).distinct()
     same = docs["doc_id"].eqNullSafe(spans["s_id"]) & (F.xxhash64(docs["text"]) == spans["s_hash"])
-    joined = docs.join(spans, same, "left").select(*[docs[c] for c in docs.columns], "found_spans")
-    return joined.mapInPandas(_redact, StructType(docs.schema.fields))
+    joined = docs.join(spans, same, "left").select(*[docs[c] for c in docs.columns], SPANS)
+    return joined.mapInArrow(_redact, StructType(docs.schema.fields))
