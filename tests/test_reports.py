@@ -4,6 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tests.conftest import executed_plan
 from tests.test_sources import capture, device_row
 from tidegauge.operators import report
 from tidegauge.plans import reports
@@ -161,3 +162,19 @@ def test_every_sample_has_the_stamp_of_its_report(spark, write):
     text = "\r\n".join(f"05/03/2026 10:00:0{i}\r\nnvme0n1 1 {i} 0 0 0 0 2 {i} 0 0 0 0 0 1" for i in range(4))
     rows = iostat.read_iostat(spark, f"{write({'iostat-a.log': text})}/iostat-a.log").orderBy("seq").collect()
     assert [(r.stamp[-1], r.r_mbs) for r in rows] == [(str(i), float(i)) for i in range(4)]
+
+
+def test_logs_of_equal_names_stay_apart(spark, write):
+    root = write({f"d{k}/training-a-h1.log": f"Done consolidating {k}\nmem {k}.5 GiB\n" for k in (1, 2)})
+    lines = logs.read_training_log(spark, f"{root}/*/training-*.log")
+    rows = reports.checkpoint_report(lines).collect()
+    assert sorted(r.raw for r in rows if r.kind == "consolidation") == ["Done consolidating 1", "Done consolidating 2"]
+    assert sum(r.kind == "bracket" for r in rows) == 2
+    assert sorted(r.plateau for r in reports.plateau_report(lines).collect()) == [["mem 1.5 GiB"], ["mem 2.5 GiB"]]
+
+
+def test_checkpoint_report_reads_its_lines_once(spark, write):
+    root = write({"training-a-h1.log": "Done consolidating\n"})
+    report_df = reports.checkpoint_report(logs.read_training_log(spark, f"{root}/training-*.log"))
+    plan = executed_plan(report_df)
+    assert plan.count("FileScan") - plan.count("ReusedExchange") <= 1, plan

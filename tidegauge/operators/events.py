@@ -74,6 +74,35 @@ def message_rows(lines: DataFrame, labels: DataFrame, label: str, line: str, mes
     return lines.unionByName(missing, allowMissingColumns=True)
 
 
+def first_or_message(
+    lines: DataFrame,
+    by: str | Sequence[str],
+    order: str | Sequence[str],
+    line: str,
+    patterns: Mapping[str, str],
+    limits: Mapping[str, int],
+    messages: Mapping[str, str],
+) -> DataFrame:
+    """First lines of each log and kind, and a message row for each kind a log has no line of.
+
+    Every line also counts as of the kind ``""``, whose first row stands for
+    the log. What is missing then follows from the rows that are kept, a bounded
+    number per log, so the text is read and matched once.
+    """
+    by, order = as_list(by), as_list(order)
+    kinds = F.array_append(kinds_of(line, patterns), F.lit(""))
+    tagged = lines.select(*by, *order, line, F.explode(kinds).alias("kind"))
+    kept = head_per_kind(tagged, by, order, {**limits, "": 1})
+    text = F.create_map(*[F.lit(x) for pair in messages.items() for x in pair])
+    rows = kept.groupBy(*by).agg(F.collect_list(F.struct(*order, line, "kind")).alias("_rows"))
+    none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order]
+    missing = F.transform(
+        F.array_except(F.array(*map(F.lit, messages)), F.transform("_rows", lambda r: r["kind"])),
+        lambda k: F.struct(*none, F.try_element_at(text, k).alias(line), k.alias("kind")),
+    )
+    return rows.select(*by, F.inline(F.concat(F.filter("_rows", lambda r: r["kind"] != ""), missing)))
+
+
 def hot_cold(
     df: DataFrame,
     run: str,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.text import EVENT_LIMITS, EVENT_PATTERNS, MISSING_MESSAGES
 from tidegauge.functions.units import bw_mbs, fmt_rate, iops, latency_us, pct_of, pct_text
 from tidegauge.operators.compare import battery_report, cross_compare, join_spec, pair_clients
-from tidegauge.operators.events import event_lines, extract_mem, head_per_kind, memory_plateau, message_rows
+from tidegauge.operators.events import extract_mem, first_or_message, memory_plateau
 from tidegauge.operators.samples import io_summary
 from tidegauge.operators.spread import join_on
 from tidegauge.sources.dims import BATTERY, spec_df, sweep_df
@@ -84,20 +84,25 @@ def device_report(samples: DataFrame, threshold: float = 50, period: float = 2)
     return each.orderBy("label", "path")
 
 
+def log_of(lines: DataFrame) -> list[str]:
+    """Columns that name a log: its file beside the label, which files of different folders may share."""
+    return [c for c in ("label", "path") if c in lines.columns]
+
+
 def checkpoint_report(lines: DataFrame) -> DataFrame:
     """Event lines per log and kind with their limits, and message rows.
 
     ``lines`` are rows of ``read_training_log``.
     """
     kinds = {k: EVENT_PATTERNS[k] for k in EVENT_LIMITS}
-    tagged = event_lines(lines.select("label", "line_no", "raw"), "raw", kinds)
-    kept = head_per_kind(tagged, "label", "line_no", EVENT_LIMITS)
-    return message_rows(kept, lines, "label", "raw", MISSING_MESSAGES).orderBy("label", "kind", "line_no")
+    by = log_of(lines)
+    rows = first_or_message(lines, by, "line_no", "raw", kinds, EVENT_LIMITS, MISSING_MESSAGES)
+    return rows.orderBy(*by, "kind", "line_no")
 
 
 def plateau_report(lines: DataFrame, n: int = 5) -> DataFrame:
     """Distinct memory figures of the last extracts of each log."""
-    return memory_plateau(extract_mem(lines, "raw"), "label", ["line_no", "mem_pos"], "mem", n)
+    return memory_plateau(extract_mem(lines, "raw"), log_of(lines), ["line_no", "mem_pos"], "mem", n)
 
 
 def battery_tables(results: DataFrame) -> DataFrame:

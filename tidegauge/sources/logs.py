@@ -3,6 +3,8 @@ checkpoint files."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +39,16 @@ def _labels(name: Column) -> list[Column]:
 
 
 def parse_training_lines(
-    lines: DataFrame, path: str = "path", line_no: str = "line_no", line: str = "line", prefix: str = "training-"
+    lines: DataFrame,
+    path: str = "path",
+    line_no: str = "line_no",
+    line: str = "line",
+    prefix: str = "training-",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     return lines.select(
         *_labels(label_from_path(path, prefix)),
+        *keep,
         line_no,
         F.col(line).alias("raw"),
         line_ts(line).alias("ts"),
@@ -50,7 +58,7 @@ def parse_training_lines(
 
 def read_training_log(spark: SparkSession, path: str, prefix: str = "training-") -> DataFrame:
     """Training-log lines with label, time and the numbers they carry."""
-    return parse_training_lines(read_lines(spark, path), prefix=prefix)
+    return parse_training_lines(read_lines(spark, path), prefix=prefix, keep=["path"])
 
 
 # Keys of a memory sample line.
