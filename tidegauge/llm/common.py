@@ -75,21 +75,39 @@ def possible(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Places(dict):
+    """Place of each word in a growing list of hashes."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed, self.hashes = seed, []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self.hashes)
+        self.hashes.append(xxh64_intdigest(word, self.seed))
+        return place
+
+
 class WordHashes:
     """XXH64 of words, remembered; a full memory is emptied."""
 
     def __init__(self, seed: int, most: int = 1_000_000):
-        self.seed, self.most, self.known = seed, most, {}
+        self.seed, self.most = seed, most
+        self.places, self.table = _Places(seed), np.zeros(0, np.uint64)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known = {}
-        known, seed = self.known, self.seed
-        found = list(map(known.get, words))
-        for i, x in enumerate(found):
-            if x is None:
-                found[i] = known[words[i]] = xxh64_intdigest(words[i], seed)
-        return np.array(found, np.uint64)
+        if len(self.places) > self.most:
+            self.places, self.table = _Places(self.seed), self.table[:0]
+        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        if len(self.table) < len(self.places):
+            self.table = np.concatenate([self.table, np.array(self.places.hashes[len(self.table) :], np.uint64)])
+        return self.table[at]
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def components(edges: DataFrame) -> DataFrame:

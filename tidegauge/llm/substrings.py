@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from tidegauge.llm.common import WordHashes, small_batches, stored
+from tidegauge.llm.common import WordHashes, ragged, small_batches, stored
 
 #: Words of an edge of the graph (a window); its nodes are the first and the last EDGE - 1 of them.
 EDGE = 13
@@ -56,30 +58,20 @@ def minimisers(hashes: np.ndarray) -> np.ndarray:
     return x
 
 
-class Passages:
-    """Windows of one text that may be repeated, and the paths they form."""
+class Words:
+    """The words of some texts one after the other, and the windows that lie inside one text."""
 
-    def __init__(self, text: str | None, flags: np.ndarray):
-        self.words = words_of(text)
-        hashes = HASHES(self.words)
-        self.at = np.flatnonzero(np.isin(minimisers(hashes), flags))
-        self.nodes = mixed(runs_hashed(hashes, NODE_FACTORS)) if len(self.at) else np.zeros(0, np.uint64)
-        cut = (np.diff(self.at) > 1) | (self.nodes[self.at[1:]] % np.uint64(ANCHOR) == 0) if len(self.at) else []
-        self.paths = np.split(self.at, np.flatnonzero(cut) + 1) if len(self.at) else []
+    def __init__(self, texts: list[str | None]):
+        self.lines = [words_of(t) for t in texts]
+        self.all = [w for line in self.lines for w in line]
+        sizes = np.array([len(line) for line in self.lines], np.int64)
+        self.firsts = np.cumsum(sizes) - sizes
+        self.row = np.repeat(np.arange(len(texts)), sizes)
+        self.inside = self.row[: -EDGE + 1] == self.row[EDGE - 1 :]
+        self.hashes = HASHES(self.all)
 
-    def digests(self) -> np.ndarray:
-        """128-bit digests of the words of each path, as rows of two longs."""
-        joined = [b" ".join(self.words[p[0] : p[-1] + EDGE]) for p in self.paths]
-        return np.frombuffer(b"".join(map(xxh3_128_digest, joined)), "<i8").reshape(-1, 2)
-
-
-def held(edges: np.ndarray, gone: list[dict] | None, first: str, last: str) -> np.ndarray:
-    """Which pairs of longs are in a list of them."""
-    if not gone:
-        return np.zeros(len(edges), bool)
-    pairs = np.array([(e[first], e[last]) for e in gone], np.int64).reshape(-1, 2)
-    _, at = np.unique(np.concatenate([pairs, edges]), axis=0, return_inverse=True)
-    return np.isin(at.ravel()[len(pairs) :], at.ravel()[: len(pairs)])
+    def nodes(self) -> np.ndarray:
+        return mixed(runs_hashed(self.hashes, NODE_FACTORS)).view(np.int64)
 
 
 #: Pairs of a key and a document that a task settles among themselves before they are shuffled.
@@ -170,106 +162,126 @@ def shared_keys(rows: DataFrame, width: int, whole: bool, name: str) -> DataFram
     return found.groupBy("doc_id").agg(F.collect_list(F.struct(*keys) if width > 1 else F.col("k0")).alias(name))
 
 
-def _array(x) -> np.ndarray:
-    return np.array([] if x is None else x, np.int64)
-
-
 def _minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs():
         for b in batches:
-            each = [np.unique(minimisers(HASHES(words_of(t)))).view(np.int64) for t in b.column(1).to_pylist()]
-            yield np.concatenate(each), np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in each])
+            words = Words(b.column(1).to_pylist())
+            seeds = minimisers(words.hashes)[words.inside].view(np.int64)
+            rows = words.row[: len(words.inside)][words.inside]
+            new = np.ones(len(seeds), bool)  # neighbours mostly share theirs
+            new[1:] = (seeds[1:] != seeds[:-1]) | (rows[1:] != rows[:-1])
+            yield seeds[new], b.column(0).to_numpy()[rows[new]]
 
     yield from in_chunks(pairs(), 1, True)
 
 
 FOUND = "doc_id long, n_words long, whole_sha256 string, text string, starts array<long>, sizes array<long>, a array<long>, b array<long>"
 FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
-LONGS = pa.list_(pa.int64())
-FOUND_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), LONGS, LONGS, LONGS, LONGS]
 
 
-def _columns(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
+def rows_of_lists(lists: pa.ListArray) -> np.ndarray:
+    """Row of each value of a list column."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return np.repeat(np.arange(len(lists)), sizes)
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths of each document; the text goes along only where there are any."""
+    """Paths of each document; the text goes along only where there are any.
+
+    Whether a minimiser is shared is the same for all documents that have it.
+    """
     for b in batches:
-        out = []
-        for doc_id, text, flags in zip(*(c.to_pylist() for c in b.columns)):
-            passages = Passages(text, _array(flags).view(np.uint64)) if flags else None
-            words = passages.words if passages else words_of(text)
-            sha = hashlib.sha256(b" ".join(words)).hexdigest()
-            if passages and passages.paths:
-                digests = passages.digests()
-                lists = ([p[0] for p in passages.paths], [len(p) for p in passages.paths], digests[:, 0], digests[:, 1])
-                out.append((doc_id, len(words), sha, text, *lists))
-            else:
-                out.append((doc_id, len(words), sha, None, None, None, None, None))
-        yield _columns(out, FOUND_NAMES, FOUND_TYPES)
+        words = Words(b.column(1).to_pylist())
+        flags = np.unique(b.column(2).flatten().to_numpy()).view(np.uint64)
+        at = np.flatnonzero(np.isin(minimisers(words.hashes), flags) & words.inside) if len(flags) else np.zeros(0, np.int64)
+        nodes = words.nodes().view(np.uint64) if len(at) else None
+        new = np.ones(len(at), bool)
+        if len(at):
+            new[1:] = (np.diff(at) > 1) | (nodes[at[1:]] % np.uint64(ANCHOR) == 0)
+        starts = at[new]
+        sizes = np.diff(np.append(np.flatnonzero(new), len(at)))
+        digests = [xxh3_128_digest(b" ".join(words.all[s : s + n + EDGE - 1])) for s, n in zip(starts.tolist(), sizes.tolist())]
+        digests = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        rows = words.row[starts]
+        counts = np.bincount(rows, minlength=b.num_rows)
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x))) for x in (starts - words.firsts[rows], sizes, digests[:, 0], digests[:, 1])]
+        whole = [hashlib.sha256(b" ".join(line)).hexdigest() for line in words.lines]
+        text = pc.if_else(pa.array(counts > 0), b.column(1), pa.scalar(None, b.column(1).type))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in words.lines], pa.int64()), pa.array(whole), text, *lists], names=FOUND_NAMES)
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs():
         for b in batches:
             a, c = (b.column(k).flatten().to_numpy() for k in (1, 2))
-            sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            yield np.stack([a, c], axis=1), np.repeat(b.column(0).to_numpy(), sizes)
+            yield np.stack([a, c], axis=1), b.column(0).to_numpy()[rows_of_lists(b.column(1))]
 
     yield from in_chunks(pairs(), 2, False)
 
 
-def nodes_of(words: list[bytes]) -> np.ndarray:
-    return mixed(runs_hashed(HASHES(words), NODE_FACTORS))
+def listed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, second) of each pair in a list column."""
+    pairs = lists.flatten()
+    return rows_of_lists(lists), *(pairs.field(k).to_numpy() for k in (0, 1))
 
 
-def open_windows(starts: list[int], sizes: list[int], gone: np.ndarray) -> np.ndarray:
-    """Windows of the paths that are not gone."""
-    return np.concatenate([np.zeros(0, np.int64), *(np.arange(s, s + n) for s, n, g in zip(starts, sizes, gone) if not g)])
+def held(rows: np.ndarray, first: np.ndarray, second: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Which pairs are in the list of their row."""
+    out = np.isin(first, (have := listed(lists))[1])
+    at = np.flatnonzero(out)
+    known = set(zip(*(x.tolist() for x in have)))
+    out[at] = [x in known for x in zip(rows[at].tolist(), first[at].tolist(), second[at].tolist())]
+    return out
+
+
+class Paths:
+    """Paths of a batch of documents, by their columns starts, sizes, a, b and gone_paths."""
 
+    def __init__(self, words: Words, starts: pa.ListArray, sizes: pa.ListArray, a: pa.ListArray, b: pa.ListArray, gone: pa.ListArray):
+        self.row = rows_of_lists(starts)
+        self.starts = words.firsts[self.row] + starts.flatten().to_numpy()
+        self.sizes = sizes.flatten().to_numpy()
+        self.gone = held(self.row, a.flatten().to_numpy(), b.flatten().to_numpy(), gone)
 
-def gone_of(a: list[int], b: list[int], gone_paths: list[dict] | None) -> np.ndarray:
-    return held(np.array([a, b], np.int64).T, gone_paths, "k0", "k1")
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, window) of the windows of some paths."""
+        return np.repeat(self.row[which], self.sizes[which]), ragged(self.starts[which], self.sizes[which])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs():
-        for batch in batches:
-            for doc_id, text, starts, sizes, a, b, gone_paths in zip(*(c.to_pylist() for c in batch.columns)):
-                at = open_windows(starts, sizes, gone_of(a, b, gone_paths))
-                if len(at):
-                    nodes = nodes_of(words_of(text)).view(np.int64)
-                    yield np.stack([nodes[at], nodes[at + 1]], axis=1), np.full(len(at), doc_id)
+        for b in batches:
+            words = Words(b.column(1).to_pylist())
+            paths = Paths(words, *b.columns[2:])
+            rows, at = paths.windows(~paths.gone)
+            nodes = words.nodes()
+            yield np.stack([nodes[at], nodes[at + 1]], axis=1), b.column(0).to_numpy()[rows]
 
     yield from in_chunks(pairs(), 2, False)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for doc_id, n_words, sha, text, starts, sizes, a, b, gone_paths, gone_edges in zip(*(c.to_pylist() for c in batch.columns)):
-            if not gone_paths and not gone_edges:
-                out.append((doc_id, n_words, 0, sha, []))
-                continue
-            words = words_of(text)
-            gone = gone_of(a, b, gone_paths)
-            rest = open_windows(starts, sizes, gone)
-            if len(rest) and gone_edges:
-                nodes = nodes_of(words).view(np.int64)
-                rest = rest[held(np.stack([nodes[rest], nodes[rest + 1]], axis=1), gone_edges, "k0", "k1")]
-            else:
-                rest = rest[:0]
-            windows = np.concatenate([rest, open_windows(starts, sizes, ~gone)])
-            change = np.zeros(len(words) + 1, np.int64)
-            np.add.at(change, windows, 1)
-            np.add.at(change, windows + EDGE, -1)
-            removed = np.cumsum(change)[:-1] > 0
-            kept = hashlib.sha256(b" ".join(w for w, r in zip(words, removed) if not r)).hexdigest()
-            spans = np.flatnonzero(np.diff(np.concatenate([[0], removed, [0]]).astype(np.int8)))
-            out.append((doc_id, n_words, int(removed.sum()), kept, spans.reshape(-1, 2).tolist()))
-        yield _columns(out, KEPT_NAMES, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(LONGS)])
+    for b in batches:
+        touched = pc.or_(pc.is_valid(b.column(8)), pc.is_valid(b.column(9)))
+        removed = np.zeros(b.num_rows, np.int64)
+        sha, spans = b.column(2).to_pylist(), [[] for _ in range(b.num_rows)]
+        part = b.filter(touched)
+        words = Words(part.column(3).to_pylist())
+        paths = Paths(words, *part.columns[4:9])
+        rows, at = paths.windows(~paths.gone)
+        nodes = words.nodes()
+        windows = np.concatenate([at[held(rows, nodes[at], nodes[at + 1], part.column(9))], paths.windows(paths.gone)[1]])
+        size = len(words.all) + 1
+        change = np.bincount(windows, minlength=size) - np.bincount(windows + EDGE, minlength=size)
+        covered = np.cumsum(change)[:-1] > 0
+        for i, first, line in zip(np.flatnonzero(touched.to_numpy(zero_copy_only=False)).tolist(), words.firsts.tolist(), words.lines):
+            mine = covered[first : first + len(line)]
+            removed[i] = mine.sum()
+            sha[i] = hashlib.sha256(b" ".join(compress(line, (~mine).tolist()))).hexdigest()
+            spans[i] = np.flatnonzero(np.diff(np.concatenate([[0], mine, [0]]))).reshape(-1, 2).tolist()
+        columns = [pa.array(removed), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=KEPT_NAMES)
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>"
