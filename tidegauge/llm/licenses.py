@@ -101,6 +101,8 @@ class Model:
 
     weights: dict[str, list[float]]
     bias: list[float]
+    #: One word of each n-gram of positive weight, one that is rare elsewhere.
+    evidence: list[str]
 
     def probabilities(self, paragraph: str) -> np.ndarray:
         rows = [self.weights[g] for g in grams_of(tokens_of(paragraph)) if g in self.weights]
@@ -117,14 +119,14 @@ def background(docs: DataFrame) -> list[str]:
 def train(noise: list[str], seed: int = 1) -> Model:
     """One-against-rest logistic regressions with an L1 penalty over statements, altered copies of them and ``noise``.
 
-    Paragraphs of ``noise`` that hold most of a template are left out, as they
-    are statements themselves. A part of the examples is kept from the fit and
+    Paragraphs of ``noise`` that share three word pairs with a statement are left
+    out, as they may be statements themselves. A part of the examples is kept from the fit and
     only calibrates: below CUT in every family and at least CUT in ``any`` is
     an unknown licence.
     """
     random = np.random.default_rng(seed)
-    template_grams = [grams_of(tokens_of(t)) for ts in TEMPLATES.values() for t in ts]
-    noise_grams = [g for g in (grams_of(tokens_of(p)) for p in noise) if all(len(t & g) < 0.5 * len(t) for t in template_grams)]
+    pairs = [{g for g in grams_of(tokens_of(t)) if " " in g} for t in (*OTHERS, *(t for ts in TEMPLATES.values() for t in ts))]
+    noise_grams = [g for g in (grams_of(tokens_of(p)) for p in noise) if all(len(t & g) < 3 for t in pairs)]
     common: dict[str, int] = {}
     for g in noise_grams:
         for w in g:
@@ -167,7 +169,9 @@ def train(noise: list[str], seed: int = 1) -> Model:
     a = np.array([s[0] for s in scale])
     shift = np.minimum(a * b + [s[1] for s in scale], -0.5)  # without evidence no class counts
     kept = np.flatnonzero(np.abs(w).max(1) > 1e-6)
-    return Model({features[i]: [round(float(v), 6) for v in w[i] * a] for i in kept}, [round(float(v), 6) for v in shift])
+    weights = {features[i]: [round(float(v), 6) for v in w[i] * a] for i in kept}
+    evidence = {next(p for p in g.split(" ") if p not in ordinary) for g, ws in weights.items() if max(ws) > 0}
+    return Model(weights, [round(float(v), 6) for v in shift], sorted(evidence))
 
 
 def grams(tokens: Column) -> Column:
@@ -187,10 +191,10 @@ def paragraphs(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     template_share).
 
     Paragraphs without any n-gram of positive weight can't reach CUT in any
-    class, so only paragraphs that hold a word of such an n-gram are scored.
+    class, so only paragraphs that hold the rare word of such an n-gram are scored.
     """
     spark = docs.sparkSession
-    positive = sorted({w for g, ws in model.weights.items() if max(ws) > 0 for w in g.split(" ")}) or [""]
+    positive = model.evidence or [""]
     words = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda line: F.regexp_extract_all(F.lower(line), F.lit(f"({TOKEN})"), 1))
     evidence = F.filter(words, lambda w: F.arrays_overlap(w, F.array(*map(F.lit, positive))))
     rows = stored(

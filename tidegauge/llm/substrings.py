@@ -193,7 +193,9 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         words = Words(b.column(1).to_pylist())
         flags = np.unique(b.column(2).flatten().to_numpy()).view(np.uint64)
-        at = np.flatnonzero(np.isin(minimisers(words.hashes), flags) & words.inside) if len(flags) else np.zeros(0, np.int64)
+        shares = pc.is_valid(b.column(2)).to_numpy(zero_copy_only=False)  # rows without an id have no list
+        inside = words.inside & shares[words.row[: len(words.inside)]]
+        at = np.flatnonzero(np.isin(minimisers(words.hashes), flags) & inside) if len(flags) else np.zeros(0, np.int64)
         nodes = words.nodes().view(np.uint64) if len(at) else None
         new = np.ones(len(at), bool)
         if len(at):
