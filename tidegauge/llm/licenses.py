@@ -110,9 +110,15 @@ class Model:
 
 
 def background(docs: DataFrame) -> list[str]:
-    """Paragraphs of a bounded sample of documents, smallest hash of the id first."""
+    """Paragraphs of a bounded sample of documents, smallest hash of the id first.
+
+    Ids are picked before texts are fetched, so each task sends few ids to the
+    driver and not as many texts.
+    """
     short = docs.where((F.length("text") <= SAMPLE_CHARS) & F.col("doc_id").isNotNull())
-    picked = short.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()
+    ids = [r["doc_id"] for r in short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    texts = short.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text"))
+    picked = sorted(texts.collect(), key=lambda r: ids.index(r["doc_id"]))
     return [p for r in picked for p in r["text"].split("\n") if p.strip()][:SAMPLE_PARAGRAPHS]
 
 
