@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidegauge.llm.common import components, small_batches, stored
+from tidegauge.llm.shingles import similar_links
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 3, 3
 #: Distinct fingerprints that one bucket may hold; larger buckets are cut by further masks.
@@ -152,17 +153,24 @@ def near_links(prints: DataFrame) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def signed_fingerprint(text: str | None) -> int:
+    fp = fingerprint(text)
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
+def near_duplicates(docs: DataFrame, also: DataFrame | None = None) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links of fingerprints reach from each row.
 
     A null text has no words and the fingerprint zero, linked as any other.
     Rows may repeat; each keeps its own row. Null ids are never a smallest id:
     a component of null ids only has the component_id null. An empty table
-    gives an empty result; further columns are ignored.
+    gives an empty result; further columns are ignored. Edges (a, b) of
+    fingerprints in ``also`` link them as well.
     """
     rows = stored(fingerprints(docs), "fingerprints")
     firsts = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(near_links(firsts)).withColumnRenamed("node", "fp")
+    links = near_links(firsts) if also is None else near_links(firsts).unionByName(also)
+    roots = components(links).withColumnRenamed("node", "fp")
     rooted = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(smallest, "root").select("fp", "component_id")
@@ -176,9 +184,11 @@ def hex_print(fp: Column) -> Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id, with all its columns.
 
+    Near-duplicates are texts whose fingerprints are linked, and all texts whose
+    sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     Of rows that repeat an id one stays. A null id names no document: such rows
     stay as they are.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    keep = near_duplicates(docs, similar_links(docs, signed_fingerprint)).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
