@@ -112,6 +112,14 @@ def test_substrings_of_odd_rows(spark):
     assert substrings.without_repeats(frame(spark, [])).collect() == []
 
 
+def test_substrings_of_two_texts_of_one_id(spark):
+    a = " ".join(f"w{i}" for i in range(14))
+    rows = [(2, "x " + a), (5, a + " y"), (5, "quite another text")]
+    got = {(r.doc_id, r.n_words): (r.n_removed, r.kept_sha256) for r in substrings.without_repeats(frame(spark, rows)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {(2, 15): (0, sha("x " + a)), (5, 15): (14, sha("y")), (5, 3): (0, sha("quite another text"))}
+
+
 # --- SimHash
 
 

@@ -265,7 +265,8 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        touched = pc.or_(pc.is_valid(b.column(8)), pc.is_valid(b.column(9)))
+        # a text without paths was left out; only another row of its id can have lost words
+        touched = pc.and_(pc.is_valid(b.column(3)), pc.or_(pc.is_valid(b.column(8)), pc.is_valid(b.column(9))))
         removed = np.zeros(b.num_rows, np.int64)
         sha, spans = b.column(2).to_pylist(), [[] for _ in range(b.num_rows)]
         part = b.filter(touched)
