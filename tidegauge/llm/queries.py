@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontam, licenses, packing, pii, quality, search, sharding, simhash, substrings, toxicity
+from tidegauge.llm import decontam, lexical, licenses, packing, pii, quality, search, sharding, simhash, substrings, toxicity
 from tidegauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,36 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# terms by RE2; HUGEINT, so that no product overflows
+SQL["op13_lexical"] = rf"""
+WITH low AS (
+    SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), asked AS (
+    SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark
+), word AS (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')) AS term FROM low
+), want AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')) AS term FROM asked
+), tf AS (SELECT doc_id, term, count(*)::HUGEINT AS tf FROM word GROUP BY ALL),
+size AS (SELECT doc_id, sum(tf)::HUGEINT AS n FROM tf GROUP BY ALL),
+corpus AS (SELECT count(*)::HUGEINT AS docs, sum(n)::HUGEINT AS terms FROM size),
+weight AS (
+    SELECT term, floor({lexical.W_SCALE} * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::HUGEINT AS w
+    FROM tf, corpus GROUP BY term, docs
+), scored AS (
+    SELECT item_id, doc_id, sum(w * (
+        ({lexical.TF_SCALE} * tf) // (1000 * tf + 8 * ({100 - lexical.B} + ({lexical.B} * n * docs) // terms))
+    ))::BIGINT AS score
+    FROM want JOIN weight USING (term) JOIN tf USING (term) JOIN size USING (doc_id), corpus GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {lexical.TOP}
+"""
+
+
+@query
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
