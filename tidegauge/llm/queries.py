@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontam, lexical, licenses, packing, pii, quality, search, sharding, simhash, substrings, toxicity
+from tidegauge.llm import decontam, lexical, licenses, packing, pii, quality, search, sharding, simhash, substrings, toxicity, whitening
 from tidegauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,8 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {lexical.TOP}
 @query
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
