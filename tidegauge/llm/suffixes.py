@@ -196,7 +196,8 @@ def repeats(texts: DataFrame) -> DataFrame:
     ``texts`` has (id, h, text), id and h together naming a text.
     """
     runs = stored(texts.mapInArrow(_samples, RUN), "samples")
-    shared = runs.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    # stored, so that the join deals both sides out anew and Spark can split a hot bucket
+    shared = stored(runs.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "shared-buckets")
     now, alone = stored(runs.join(shared, "g"), "shared-samples"), F.lit(True)
     found = None
     for before, span in zip((None, *SPANS), SPANS):
@@ -211,7 +212,7 @@ def repeats(texts: DataFrame) -> DataFrame:
         found = known if found is None else found.unionByName(known)
         # a bucket goes on where an unsettled class has others beside it, each by one run
         mixed = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.max("alone").alias("any"))
-        mixed = mixed.where((F.col("classes") > 1) & F.col("any")).select("g")
+        mixed = stored(mixed.where((F.col("classes") > 1) & F.col("any")).select("g"), "mixed-buckets")
         reps = classes.join(mixed, "g").select("g", "rep.*", "alone")
     return found
 
