@@ -121,22 +121,36 @@ def finite(col: Column | str) -> Column:
     return F.when(F.abs(v) < F.lit(float("inf")), v)
 
 
+def unit_sum(col: Column | str, decimals: int) -> Column:
+    """Sum of whole units as a decimal, which can be added up further.
+
+    The number is added in two parts, because one part could pass the range of
+    a bigint on very many rows; a decimal sum would be several times slower.
+    """
+    units = whole_units(col, decimals)
+    high = F.sum(F.shiftright(units, 20)).cast("decimal(38,0)")
+    low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(38,0)")
+    return (high * F.lit(1 << 20) + low).cast("decimal(38,0)")
+
+
+def part_sum(col: Column | str, decimals: int | None = None) -> Column:
+    """A sum that is added up further with ``F.sum`` and read with ``of_units``."""
+    return F.sum(finite(col)) if decimals is None else unit_sum(col, decimals)
+
+
+def of_units(col: Column | str, decimals: int | None = None) -> Column:
+    return _c(col).cast("double") / F.lit(float(10 ** (decimals or 0)))
+
+
 def exact_sum(col: Column | str, decimals: int | None = None) -> Column:
     """Sum; with ``decimals`` one whose value does not depend on the order rows arrive in.
 
     Only a caller that knows its measurements to have a fixed number of decimals
     passes it: digits beyond would be lost. Whole numbers are then added and
-    turned into a double once. The number is added in two parts, because
-    one part could pass the range of a bigint on very many rows; a decimal sum
-    would be several times slower. Without ``decimals`` doubles are added. A
-    figure that is not a number counts as missing.
+    turned into a double once. Without ``decimals`` doubles are added. A figure
+    that is not a number counts as missing.
     """
-    if decimals is None:
-        return F.sum(finite(col))
-    units = whole_units(col, decimals)
-    high = F.sum(F.shiftright(units, 20)).cast("decimal(38,0)")
-    low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(38,0)")
-    return (high * F.lit(1 << 20) + low).cast("double") / F.lit(float(10**decimals))
+    return F.sum(finite(col)) if decimals is None else of_units(unit_sum(col, decimals), decimals)
 
 
 def epoch_us(ts: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.units import bin_of, epoch_us, exact_sum, whole_units
+from tidegauge.functions.units import bin_of, epoch_us, exact_sum, of_units, part_sum
 from tidegauge.operators.spread import as_list, flag_first
 
 
@@ -120,75 +120,61 @@ def peak_memory(df: DataFrame, by: str | Sequence[str], hwm: str = "hwm_mib") ->
     return df.groupBy(*as_list(by)).agg(F.greatest(F.coalesce(F.max(hwm), F.lit(0)), F.lit(0)).alias("peak_mib"))
 
 
-def bursts(
-    df: DataFrame,
-    by: str | Sequence[str],
-    ts: str,
-    r: str = "r_mbs",
-    w: str = "w_mbs",
-    gap_seconds: int = 3,
-    decimals: int | None = None,
-    span: int = 4096,
-) -> DataFrame:
-    """Runs of samples no more than ``gap_seconds`` apart, as one row each.
-
-    1. Samples within one gap-wide slot always belong together, so they are
-       aggregated per (log, slot) before anything is gathered.
-    2. Runs are found inside ranges of ``span`` slots: at most ``span`` rows.
-    3. A run inside a range is done. Only the first and the last run of a range
-       can go on in its neighbours; these, at most two rows per range, are
-       chained along the log and aggregated once more.
-    """
-    by = as_list(by)
-    gap = gap_seconds * 1_000_000
-    unit = 0 if decimals is None else decimals
-
-    def part_sum(col: str) -> Column:
-        return F.sum(F.col(col).cast("double")) if decimals is None else F.sum(whole_units(col, unit))
-
-    def merge_sum(col: str) -> Column:
-        return F.sum(col) if decimals is None else F.sum(F.col(col).cast("decimal(38,0)"))
+PEAKS = ("peak_r", "peak_w", "peak_rw")
 
-    def mean(col: str) -> Column:
-        return F.col(col).cast("double") / F.lit(float(10**unit)) / F.col("n")
 
-    peaks = ["peak_r", "peak_w", "peak_rw"]
-
-    def merged() -> list[Column]:
-        return [
-            F.min("_s").alias("_s"),
-            F.max("_e").alias("_e"),
-            F.sum("n").alias("n"),
-            merge_sum("_r").alias("_r"),
-            merge_sum("_w").alias("_w"),
-            *[F.max(c).alias(c) for c in peaks],
-        ]
-
-    def opens(w) -> Column:
-        return F.coalesce(F.col("_s") - F.lag("_e").over(w) > gap, F.lit(True)).cast("int")
-
-    slots = (
+def burst_slots(
+    df: DataFrame, by: str | Sequence[str], ts: str, r: str, w: str, gap_seconds: int, decimals: int | None = None
+) -> DataFrame:
+    """Samples added up per gap-wide slot of a log, as samples of one slot always belong together."""
+    gap = gap_seconds * 1_000_000
+    return (
         df.withColumn("_us", epoch_us(ts))
-        .groupBy(*by, bin_of("_us", gap).alias("_slot"))
+        .groupBy(*as_list(by), bin_of("_us", gap).alias("_slot"))
         .agg(
             F.min("_us").alias("_s"),
             F.max("_us").alias("_e"),
             F.count(F.lit(1)).alias("n"),
-            part_sum(r).alias("_r"),
-            part_sum(w).alias("_w"),
+            part_sum(r, decimals).alias("_r"),
+            part_sum(w, decimals).alias("_w"),
             F.max(r).alias("peak_r"),
             F.max(w).alias("peak_w"),
             F.max(F.col(r) + F.col(w)).alias("peak_rw"),
         )
-        .withColumn("_range", bin_of("_slot", span))
     )
+
+
+def merge_bursts() -> list[Column]:
+    return [
+        F.min("_s").alias("_s"),
+        F.max("_e").alias("_e"),
+        *[F.sum(c).alias(c) for c in ("n", "_r", "_w")],
+        *[F.max(c).alias(c) for c in PEAKS],
+    ]
+
+
+def chain_slots(slots: DataFrame, by: str | Sequence[str], gap_seconds: int, span: int = 4096) -> DataFrame:
+    """Slots no more than a gap apart as one row.
+
+    Rows of a log must not overlap; each has a slot of its own, that of its end.
+    Runs are found inside ranges of ``span`` slots: at most ``span`` rows. A run
+    inside a range is done. Only the first and the last run of a range can go on
+    in its neighbours; these, at most two rows per range, are chained along the
+    log and aggregated once more.
+    """
+    by = as_list(by)
+
+    def opens(w) -> Column:
+        return F.coalesce(F.col("_s") - F.lag("_e").over(w) > gap_seconds * 1_000_000, F.lit(True)).cast("int")
+
     inside = Window.partitionBy(*by, "_range").orderBy("_slot")
     runs = (
-        slots.withColumn("_open", opens(inside))
+        slots.withColumn("_range", bin_of("_slot", span))
+        .withColumn("_open", opens(inside))
         .withColumn("_run", F.sum("_open").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_runs", F.max("_run").over(Window.partitionBy(*by, "_range")))
         .groupBy(*by, "_range", "_runs", "_run")
-        .agg(*merged())
+        .agg(*merge_bursts())
     )
     edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_runs"))
     along = Window.partitionBy(*by).orderBy("_range", "_run")
@@ -197,22 +183,40 @@ def bursts(
         .withColumn("_open", opens(along))
         .withColumn("_chain", F.sum("_open").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*by, "_chain")
-        .agg(*merged())
+        .agg(*merge_bursts())
         .drop("_chain")
     )
-    whole = runs.filter(~edge).drop("_range", "_runs", "_run").unionByName(chained)
-    kind = df.schema[ts].dataType
-    return whole.select(
-        *by,
+    return runs.filter(~edge).drop("_range", "_runs", "_run").unionByName(chained)
+
+
+def burst_rows(runs: DataFrame, by: str | Sequence[str], kind: str, decimals: int | None = None) -> DataFrame:
+    """Bursts with stamps of a type and means."""
+    return runs.select(
+        *as_list(by),
         F.timestamp_micros("_s").cast(kind).alias("burst_start"),
         F.timestamp_micros("_e").cast(kind).alias("burst_end"),
         "n",
-        mean("_r").alias("mean_r"),
-        mean("_w").alias("mean_w"),
-        *peaks,
+        (of_units("_r", decimals) / F.col("n")).alias("mean_r"),
+        (of_units("_w", decimals) / F.col("n")).alias("mean_w"),
+        *PEAKS,
     )
 
 
+def bursts(
+    df: DataFrame,
+    by: str | Sequence[str],
+    ts: str,
+    r: str = "r_mbs",
+    w: str = "w_mbs",
+    gap_seconds: int = 3,
+    decimals: int | None = None,
+    span: int = 4096,
+) -> DataFrame:
+    """Runs of samples no more than ``gap_seconds`` apart, as one row each."""
+    runs = chain_slots(burst_slots(df, by, ts, r, w, gap_seconds, decimals), by, gap_seconds, span)
+    return burst_rows(runs, by, df.schema[ts].dataType.simpleString(), decimals)
+
+
 # Rate bands of the published burst signatures, MB/s.
 BURST_BANDS = (
     ("pure write", "peak_w", 1000.0, 1700.0, "checkpoint, cache hot"),
