@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tests.conftest import executed_plan
 from tidegauge.operators import samples, spread
 
 T0 = datetime(2026, 5, 3, 10, 0, 0)
@@ -210,3 +211,47 @@ def test_sums_keep_small_and_odd_figures(spark):
     assert abs(got["a"].total - 4.004) < 1e-9 and not got["a"].is_zero and got["b"].total == 2.0
     rounded = {r.label: r for r in samples.near_zero(df, "label", "r_mbs", 1.0, decimals=2).collect()}
     assert rounded["b"].total == 2.0
+
+
+def test_equal_first_rows_count_but_once(spark):
+    first = ("a", "d", 0, None, 900.0, 100.25)
+    rows = [first] * 3 + [("a", "d", i, None, 10.0, 60.5) for i in range(1, 4)] + [("b", "d", 0, None, 7.0, 8.0)] * 2 + [("c", "d", None, None, 5.0, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = samples.drop_since_boot(df, "label", "seq")
+    for decimals in (None, 2):
+        got = {r.label: r for r in samples.io_summary(df, "label", "seq", decimals=decimals).collect()}
+        want = {r.label: r for r in samples.io_summary(kept, "label", "seq", skip_first=False, decimals=decimals).collect()}
+        assert {k: got[k] for k in want} == want and set(got) - set(want) == {"c"}
+        assert (got["a"].peak_rw, got["a"].active_n, got["b"].total_r_gb, got["c"].peak_r) == (1000.25, 5, 7 * 2 / 1024, 0.0)
+    peaks = {r.label: r for r in samples.io_peaks(df, "label", "seq").collect()}
+    assert (peaks["a"].peak_r, peaks["b"].peak_w, peaks["c"].peak_w) == (900.0, 8.0, 0.0)
+
+
+def test_samples_are_not_shuffled_for_their_first_row(spark):
+    df = series(spark, [("a", "n", s, float(s), 1.0) for s in range(50)])
+    plan = executed_plan(samples.io_summary(df, "label", "seq"))
+    assert "Window" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_an_interval_lies_on_few_nodes(spark):
+    spans = [(0, 0), (-5, 17), (3, 3), (7, 8), (-64, 63), (1, 1023), (-1000, -1), (2**33 + 1, 2**33 + 525_600)]
+    df = spark.createDataFrame(spans, "lo long, hi long")
+    for r in df.select("lo", "hi", spread.time_nodes(F.col("lo"), F.col("hi")).alias("nodes")).collect():
+        parts = sorted((n.node << n.level, (n.node + 1 << n.level) - 1) for n in r.nodes)
+        assert parts[0][0] == r.lo and parts[-1][1] == r.hi
+        assert all(a[1] + 1 == b[0] for a, b in zip(parts, parts[1:]))
+        assert len(parts) < 60
+
+
+def test_intervals_of_years_beside_short_ones(spark):
+    hour, year = 3_600_000_000, 365 * 86_400_000_000
+    rnd = random.Random(9)
+    points = [(rnd.choice(["a", "b", None]), i, rnd.randrange(-year, 2 * year)) for i in range(500)] + [("a", 999, None)]
+    spans = [("a", 0, -year, year), ("b", 1, 0, 2 * year), ("a", 2, hour, hour), (None, 3, 0, year), ("b", 4, 5, 4), ("a", 5, None, 7)]
+    spans += [(rnd.choice("ab"), 10 + j, s := rnd.randrange(-year, year), s + rnd.randrange(90 * 24) * hour) for j in range(20)]
+    p = spark.createDataFrame(points, "k string, i int, at long")
+    q = spark.createDataFrame(spans, "k string, j int, lo long, hi long")
+    want = sorted((i, j) for k, i, t in points for g, j, lo, hi in spans if k and k == g and None not in (t, lo) and lo <= t <= hi)
+    got = spread.interval_join(p, q, "k", F.col("at"), F.col("lo"), F.col("hi"), 60)
+    assert sorted((r.i, r.j) for r in got.collect()) == want
+    assert spread.interval_join(p, q.limit(0), "k", F.col("at"), F.col("lo"), F.col("hi"), 60).count() == 0

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.units import bin_of, epoch_us, exact_sum, of_units, part_sum
-from tidegauge.operators.spread import as_list, flag_first
+from tidegauge.functions.units import bin_of, epoch_us, exact_sum, finite, of_units, part_sum, whole_units
+from tidegauge.operators.spread import as_list, flag_first, match_first
 
 
 def on_device(df: DataFrame, device: str | None, match: str = "exact", col: str = "device") -> DataFrame:
@@ -43,6 +43,26 @@ def _floor0(col: Column) -> Column:
     return F.greatest(F.coalesce(col, F.lit(0.0)), F.lit(0.0))
 
 
+def _without_first(
+    df: DataFrame, by: list[str], order: str | Sequence[str], skip_first: bool
+) -> tuple[DataFrame, Column, Column]:
+    """Rows, whether a row is not its log's first, and how often that first row is there.
+
+    Where the first row is there several times, all but one of them count.
+    They are the same, so they are taken up by number once the log has been
+    aggregated, and no row has to be told from its equals.
+    """
+    if not skip_first:
+        return df, F.lit(True), F.lit(0)
+    first = F.col("_boot")
+    return match_first(df, by, order, "_boot"), ~first, F.count_if(first)
+
+
+def _peak(kept: Column, value: Column, again: Column) -> Column:
+    """Greatest value of the kept rows, and of the first row where it is there again."""
+    return _floor0(F.greatest(F.max(F.when(kept, value)), F.when(again > 1, F.max(F.when(~kept, value)))))
+
+
 def io_summary(
     df: DataFrame,
     by: str | Sequence[str],
@@ -60,36 +80,42 @@ def io_summary(
     sum of rate x fixed period / 1024, whatever the true spacing.
     """
     by = as_list(by)
-    if skip_first:
-        rows = flag_first(df, by, order, "_boot")
-        kept = ~F.col("_boot")
-    else:
-        rows, kept = df, F.lit(True)
-    active = kept & is_active(r, w, threshold)
+    rows, kept, firsts = _without_first(df, by, order, skip_first)
+    active = F.coalesce(is_active(r, w, threshold), F.lit(False))
     total = F.col(r) + F.col(w)
 
     def summed(cond: Column, col: str) -> Column:
-        return F.coalesce(exact_sum(F.when(cond, F.col(col)), decimals), F.lit(0.0))
+        rest = F.coalesce(part_sum(F.when(kept & cond, F.col(col)), decimals), F.lit(0))
+        if not skip_first:
+            return rest
+        # the first row is there n times, n - 1 of them count
+        once = finite(col) if decimals is None else whole_units(col, decimals).cast("decimal(38,0)")
+        again = F.max(F.when(~kept & cond, once)) * (firsts - 1)
+        return rest + F.coalesce(F.when(firsts > 1, again), F.lit(0))
 
     sums = rows.groupBy(*by).agg(
-        _floor0(F.max(F.when(kept, F.col(r)))).alias("peak_r"),
-        _floor0(F.max(F.when(kept, F.col(w)))).alias("peak_w"),
-        _floor0(F.max(F.when(kept, total))).alias("peak_rw"),
-        summed(kept, r).alias("_sum_r"),
-        summed(kept, w).alias("_sum_w"),
+        _peak(kept, F.col(r), firsts).alias("peak_r"),
+        _peak(kept, F.col(w), firsts).alias("peak_w"),
+        _peak(kept, total, firsts).alias("peak_rw"),
+        summed(F.lit(True), r).alias("_sum_r"),
+        summed(F.lit(True), w).alias("_sum_w"),
         summed(active, r).alias("_act_r"),
         summed(active, w).alias("_act_w"),
-        F.count_if(active).alias("active_n"),
+        (F.count_if(kept & active) + F.greatest(F.count_if(~kept & active) - 1, F.lit(0))).alias("active_n"),
     )
+
+    def of(col: str) -> Column:
+        return of_units(col, decimals)
+
     return sums.select(
         *by,
         "peak_r",
         "peak_w",
         "peak_rw",
-        (F.col("_sum_r") * F.lit(float(period)) / 1024).alias("total_r_gb"),
-        (F.col("_sum_w") * F.lit(float(period)) / 1024).alias("total_w_gb"),
-        F.coalesce(F.try_divide("_act_r", "active_n"), F.lit(0.0)).alias("active_avg_r"),
-        F.coalesce(F.try_divide("_act_w", "active_n"), F.lit(0.0)).alias("active_avg_w"),
+        (of("_sum_r") * F.lit(float(period)) / 1024).alias("total_r_gb"),
+        (of("_sum_w") * F.lit(float(period)) / 1024).alias("total_w_gb"),
+        F.coalesce(F.try_divide(of("_act_r"), "active_n"), F.lit(0.0)).alias("active_avg_r"),
+        F.coalesce(F.try_divide(of("_act_w"), "active_n"), F.lit(0.0)).alias("active_avg_w"),
         "active_n",
     )
 
@@ -104,15 +130,11 @@ def io_peaks(
 ) -> DataFrame:
     """Peak read, peak write and peak of the per-sample sum."""
     by = as_list(by)
-    if skip_first:
-        rows = flag_first(df, by, order, "_boot")
-        kept = ~F.col("_boot")
-    else:
-        rows, kept = df, F.lit(True)
+    rows, kept, firsts = _without_first(df, by, order, skip_first)
     return rows.groupBy(*by).agg(
-        _floor0(F.max(F.when(kept, F.col(r)))).alias("peak_r"),
-        _floor0(F.max(F.when(kept, F.col(w)))).alias("peak_w"),
-        _floor0(F.max(F.when(kept, F.col(r) + F.col(w)))).alias("peak_rw"),
+        _peak(kept, F.col(r), firsts).alias("peak_r"),
+        _peak(kept, F.col(w), firsts).alias("peak_w"),
+        _peak(kept, F.col(r) + F.col(w), firsts).alias("peak_rw"),
     )
 
 

@@ -48,14 +48,14 @@ def join_on(
     return joined.drop(*[f"_on_{c}" for c in on])
 
 
-def flag_first(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], out: str = "is_first") -> DataFrame:
-    """Mark exactly one row of each group, the one with the smallest ``order``.
+def match_first(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], out: str) -> DataFrame:
+    """Mark the rows of each group that equal its first row, the one with the smallest ``order``.
 
     A null order comes last. Equal orders are told apart by a hash of the row's
-    other columns, and equal rows are numbered, so never more than one row is
-    marked. The group minimum is a pre-aggregated pass over few columns. It is
-    joined on group, order and hash, so both the join and the numbering spread
-    a hot group evenly.
+    other columns, so all marked rows of a group are the same. The group
+    minimum is a pre-aggregated pass over few columns. It is joined on group,
+    order and hash, which spreads a hot group evenly where the minima are too
+    many to be broadcast.
     """
     by, order = as_list(by), as_list(order)
     hashed = [f.name for f in df.schema if "map" not in f.dataType.simpleString()]
@@ -65,9 +65,14 @@ def flag_first(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str
     at = [*order, "_tie"]
     firsts = smallest.select(*by, *[F.col(f"_first.{c}").alias(c) for c in at], F.lit(True).alias("_hit"))
     joined = join_on(keyed, firsts, by + at, null_safe=True)
-    same = Window.partitionBy(*by, *at).orderBy(F.lit(1))
-    flagged = joined.withColumn(out, F.coalesce("_hit", F.lit(False)) & (F.row_number().over(same) == 1))
-    return flagged.drop("_hit", "_tie")
+    return joined.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def flag_first(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], out: str = "is_first") -> DataFrame:
+    """Mark exactly one row of each group, the one with the smallest ``order``; of equal rows any one."""
+    matched = match_first(df, by, order, "_same")
+    same = Window.partitionBy(*as_list(by), *as_list(order), "_tie").orderBy(F.lit(1))
+    return matched.withColumn(out, F.col("_same") & (F.row_number().over(same) == 1)).drop("_same", "_tie")
 
 
 def rank_cut(
@@ -171,6 +176,27 @@ def attach(
     return joined.select(*df.columns, *[found[c].alias(c) for c in payload])
 
 
+def time_nodes(lo: Column, hi: Column) -> Column:
+    """Nodes (level, node) of a binary tree over whole numbers that make up lo to hi, both included.
+
+    A node stands for 2^level neighbours. Level by level, the node at either
+    end is taken if it has no sibling in the interval: at most two per level,
+    so their number grows with the logarithm of the length.
+    """
+    first, end = lo.cast("bigint"), hi.cast("bigint") + 1
+
+    def at(level: Column) -> Column:
+        a = -F.call_function("shiftright", -first, level)
+        b = F.call_function("shiftright", end, level)
+        return F.array(
+            F.when((a < b) & (F.pmod(a, F.lit(2)) == 1), F.struct(level.alias("level"), a.alias("node"))),
+            F.when((a < b) & (F.pmod(b, F.lit(2)) == 1), F.struct(level.alias("level"), (b - 1).alias("node"))),
+        )
+
+    levels = F.sequence(F.lit(0), F.log2((end - first).cast("double")).cast("int") + 1)
+    return F.filter(F.flatten(F.transform(levels, at)), lambda x: x.isNotNull())
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -179,26 +205,31 @@ def interval_join(
     lo_us: Column,
     hi_us: Column,
     bucket_seconds: int,
-    how: str = "inner",
 ) -> DataFrame:
     """Points inside closed intervals of the same group.
 
-    Spark has no range join. Intervals are laid over time buckets and joined on
-    (group, bucket); a point has one bucket, so no pair appears twice. A hot
-    group is spread over its buckets. ``how`` may be ``inner`` or ``left_semi``.
-    Columns of ``intervals`` must differ from those of ``points`` except ``by``.
+    Spark has no range join. Time is cut into buckets, the leaves of a binary
+    tree. An interval lies on the few nodes that make it up, whatever its
+    length; a point looks up the node above it on each level that any interval
+    uses. The nodes of an interval don't overlap, so no pair appears twice. The
+    levels are a subquery of at most 64 numbers, found when the join runs. A
+    node with very many points is an ordinary skewed key of an equi-join, which
+    Spark splits. Columns of ``intervals`` must differ from those of ``points``
+    except ``by``; rows without a group or a time match none.
     """
     by = as_list(by)
     width = bucket_seconds * 1_000_000
-    left = points.withColumn("_at", at_us).withColumn("_bucket", bin_of(F.col("_at"), width))
-    right = (
+    nodes = (
         intervals.withColumn("_lo", lo_us)
         .withColumn("_hi", hi_us)
         .filter(F.col("_lo") <= F.col("_hi"))
-        .withColumn("_bucket", F.explode(F.sequence(bin_of(F.col("_lo"), width), bin_of(F.col("_hi"), width))))
+        .select("*", F.inline(time_nodes(bin_of("_lo", width), bin_of("_hi", width))))
+        .withColumnsRenamed({"level": "_level", "node": "_node"})
     )
-    keys = by + ["_bucket"]
-    right = right.select(*[F.col(c).alias(f"_on_{c}") for c in keys], *[c for c in right.columns if c not in keys])
+    levels = nodes.agg(F.collect_set("_level")).scalar()
+    left = points.withColumn("_at", at_us).withColumn("_level", F.explode(levels))
+    left = left.withColumn("_node", F.call_function("shiftright", bin_of("_at", width), F.col("_level")))
+    keys = by + ["_level", "_node"]
+    right = nodes.select(*[F.col(c).alias(f"_on_{c}") for c in keys], *[c for c in nodes.columns if c not in keys])
     cond = same_keys(left, right, [(c, f"_on_{c}") for c in keys]) & F.col("_at").between(F.col("_lo"), F.col("_hi"))
-    joined = left.join(right, cond, how)
-    return joined.drop("_at", "_bucket", "_lo", "_hi", *[f"_on_{c}" for c in keys])
+    return left.join(right, cond).drop("_at", "_level", "_node", "_lo", "_hi", *[f"_on_{c}" for c in keys])
