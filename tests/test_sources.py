@@ -153,6 +153,34 @@ def test_large_capture_splits_between_reports(spark, write):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@pytest.mark.parametrize(("end", "part"), [("\r\n", "\r\n"), ("\n", ""), ("\n", "\n")])
+def test_captures_of_any_line_end_are_read_by_splits(spark, write, end, part):
+    """CRLF, or no blank line at all: stamps and the one header are carried over splits and ranges."""
+    header = "Device r/s wMB/s rrqm/s %rrqm r_await rareq-sz w/s rMB/s wrqm/s %wrqm w_await wareq-sz %util"
+    stamps = [f"05/03/2026 {h:02}:{m:02}:{s:02}" for h in range(2) for m in range(60) for s in range(0, 60, 10)]
+    text = "Linux 6.1 (h1)" + end + header + end
+    for i, stamp in enumerate(stamps):
+        rows = "".join(f"{d} 1 {i * 10 + k} 2 3 4 5 6 {i}.5 7 8 9 10 11{end}" for k, d in enumerate(["nvme0n1", "nvme0n1p1", "nvme0n1", "sda"]))
+        text += stamp + end + rows + part
+    root = write({"x/iostat-big-host1.log": text, "y/iostat-big-host1.log": "nvme0n1 1 5 0 0 0 0 0 6 0\n" + text[:900]})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+    try:
+        assert logs.read_lines(spark, f"{root}/x/iostat-big-host1.log").rdd.getNumPartitions() > 10
+        got = iostat.read_iostat(spark, f"{root}/*/iostat-*.log", layout="lines", span=64).orderBy("path", "seq").collect()
+        mine = [r for r in got if "/x/" in r.path]
+        assert [(r.stamp, r.w_mbs, r.r_mbs) for r in mine] == [(s, float(i * 10 + k), i + 0.5) for i, s in enumerate(stamps) for k in (0, 2)]
+        assert {(r.label, r.phase, r.host) for r in got} == {("big-host1", "big", "host1")} and mine[3].ts == datetime(2026, 5, 3, 0, 0, 10)
+        first = next(r for r in got if "/y/" in r.path)
+        assert (first.stamp, first.ts, first.r_mbs, first.w_mbs) == (None, None, 5.0, 6.0)
+        if part == "\n":  # where records can be told apart both layouts agree
+            both = [iostat.read_iostat(spark, f"{root}/x/iostat-*.log", match="prefix", layout=x).orderBy("seq") for x in ("lines", "reports")]
+            a, b = ([tuple(r)[:-1] for r in df.collect()] for df in both)
+            assert [r[:5] + r[5:7] for r in a] == [r[:5] + r[5:7] for r in b] and len(a) == 3 * len(stamps)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_line_numbers_follow_the_file_over_splits(spark, write):
     root = write({"training-a-h1.log": "".join(f"line {i}\n" for i in range(5000))})
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")

@@ -143,6 +143,31 @@ def running_drops(
     return counted.withColumn(out, F.col("_local") + F.col("_before")).drop("_range", "_local", "_before")
 
 
+def carry_forward(
+    df: DataFrame, by: str | Sequence[str], order: str, carried: Sequence[str], span: int = 4096
+) -> DataFrame:
+    """Columns ``carried`` with the last value that is not null up to each row of its group.
+
+    ``order`` is a whole number, unique per group, so a range of ``span`` order
+    values holds at most ``span`` rows. Values are carried inside ranges. One
+    row per range sums up what it ends with; these are carried along the group,
+    so the rows of a group are never gathered. Both steps read one shuffle by
+    group and range. ``by`` is never null.
+    """
+    by, carried = as_list(by), as_list(carried)
+    dealt = df.withColumn("_range", bin_of(order, span)).repartition(*by, "_range")
+    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy(*by, "_range").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_end_{c}") for c in carried]
+    )
+    before = ends.select(*by, "_range", *[F.last(f"_end_{c}", ignorenulls=True).over(along).alias(f"_before_{c}") for c in carried])
+    local = dealt.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in carried})
+    joined = join_on(local, before, by + ["_range"])
+    whole = {c: F.coalesce(c, f"_before_{c}") for c in carried}
+    return joined.withColumns(whole).drop("_range", *[f"_before_{c}" for c in carried])
+
+
 def attach(
     df: DataFrame,
     per_key: DataFrame,

@@ -15,7 +15,7 @@ from tidegauge.operators import events
 from tidegauge.plans.registry import load, registered
 from tidegauge.plans.samples import IO, io_samples
 from tidegauge.sources.fio import RESULT_SCHEMA, fio_rows, parse_fio_lines, parse_job_files
-from tidegauge.sources.iostat import parse_iostat_blocks
+from tidegauge.sources.iostat import parse_iostat_blocks, parse_iostat_lines
 from tidegauge.sources.logs import (
     parse_bracket_lines,
     parse_mem_lines,
@@ -305,6 +305,39 @@ def iostat_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered(
+    "capture_lines",
+    f"""WITH {IO}, c AS (
+  SELECT label, seq, r, w, last_value(CASE WHEN seq % 5 = 0 THEN date_trunc('second', ts) END IGNORE NULLS) OVER o AS stamped,
+    last_value(CASE WHEN seq % 7 = 0 THEN seq % 14 = 0 END IGNORE NULLS) OVER o AS swapped
+  FROM io WINDOW o AS (PARTITION BY label ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT 'log-' || label AS label, seq, stamped, CASE WHEN swapped THEN w ELSE r END AS r_mbs, CASE WHEN swapped THEN r ELSE w END AS w_mbs
+FROM c""",
+)
+def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures line by line whose stamps and headers hold for many rows; some headers name the columns the other way round."""
+    header = "Device r/s %s rrqm/s %%rrqm r_await rareq-sz w/s %s wrqm/s %%wrqm w_await wareq-sz %%util\r"
+    names = F.when(F.col("seq") % 14 == 0, F.format_string(header, F.lit("wMB/s"), F.lit("rMB/s"))).otherwise(
+        F.format_string(header, F.lit("rMB/s"), F.lit("wMB/s"))
+    )
+    row = "nvme0n1 1.00 %.2f 0.00 0.00 0.10 4.00 2.00 %.2f 0.00 0.00 0.10 4.00 7.00\r"
+    lines = io_samples(spark, sf_dir).select(
+        F.concat(F.lit("/logs/iostat-log-"), F.col("label").cast("string"), F.lit(".log")).alias("path"),
+        "seq",
+        F.posexplode(
+            F.array(
+                F.when(F.col("seq") % 5 == 0, F.date_format("ts", "MM/dd/yyyy HH:mm:ss")),
+                F.when(F.col("seq") % 7 == 0, names),
+                F.format_string(row, "r_mbs", "w_mbs"),
+                F.lit("sda 1.00 9.00\r"),
+            )
+        ).alias("part", "line"),
+    )
+    numbered = lines.where(F.col("line").isNotNull()).withColumn("line_no", F.col("seq") * 4 + F.col("part"))
+    parsed = parse_iostat_lines(numbered, span=256)
+    return parsed.select("label", F.floor(F.col("seq") / 4).alias("seq"), F.col("ts").cast("timestamp_ntz").alias("stamped"), "r_mbs", "w_mbs")
+
+
 @registered(
     "training_lines",
     f"""WITH {IO}

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.text import file_path, host_of, label_from_path, phase_of
 from tidegauge.operators.samples import on_device
+from tidegauge.operators.spread import carry_forward
+from tidegauge.sources.logs import read_lines
 
 # Stamp line, and positions of read and write rate in a row.
 STAMP_LINE = r"(?m)^([0-9][0-9]/.*)$"
@@ -105,18 +107,84 @@ def parse_iostat_blocks(
     return on_device(samples, device, match)
 
 
+def parse_iostat_lines(
+    lines: DataFrame,
+    path: str = "path",
+    line_no: str = "line_no",
+    line: str = "line",
+    device: str | None = "nvme0n1",
+    match: str = "exact",
+    stamp_formats: Sequence[str] = STAMP_FORMATS,
+    prefix: str = "iostat-",
+    by_header: bool = True,
+    span: int = 4096,
+) -> DataFrame:
+    """Typed samples from single lines of captures, with their number in the file.
+
+    A row takes stamp and columns from the last stamp line and the last header
+    at or before it in its file, wherever splits part them. Only stamps, headers
+    and rows of the device leave the scan. ``seq`` is the number of the line.
+    """
+    text = F.trim(F.regexp_replace(F.col(line), "\r", ""))
+    is_stamp, is_header = text.rlike("^[0-9][0-9]/"), text.startswith("Device")
+    row = text.startswith(device) if device is not None else (text != "") & ~text.startswith("Linux ")
+
+    def position(name: str, usual: int) -> Column:
+        at = F.array_position(F.split("_text", r"\s+"), name).cast("int")
+        return F.when(at > 0, at).otherwise(F.lit(usual)) if by_header else F.lit(usual)
+
+    kept = (
+        lines.select(F.col(path).alias("path"), F.col(line_no).alias("seq"), text.alias("_text"), is_stamp.alias("_is_stamp"), is_header.alias("_is_header"))
+        .where(F.col("_is_stamp") | F.col("_is_header") | row)
+        .withColumn("_stamp", F.when(F.col("_is_stamp"), F.col("_text")))
+        .withColumn(
+            "_at", F.when(F.col("_is_header"), F.struct(position("rMB/s", READ_FIELD).alias("r"), position("wMB/s", WRITE_FIELD).alias("w")))
+        )
+    )
+    rows = carry_forward(kept, "path", "seq", ["_stamp", "_at"], span).where(~F.col("_is_stamp") & ~F.col("_is_header"))
+
+    def field(at: Column) -> Column:
+        return F.try_element_at(F.col("_fields"), at).try_cast("double")
+
+    samples = (
+        rows.withColumn("_fields", F.split("_text", r"\s+"))
+        .withColumn("label", label_from_path("path", prefix))
+        .select(
+            "path",
+            "label",
+            phase_of("label").alias("phase"),
+            host_of("label").alias("host"),
+            F.get("_fields", F.lit(0)).alias("device"),
+            F.col("_stamp").alias("stamp"),
+            F.coalesce(*[F.try_to_timestamp(F.col("_stamp"), F.lit(f)) for f in stamp_formats]).alias("ts"),
+            field(F.coalesce(F.col("_at.r"), F.lit(READ_FIELD))).alias("r_mbs"),
+            field(F.coalesce(F.col("_at.w"), F.lit(WRITE_FIELD))).alias("w_mbs"),
+            field(F.lit(-1)).alias("util_pct"),
+            "seq",
+        )
+    )
+    return on_device(samples, device, match)
+
+
 def read_iostat(
     spark: SparkSession,
     path: str,
     device: str | None = "nvme0n1",
     match: str = "exact",
+    layout: str = "reports",
     **parse,
 ) -> DataFrame:
     """Samples of one log or of all logs a glob names, in the order of the file whatever their stamps.
 
-    Records end at an empty line where logs have them, so large logs stay
-    splittable; a log without empty lines is one record.
+    With ``layout="reports"`` records end at an empty line and are taken apart
+    where they are read, without a shuffle; a log without such lines, as one
+    with CRLF ends, is one record. ``layout="lines"`` reads any log line by
+    line, in as many tasks as it has splits, and carries stamps and headers on.
     """
+    if layout == "lines":
+        return parse_iostat_lines(read_lines(spark, path), device=device, match=match, **parse)
+    if layout != "reports":
+        raise ValueError(f"layout must be reports or lines, not {layout}")
     blocks = (
         spark.read.option("lineSep", "\n\n")
         .text(path)
