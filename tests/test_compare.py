@@ -1,3 +1,5 @@
+import pytest
+import random
 from pyspark.sql import functions as F
 
 from tidegauge.operators import audit, compare, costs, curves, intervals
@@ -208,3 +210,27 @@ def test_curve_sums_threads_and_finds_the_knee(spark):
     assert knee[0].knee_bin is None
     points = curves.bw_points(df.limit(1)).first()
     assert points.secs == 0.0 and points.mib_s == 700_000 / 1024
+
+
+def test_knee_over_ranges_equals_brute_force(spark):
+    rnd = random.Random(11)
+    rows = []
+    for job in "abc":
+        level = 100.0
+        for b in range(-30, 170):
+            level *= rnd.choice([1, 1, 1, 0.99, 0.97])
+            if rnd.random() > 0.04:  # a missing bin breaks every window over it
+                rows.append((job, b, round(level + rnd.uniform(-9, 9), 2)))
+    df = spark.createDataFrame(rows + [("short", 1, 5.0)], "job string, bin long, total double")
+    for smooth, span in ((5, 5), (5, 8), (1, 3), (7, 4096)):
+        want = {}
+        for job in "abc":
+            bins = {b: v for j, b, v in rows if j == job}
+            full = {b: round(sum(bins[b - k] for k in range(smooth)), 6) / smooth for b in bins if all(b - k in bins for k in range(smooth))}
+            early = full[min(full)]
+            knee = min((b for b, v in full.items() if v < early * 0.5), default=None)
+            want[job] = (early, knee, full.get(knee))
+        for decimals in (None, 2):
+            got = curves.bw_knee(df, "job", smooth, decimals=decimals, span=span).collect()
+            assert {r.job: (r.early, r.knee_bin, r.knee_level) for r in got if r.job != "short"} == {k: tuple(x if x is None else pytest.approx(x) for x in v) for k, v in want.items()}
+            assert smooth == 1 or "short" not in {r.job for r in got}

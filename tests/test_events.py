@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -97,6 +98,27 @@ def test_signposts(spark):
     assert {r.run: r.secs for r in got.collect()} == {"a": 89.0, "b": None}
 
 
+def test_signposts_against_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice("abcdefgh"), rnd.randrange(-4000, 4000), rnd.choice(["norm", "step 100", "x", "x", None])) for _ in range(160)]
+    rows += [("late", 10, "step 100"), ("late", 20, "norm"), ("both", 7, "norm"), ("both", 7, "step 100"), ("none", 1, "x"), (None, 1, "norm"), (None, 9000, "step 100")]
+    df = spark.createDataFrame([(r, T0 + timedelta(seconds=t), k) for r, t, k in rows] + [("none", None, "norm")], "run string, ts timestamp, kind string")
+    want = {}
+    for run in {r[0] for r in rows}:
+        first = min((t for r, t, k in rows if r == run and k == "norm"), default=None)
+        ends = [t for r, t, k in rows if r == run and k == "step 100" and first is not None and t >= first]
+        want[run] = (first, float(min(ends) - first) if ends else None)
+    for span in (1, 100, 100_000):
+        got = events.signpost_interval(df, "run", "ts", F.col("kind") == "norm", F.col("kind") == "step 100", span).collect()
+        assert {r.run: (r.from_ts and (r.from_ts - T0).total_seconds(), r.secs) for r in got} == want
+
+
+def test_signposts_take_one_scan(spark):
+    df = spark.createDataFrame([("a", T0, "norm")], "run string, ts timestamp, kind string")
+    plan = executed_plan(events.signpost_interval(df, "run", "ts", F.col("kind") == "norm", F.col("kind") == "step 100"))
+    assert plan.count("Scan ExistingRDD") == 1 and "Join" not in plan
+
+
 def test_defaults(spark):
     df = spark.createDataFrame([("a", 5.0)], "t string, v double")
     dim = spark.createDataFrame([("a",), ("b",)], "t string")

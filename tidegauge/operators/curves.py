@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.units import bin_of, exact_sum
+from tidegauge.functions.units import bin_of, exact_sum, finite, of_units, whole_units
 from tidegauge.operators.spread import as_list, join_on
 
 
@@ -36,26 +36,29 @@ def bw_knee(
     smooth: int = 5,
     frac: float = 0.5,
     decimals: int | None = None,
+    span: int = 4096,
 ) -> DataFrame:
     """First bin whose smoothed rate is below ``frac`` of the early level.
 
-    The rate is smoothed over ``smooth`` bins up to each bin. Every bin adds to
-    the windows it belongs to and these are aggregated, so a long curve is not
-    gathered in one task. The early level is the first full window.
+    The rate is smoothed over ``smooth`` bins up to each bin. A curve is cut
+    into ranges of ``span`` bins; the last ``smooth - 1`` bins of a range also
+    go to the next one, so a window inside a range sees all it needs, and a long
+    curve is not gathered in one task. The early level is the first full window;
+    it is found in the same shuffle.
     """
+    if smooth > span:
+        raise ValueError("span must be at least smooth")
     by = as_list(by)
-    spread = curve.select(
-        *by, F.explode(F.sequence(F.lit(0), F.lit(smooth - 1))).alias("_ahead"), "bin", "total"
-    ).withColumn("bin", F.col("bin") + F.col("_ahead"))
+    value = finite("total") if decimals is None else whole_units("total", decimals).cast("decimal(38,0)")
+    here = bin_of("bin", span)
+    both = F.when(F.pmod("bin", F.lit(span)) > span - smooth, F.array(here, here + 1)).otherwise(F.array(here))
+    laid = curve.select(*by, "bin", value.alias("_value"), F.explode(both).alias("_range")).repartition(*by, "_range")
+    frame = Window.partitionBy(*by, "_range").orderBy("bin").rangeBetween(1 - smooth, 0)
     windows = (
-        spread.groupBy(*by, "bin")
-        .agg(
-            exact_sum("total", decimals).alias("_sum"),
-            F.count(F.lit(1)).alias("_n"),
-            F.max(F.col("_ahead") == 0).alias("_real"),
-        )
-        .filter((F.col("_n") == smooth) & F.col("_real"))
-        .withColumn("smoothed", F.col("_sum") / smooth)
+        laid.withColumn("_sum", F.sum("_value").over(frame))
+        .withColumn("_n", F.count(F.lit(1)).over(frame))
+        .where((F.col("_n") == smooth) & (here == F.col("_range")))
+        .select(*by, "bin", (of_units("_sum", decimals) / smooth).alias("smoothed"))
     )
     early = windows.groupBy(*by).agg(F.min_by("smoothed", "bin").alias("early"))
     found = join_on(windows, early, by)

@@ -187,17 +187,42 @@ def slowdown_tail(
     )
 
 
-def signpost_interval(df: DataFrame, run: str | Sequence[str], ts: str, start: Column, stop: Column) -> DataFrame:
+def signpost_interval(
+    df: DataFrame, run: str | Sequence[str], ts: str, start: Column, stop: Column, span_seconds: int = 3600
+) -> DataFrame:
     """Seconds from the first ``start`` marker to the first ``stop`` marker at or after it.
 
-    Markers are reduced to one row per run and time before they meet.
+    Markers of one time are one row. Time is cut into ranges, and each is summed
+    up by its first start, its first stop, and its first stop at or after its
+    own first start. Of these the interval follows for the whole run: it begins
+    with the first of all starts and ends with that range's stop after it, or
+    else with the first stop of a later range. A run without markers stays.
     """
     run = as_list(run)
-    first = df.groupBy(*run).agg(F.min(F.when(start, F.col(ts))).alias("from_ts"))
-    stops = df.filter(stop).groupBy(*run, F.col(ts).alias("_stop")).agg(F.count(F.lit(1)).alias("_n"))
-    later = join_on(stops, first, run, "inner", null_safe=True).filter(F.col("_stop") >= F.col("from_ts"))
-    ends = later.groupBy(*run).agg(F.min("_stop").alias("to_ts"))
+    is_start, is_stop = F.coalesce(start, F.lit(False)), F.coalesce(stop, F.lit(False))
+    at = F.when(is_start | is_stop, F.col(ts))
+    marks = (
+        df.select(*run, at.alias("_ts"), is_start.alias("_start"), is_stop.alias("_stop"))
+        .groupBy(*run, bin_of(epoch_us("_ts"), span_seconds * 1_000_000).alias("_range"), "_ts")
+        .agg(F.max("_start").alias("_start"), F.max("_stop").alias("_stop"))
+    )
+    first = F.min(F.when(F.col("_start"), F.col("_ts")))
+    ranges = (
+        marks.withColumn("_from", first.over(Window.partitionBy(*run, "_range")))
+        .groupBy(*run, "_range")
+        .agg(
+            F.min("_from").alias("_from"),
+            F.min(F.when(F.col("_stop"), F.col("_ts"))).alias("_first_stop"),
+            F.min(F.when(F.col("_stop") & (F.col("_ts") >= F.col("_from")), F.col("_ts"))).alias("_stop_after"),
+        )
+    )
+    start_at, stop_at = F.col("from_ts"), F.col("_first_stop")
+    ends = F.least(
+        F.min(F.when(F.col("_from") == start_at, F.col("_stop_after"))), F.min(F.when(stop_at >= start_at, stop_at))
+    )
     return (
-        join_on(first, ends, run, null_safe=True)
+        ranges.withColumn("from_ts", F.min("_from").over(Window.partitionBy(*run)))
+        .groupBy(*run)
+        .agg(F.min("from_ts").alias("from_ts"), ends.alias("to_ts"))
         .withColumn("secs", (epoch_us("to_ts") - epoch_us("from_ts")) / F.lit(1e6))
     )
