@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidegauge.functions.units import bw_mbs, latency_us
+from tidegauge.operators import curves, report
+from tidegauge.operators.samples import peak_memory
 from tidegauge.sources import dims, fio, iostat, logs
 
 
@@ -85,7 +87,7 @@ def test_fio_text(spark, write):
 
 def test_bw_log(spark, write):
     root = write({"02-seqwrite-16t_bw.0.log": "1000, 2048, 1, 0, 0\n2001, 1024, 1, 0, 0\n", "j_bw.12.log": "5, 6, 0, 0\n"})
-    got = sorted(tuple(r) for r in fio.read_bw_log(spark, f"{root}/*_bw.*.log").collect())
+    got = sorted(tuple(r) for r in fio.read_bw_log(spark, f"{root}/*_bw.*.log").drop("path", "folder").collect())
     assert got == [("02-seqwrite-16t", 0, 1000, 2048, 1), ("02-seqwrite-16t", 0, 2001, 1024, 1), ("j", 12, 5, 6, 0)]
 
 
@@ -305,3 +307,49 @@ def test_dimensions(spark):
     }
     assert [r.test for r in dims.catalogue_df(spark).orderBy("ord").collect()].count("rand-rw-4k") == 2
     assert dims.expected_df(spark).filter(F.col("lo").isNull() & F.col("hi").isNull()).count() == 0
+
+
+def test_files_of_equal_names_stay_apart(spark, write):
+    """Two folders with the same file name, a blank and a plus in it."""
+    mem = "10:00:0{k} rss=1MiB hwm={h}MiB used=3MiB avail=4MiB cache=5MiB shared=6MiB swap=0MiB\n"
+    root = write(
+        {
+            f"{d} dir/{name}": text
+            for d, v in (("a", 10), ("b", 20))
+            for name, text in {
+                "my+job 1_bw.1.log": f"1000, {v}, 0, 0, 0\n",
+                "my+job 1_bw.2.log": f"1000, {v}, 0, 0, 0\n",
+                "anon-rss-20260503-100000.log": mem.format(k=1, h=v) + mem.format(k=2, h=v + 1),
+                "rss-my run-h1.log": f"VmHWM: {v * 1024} kB VmRSS: 1024 kB VmSwap: 0 kB  ts=17\n",
+                "launch-my run.ts": f"{v}.5\n",
+                "my job.json": json.dumps({"jobs": [{"read": {"bw_bytes": v}}]}),
+                "pillar1-seq-read-1m.log": f"   READ: bw=1MiB/s ({v}MB/s)\n",
+            }.items()
+        }
+    )
+    bw = fio.read_bw_log(spark, f"{root}/*/*_bw.*.log")
+    curve = curves.bw_curve(bw, ["folder", "job"]).collect()
+    assert sorted((r.folder.rsplit("/", 1)[1], r.job, r.total) for r in curve) == [("a dir", "my+job 1", 20.0), ("b dir", "my+job 1", 40.0)]
+    folder = lambda r: r.path.rsplit("/", 2)[1]
+    peaks = peak_memory(logs.read_mem_log(spark, f"{root}/*/anon-rss-*.log"), ["path", "label"]).collect()
+    assert sorted((folder(r), r.label, r.peak_mib) for r in peaks) == [("a dir", "20260503-100000", 11), ("b dir", "20260503-100000", 21)]
+    proc = logs.read_proc_status(spark, f"{root}/*/rss-*.log").collect()
+    assert sorted((folder(r), r.label, r.rss_mib, r.hwm_mib) for r in proc) == [("a dir", "my run-h1", 1.0, 10.0), ("b dir", "my run-h1", 1.0, 20.0)]
+    brackets = logs.read_brackets(spark, f"{root}/*/*.ts").collect()
+    assert sorted((folder(r), r.label, r.kind, r.ts_epoch) for r in brackets) == [("a dir", "my run", "launch", 10.5), ("b dir", "my run", "launch", 20.5)]
+    results = fio.read_fio_json(spark, f"{root}/*/*.json").where("op = 'READ'").collect()
+    assert sorted((folder(r), r.job, r.bw_bytes) for r in results) == [("a dir", "my job", 10), ("b dir", "my job", 20)]
+    rates = fio.read_fio_text(spark, f"{root}/*/pillar*.log").collect()
+    assert sorted((folder(r), r.pillar, r.test, r.mb_per_s) for r in rates) == [("a dir", "1", "seq-read-1m", 10.0), ("b dir", "1", "seq-read-1m", 20.0)]
+
+
+def test_a_repeated_run_adds_nothing_and_half_a_run_is_not_shown(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "phase string, v int")
+    path = str(tmp_path / "runs")
+    for _ in range(2):
+        report.write_run(rows, path, "2026-05 / first")
+    report.write_run(rows.limit(1), path, "007")
+    # written, but never marked as done
+    rows.write.partitionBy("phase").parquet(f"{path}/rows/run=broken")
+    got = report.read_runs(spark, path, rows.schema)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 1, "007"), ("a", 1, "2026-05 / first"), ("a", 1, "2026-05 / first"), ("b", 2, "2026-05 / first")]

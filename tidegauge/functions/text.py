@@ -26,7 +26,7 @@ EVENT_LIMITS = {"consolidation": 10, "step": 30, "bracket": 4}
 # Fixed value: memory figure inside a step line.
 MEM_PATTERN = r"mem [0-9.]+ GiB"
 
-# Message rows for logs without a matching line.
+# Message rows for logs without a matching line.
 MISSING_MESSAGES = {
     "consolidation": "(no consolidation lines matched)",
     "step": "(no step-boundary lines matched)",

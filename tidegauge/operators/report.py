@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 # Line formats of the per-log summary and of active samples.
@@ -101,3 +103,25 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("phase"
     value is not written by one task.
     """
     df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
+
+
+def write_run(df: DataFrame, path: str, run: str, partition_by: Sequence[str] = ("phase",)) -> None:
+    """Rows of one run into a table of runs, once however often the run is repeated.
+
+    A run has a folder of its own, which a repeated run replaces as a whole. The
+    run counts when its mark has been written, last of all, so a table never
+    shows half a run.
+    """
+    name = quote(run, safe="")
+    table = df.drop("run")
+    table.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/rows/run={name}")
+    done = df.sparkSession.createDataFrame([(1,)], "done int")
+    done.coalesce(1).write.mode("overwrite").parquet(f"{path}/done/run={name}")
+
+
+def read_runs(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All finished runs of a table, with the ``run`` each row is of."""
+    fields = [f for f in schema if f.name != "run"]
+    rows = spark.read.schema(StructType([*fields, StructField("run", StringType())])).parquet(f"{path}/rows")
+    done = spark.read.schema("done int, run string").parquet(f"{path}/done").select("run").distinct()
+    return rows.join(done, "run", "left_semi").select(*[f.name for f in fields], "run")

@@ -17,10 +17,12 @@ from tidegauge.functions.units import (
 from tidegauge.operators import compare, costs
 from tidegauge.operators.audit import audit_sweep
 from tidegauge.operators.events import with_default
-from tidegauge.operators.report import summary_lines, to_fixed_width, to_markdown, write_table
+from tidegauge.operators.report import read_runs, summary_lines, to_fixed_width, to_markdown, write_run
 from tidegauge.plans.registry import load, registered
 from tidegauge.plans.samples import IO, NUMBERED, SUMMARY, io_samples, io_summary
 from tidegauge.session import shared_dir
+from tidegauge.sources.dims import EXPECTED, expected_df, fixed
+from tidegauge.sources.logs import read_file_entries
 
 
 # ---- units and text -------------------------------------------------------
@@ -177,18 +179,16 @@ def cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "catalogue_report",
-    """WITH s AS (SELECT s_nationkey, arg_max(s_acctbal, s_suppkey) AS s_acctbal FROM supplier
-  WHERE s_suppkey % 3 = s_nationkey % 3 GROUP BY s_nationkey)
-SELECT n_nationkey AS ord, n_name, s_acctbal FROM nation LEFT JOIN s ON s_nationkey = n_nationkey""",
+    """WITH s AS (SELECT s_nationkey - s_nationkey % 3 AS test, arg_max(s_acctbal, s_suppkey) AS s_acctbal FROM supplier GROUP BY ALL)
+SELECT n_nationkey AS ord, n_name, s_acctbal FROM nation LEFT JOIN s ON test = n_nationkey""",
 )
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = load(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("ord"), F.col("n_nationkey").alias("test"), "n_name"
     )
-    found = (
-        load(spark, sf_dir, "supplier")
-        .filter(F.col("s_suppkey") % 3 == F.col("s_nationkey") % 3)
-        .select(F.col("s_nationkey").alias("test"), "s_suppkey", "s_acctbal")
+    # every supplier counts for the first of three nations; the others have no result
+    found = load(spark, sf_dir, "supplier").select(
+        (F.col("s_nationkey") - F.col("s_nationkey") % 3).alias("test"), "s_suppkey", "s_acctbal"
     )
     return compare.catalogue_report(found, nations, "test", "s_acctbal", order="s_suppkey").drop("test")
 
@@ -221,20 +221,17 @@ def battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "with_default",
-    """WITH s AS (SELECT s_nationkey, count(*) AS n, max(s_acctbal) AS top FROM supplier WHERE s_acctbal > 8000
-  GROUP BY s_nationkey)
-SELECT n_nationkey, n_name, coalesce(n, 0) AS n, coalesce(top, 0) AS top
-FROM nation LEFT JOIN s ON s_nationkey = n_nationkey""",
+    """WITH s AS (SELECT s_nationkey - s_nationkey % 3 AS k, count(*) AS n, max(s_acctbal) AS top FROM supplier GROUP BY ALL)
+SELECT n_nationkey, n_name, coalesce(n, 0) AS n, coalesce(top, 0) AS top FROM nation LEFT JOIN s ON k = n_nationkey""",
 )
 def defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rich = (
+    found = (
         load(spark, sf_dir, "supplier")
-        .filter(F.col("s_acctbal") > 8000)
-        .groupBy(F.col("s_nationkey").alias("n_nationkey"))
+        .groupBy((F.col("s_nationkey") - F.col("s_nationkey") % 3).alias("n_nationkey"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("s_acctbal").alias("top"))
     )
     dim = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return with_default(rich, dim, "n_nationkey", {"n": 0, "top": 0.0})
+    return with_default(found, dim, "n_nationkey", {"n": 0, "top": 0.0})
 
 
 @registered(
@@ -616,9 +613,65 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "stored_samples",
-    f"WITH {IO} SELECT label, seq, r AS r_mbs, w AS w_mbs FROM io WHERE device = 'error'",
+    f"WITH {IO} SELECT 'run 1' AS run, device, label, seq, ts, r AS r_mbs, w AS w_mbs FROM io",
 )
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that is stored twice is there once, with all partitions."""
     out = shared_dir(spark, "samples")
-    write_table(io_samples(spark, sf_dir), out, ["device"])
-    return spark.read.parquet(out).filter(F.col("device") == "error").select("label", "seq", "r_mbs", "w_mbs")
+    samples = io_samples(spark, sf_dir)
+    for _ in range(2):
+        write_run(samples, out, "run 1", ["device"])
+    return read_runs(spark, out, samples.schema)
+
+
+def _literal(v: str | float | None) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE"
+
+
+EXPECTED_ROWS = ", ".join(f"({i}, {', '.join(map(_literal, r))})" for i, r in enumerate(EXPECTED))
+#: Measures that are taken: one for each expectation and some that none asks for.
+MEASURED = len(EXPECTED) + 7
+
+
+@registered(
+    "expected_values",
+    f"""WITH e AS (SELECT * FROM (VALUES {EXPECTED_ROWS}) AS t(ord, scenario, metric, regime, lo, hi, tol_pct)),
+q AS (SELECT l_orderkey % {MEASURED} AS ord, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 25.5 AS ratio
+  FROM lineitem GROUP BY ALL),
+m AS (SELECT e.ord, coalesce(lo, hi) * ratio * (0.8::DOUBLE + 0.2::DOUBLE * (e.ord % 3)) AS actual FROM e JOIN q ON q.ord = e.ord
+  WHERE e.ord % 11 <> 5)
+SELECT scenario, metric, regime, lo, hi, tol_pct, actual, CASE WHEN actual IS NULL THEN 'missing'
+  WHEN (lo IS NULL OR actual >= lo * (1 - tol_pct / 100)) AND (hi IS NULL OR actual <= hi * (1 + tol_pct / 100)) THEN 'ok'
+  ELSE 'drift' END AS verdict FROM e LEFT JOIN m ON m.ord = e.ord""",
+)
+def expected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published expectations against measures that a table gives them; some are not measured at all."""
+    ratio = (
+        load(spark, sf_dir, "lineitem")
+        .groupBy((F.col("l_orderkey") % MEASURED).alias("ord"))
+        .agg((exact_sum("l_quantity", 2) / F.count(F.lit(1)) / F.lit(25.5)).alias("ratio"))
+    )
+    names = fixed(
+        spark,
+        [(i, s, m, r if i % 11 != 5 else "not measured", lo if lo is not None else hi) for i, (s, m, r, lo, hi, _) in enumerate(EXPECTED)],
+        "ord bigint, scenario string, metric string, regime string, base double",
+    )
+    actual = F.col("base") * F.col("ratio") * (F.lit(0.8) + F.lit(0.2) * (F.col("ord") % 3))
+    measures = ratio.join(names, "ord").select("scenario", "metric", "regime", actual.alias("actual"))
+    return compare.check_expected(measures, expected_df(spark), ["scenario", "metric", "regime"], "actual")
+
+
+@registered(
+    "file_footprint",
+    """SELECT 'site=' || page_id % 7 || '/kind=' || (CASE WHEN length(html) > 1000 THEN 'long' ELSE 'short' END) AS dir,
+  sum(strlen(html) + 1)::BIGINT AS bytes FROM pages GROUP BY ALL""",
+)
+def file_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes per directory of files that were written from a table."""
+    out = shared_dir(spark, "footprint")
+    kind = F.when(F.length("html") > 1000, "long").otherwise("short")
+    pages = load(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("site"), kind.alias("kind"), "html")
+    pages.write.partitionBy("site", "kind").text(out)
+    entries = read_file_entries(spark, out)
+    inside = F.substring_index("path", f"{out.rsplit('/', 1)[1]}/", -1)
+    return costs.footprint(entries.withColumn("path", inside), 2).select("dir", "bytes")

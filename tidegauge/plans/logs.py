@@ -408,18 +408,18 @@ def process_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     "bracket_lines",
     f"""WITH {IO}
-SELECT 'run-' || label AS label, CASE device WHEN 'view' THEN 'launch' ELSE 'end' END AS kind,
-  CASE device WHEN 'purchase' THEN 'sync' ELSE 'run' END AS scope, arg_max(r, seq) AS ts_epoch
-FROM io WHERE device IN ('view', 'click', 'purchase') GROUP BY label, device""",
+SELECT CASE device WHEN 'error' THEN 'pillar' ELSE 'run-' END || label AS label,
+  CASE WHEN device IN ('view', 'signup') THEN 'launch' ELSE 'end' END AS kind,
+  CASE WHEN device IN ('purchase', 'signup') THEN 'sync' ELSE 'run' END AS scope, arg_max(r, seq) AS ts_epoch
+FROM io GROUP BY label, device""",
 )
 def bracket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lead = (
-        F.when(F.col("device") == "view", "launch-run-").when(F.col("device") == "click", "end-run-")
-        .when(F.col("device") == "purchase", "sync-end-run-")
-    )
-    rows = io_samples(spark, sf_dir).filter(lead.isNotNull())
-    path = F.concat(F.lit("/logs/"), lead, F.col("label").cast("string"), F.lit(".ts"))
-    lines = rows.select(
+    names = {"view": "launch-run-%s", "click": "end-run-%s", "purchase": "sync-end-run-%s", "signup": "sync-launch-run-%s"}
+    name = F.format_string("pillar%s-end", "label")
+    for device, form in names.items():
+        name = F.when(F.col("device") == device, F.format_string(form, "label")).otherwise(name)
+    path = F.concat(F.lit("/logs/"), name, F.lit(".ts"))
+    lines = io_samples(spark, sf_dir).select(
         path.alias("path"), F.col("seq").alias("line_no"), F.format_string("%.2f", "r_mbs").alias("line")
     )
     return parse_bracket_lines(lines)

@@ -46,6 +46,19 @@ EXPECTED = (
     ("sweep", "randwrite-qd64 IOPS", "sustained", 481338.0, 481338.0, 10.0),
     ("sweep", "randread-qd1 IOPS", "sustained", 4852.0, 4852.0, 10.0),
     ("sweep", "mixed MB/s", "sustained", 3714.0, 3714.0, 10.0),
+    ("full fine-tune c25", "consolidation secs", "step 24", 12.99, 12.99, 15.0),
+    ("full fine-tune c25", "consolidation secs", "step 49", 73.98, 73.98, 15.0),
+    ("full fine-tune c25", "consolidation secs", "step 74", 60.11, 60.11, 15.0),
+    ("full fine-tune c25", "consolidation secs", "step 99", 46.66, 46.66, 15.0),
+    ("full fine-tune c25", "consolidation ratio", "step 49 / step 24", 5.8, 6.3, 0.0),
+    ("full fine-tune c25", "checkpoint bytes GB", "each", 62.0, 62.0, 15.0),
+    ("full fine-tune c25", "wall clock mins", "total", 13.0, 13.0, 15.0),
+    ("full fine-tune c25", "overhead percent", "total", 58.0, 58.0, 15.0),
+    ("full fine-tune c25", "slowdown", "tail", 1.49, 1.49, 15.0),
+    ("full fine-tune c25", "memory plateau GiB", "steady", 61.49, 61.49, 15.0),
+    ("full fine-tune c100", "consolidation secs", "step 99", 13.0, 13.0, 15.0),
+    ("full fine-tune c100", "wall clock mins", "total", 6.0, 6.0, 15.0),
+    ("full fine-tune c100", "overhead percent", "total", 22.0, 22.0, 15.0),
     ("single-node", "consolidation secs", "hot", 11.0, 11.0, 15.0),
     ("single-node", "consolidation secs", "cold", 50.0, 80.0, 15.0),
     ("single-node", "memory plateau GiB", "steady", 61.5, 61.5, 15.0),
@@ -63,6 +76,9 @@ EXPECTED = (
     ("pillar 1", "seq-write-1m GB/s", "sustained", 0.5, 0.8, 0.0),
     ("pillar 1", "seq-read-1m GB/s", "warm", 9.0, None, 0.0),
     ("pillar 1", "seq-write-64k GB/s", "tuned", 1.7, None, 0.0),
+    ("pillar 1", "seq-write-64k GB/s", "verified", 1.8, None, 0.0),
+    ("pillar 1", "rand-read-4k IOPS", "tuned", 150000.0, None, 0.0),
+    ("pillar 1", "rand-write-4k IOPS", "tuned", 150000.0, None, 0.0),
     ("pillar 2", "seq-write-1m GB/s", "cross-node", 0.4, 0.6, 0.0),
     ("pillar 2", "seq-read-1m GB/s", "cross-node", 2.0, 2.5, 0.0),
     ("pillar 2", "seq-write-64k GB/s", "cross-node", 0.05, 0.08, 0.0),

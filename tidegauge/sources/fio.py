@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,22 +46,26 @@ BW_LINE = r"^\s*(READ|WRITE):\s*bw=([\d.]+)([KkMG]i?B)/s\s*\(([\d.]+)([KkMG]B)/s
 BW_LOG_SCHEMA = "t_ms bigint, bw_kib bigint, direction int, block_size bigint, offset bigint"
 
 
-def fio_rows(docs: DataFrame, job: str, jobs: str = "jobs", all_jobs: bool = False) -> DataFrame:
+def fio_rows(
+    docs: DataFrame, job: str, jobs: str = "jobs", all_jobs: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
     """One row per document (or job in it) and direction.
 
     Only the first job counts, since grouped results have one; a document
-    without jobs still gives its rows. Missing measures are 0.
+    without jobs still gives its rows. Missing measures are 0. Columns ``keep``
+    of the document stay.
     """
     if all_jobs:
-        entries = docs.select(job, F.posexplode_outer(jobs).alias("job_no", "_job"))
+        entries = docs.select(job, *keep, F.posexplode_outer(jobs).alias("job_no", "_job"))
     else:
-        entries = docs.select(job, F.lit(0).alias("job_no"), F.get(jobs, F.lit(0)).alias("_job"))
+        entries = docs.select(job, *keep, F.lit(0).alias("job_no"), F.get(jobs, F.lit(0)).alias("_job"))
     sides = F.array(
         *[F.struct(F.lit(op.upper()).alias("op"), F.col("_job")[op].alias("side")) for op in ("read", "write")]
     )
-    rows = entries.select(job, "job_no", F.col("_job.jobname").alias("jobname"), F.inline(sides))
+    rows = entries.select(job, *keep, "job_no", F.col("_job.jobname").alias("jobname"), F.inline(sides))
     return rows.select(
         F.col(job).alias("job"),
+        *keep,
         "job_no",
         "jobname",
         "op",
@@ -74,9 +80,10 @@ def read_fio_json(spark: SparkSession, path: str, all_jobs: bool = False) -> Dat
     docs = (
         spark.read.schema(RESULT_SCHEMA)
         .json(path, multiLine=True, mode="FAILFAST")
-        .select("jobs", label_from_path("_metadata.file_name", suffix=".json").alias("_name"))
+        .select("jobs", file_path().alias("path"))
+        .withColumn("_name", label_from_path("path", suffix=".json"))
     )
-    return fio_rows(docs, "_name", all_jobs=all_jobs)
+    return fio_rows(docs, "_name", all_jobs=all_jobs, keep=["path"])
 
 
 def parse_fio_lines(lines: DataFrame, path: str = "path", line_no: str = "line_no", line: str = "line") -> DataFrame:
@@ -103,6 +110,7 @@ def read_fio_text(spark: SparkSession, path: str) -> DataFrame:
     rates = parse_fio_lines(read_lines(spark, path))
     name = label_from_path("path")
     return rates.select(
+        "path",
         F.regexp_extract(name, BATTERY_NAME, 1).alias("pillar"),
         F.nullif(F.regexp_extract(name, BATTERY_NAME, 2), F.lit("")).alias("client"),
         F.regexp_extract(name, BATTERY_NAME, 3).alias("test"),
@@ -112,12 +120,19 @@ def read_fio_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bw_log(spark: SparkSession, path: str) -> DataFrame:
-    """Per-interval bandwidth; job and thread come from ``<job>_bw.<n>.log``."""
-    name = base_name("_metadata.file_name")
+    """Per-interval bandwidth; job and thread come from ``<job>_bw.<n>.log``.
+
+    The threads of a job lie in one folder: sum over (folder, job), as folders
+    may hold files of equal names.
+    """
+    name = base_name("path")
     return (
         spark.read.schema(BW_LOG_SCHEMA)
         .csv(path, ignoreLeadingWhiteSpace=True)
+        .withColumn("path", file_path())
         .select(
+            "path",
+            F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"),
             F.regexp_extract(name, r"^(.*)_bw\.\d+\.log$", 1).alias("job"),
             F.regexp_extract(name, r"_bw\.(\d+)\.log$", 1).try_cast("int").alias("thread"),
             "t_ms",

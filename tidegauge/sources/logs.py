@@ -66,9 +66,14 @@ MEM_KEYS = ("rss", "hwm", "used", "avail", "cache", "shared", "swap")
 
 
 def parse_mem_lines(
-    lines: DataFrame, path: str = "path", line_no: str = "line_no", line: str = "line", day: Column | None = None
+    lines: DataFrame,
+    path: str = "path",
+    line_no: str = "line_no",
+    line: str = "line",
+    day: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Memory samples in MiB.
+    """Memory samples in MiB; ``keep`` may have the path, as files may share a label.
 
     Sample clocks have no date: the date comes from the file name and a day is
     added each time the clock steps back.
@@ -81,11 +86,13 @@ def parse_mem_lines(
         F.col(line_no).alias("seq"),
         (part[0] * 3600 + part[1] * 60 + part[2]).alias("_clock"),
         F.col(line).alias("_line"),
+        *[c for c in keep if c != path],
         F.unix_seconds(day.cast("timestamp")).alias("_day"),
     )
     dated = running_drops(rows, "_path", "seq", "_clock", "_days")
     return dated.select(
         label_from_path("_path", "anon-rss-").alias("label"),
+        *[F.col("_path").alias(c) if c == path else F.col(c) for c in keep],
         "seq",
         F.timestamp_seconds(F.col("_day") + F.col("_days") * 86400 + F.col("_clock")).alias("ts"),
         *[
@@ -95,11 +102,11 @@ def parse_mem_lines(
 
 
 def read_mem_log(spark: SparkSession, path: str) -> DataFrame:
-    return parse_mem_lines(read_lines(spark, path))
+    return parse_mem_lines(read_lines(spark, path), keep=["path"])
 
 
 def parse_proc_lines(
-    lines: DataFrame, path: str = "path", line_no: str = "line_no", line: str = "line"
+    lines: DataFrame, path: str = "path", line_no: str = "line_no", line: str = "line", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Process-status samples; lines taken while no process ran have null sizes."""
 
@@ -112,6 +119,7 @@ def parse_proc_lines(
         .filter(F.col("_epoch").isNotNull())
         .select(
             *_labels(label_from_path(path, "rss-")),
+            *keep,
             F.col(line_no).alias("seq"),
             F.timestamp_seconds("_epoch").alias("ts"),
             mib("VmRSS").alias("rss_mib"),
@@ -122,11 +130,11 @@ def parse_proc_lines(
 
 
 def read_proc_status(spark: SparkSession, path: str) -> DataFrame:
-    return parse_proc_lines(read_lines(spark, path))
+    return parse_proc_lines(read_lines(spark, path), keep=["path"])
 
 
 def parse_bracket_lines(
-    lines: DataFrame, path: str = "path", line_no: str = "line_no", line: str = "line"
+    lines: DataFrame, path: str = "path", line_no: str = "line_no", line: str = "line", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Launch and end stamps; the last line of an appended file counts."""
     stamp = F.trim(F.col(line)).try_cast("double")
@@ -146,11 +154,11 @@ def parse_bracket_lines(
         F.nullif(F.regexp_extract(name, lead, 3), F.lit("")), F.nullif(F.regexp_extract(name, trail, 1), F.lit(""))
     )
     scope = F.when(F.regexp_extract(name, lead, 1) == "sync", "sync").otherwise("run")
-    return last.select(label.alias("label"), scope.alias("scope"), kind.alias("kind"), "ts_epoch")
+    return last.select(*keep, label.alias("label"), scope.alias("scope"), kind.alias("kind"), "ts_epoch")
 
 
 def read_brackets(spark: SparkSession, path: str) -> DataFrame:
-    return parse_bracket_lines(read_lines(spark, path))
+    return parse_bracket_lines(read_lines(spark, path), keep=["path"])
 
 
 def read_file_entries(spark: SparkSession, path: str) -> DataFrame:
