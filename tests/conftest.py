@@ -9,8 +9,9 @@ from tidegauge.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", master="local[4]", shuffle_partitions=4, driver_memory="4g")
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = build_session("tests", master="local[4]", shuffle_partitions=4, driver_memory="4g", shared=shared)
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

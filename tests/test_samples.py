@@ -255,3 +255,25 @@ def test_intervals_of_years_beside_short_ones(spark):
     got = spread.interval_join(p, q, "k", F.col("at"), F.col("lo"), F.col("hi"), 60)
     assert sorted((r.i, r.j) for r in got.collect()) == want
     assert spread.interval_join(p, q.limit(0), "k", F.col("at"), F.col("lo"), F.col("hi"), 60).count() == 0
+
+
+def test_rows_and_summaries_of_ranges_read_one_shuffle(spark):
+    df = series(spark, [("a", "n", s, float(s % 7), 1.0) for s in range(40)])
+    for made in (spread.running_drops(df, "label", "seq", "r_mbs", "drops", 8), spread.carry_forward(df, "label", "seq", ["r_mbs"], 8)):
+        plan = executed_plan(made)
+        assert plan.count("Scan ExistingRDD") == 1 and "ReusedExchange" in plan
+
+
+def test_carry_forward_against_brute_force(spark):
+    rnd = random.Random(2)
+    rows = [(g, i * 3 - 500, rnd.choice([None, None, None, i]), rnd.choice([None, "x", None, str(i)])) for g in "ab" for i in range(400)]
+    rows += [("c", 5, None, None), ("a", 10_000_000, None, None)]
+    df = spark.createDataFrame(rows, "g string, i long, v int, s string")
+    want, last = {}, {}
+    for g, i, v, s in sorted(rows, key=lambda r: r[:2]):
+        a, b = last.get(g, (None, None))
+        last[g] = (a if v is None else v, b if s is None else s)
+        want[(g, i)] = last[g]
+    for span in (1, 7, 4096):
+        got = spread.carry_forward(df, "g", "i", ["v", "s"], span).collect()
+        assert {(r.g, r.i): (r.v, r.s) for r in got} == want and len(got) == len(rows)

@@ -46,17 +46,30 @@ def battery_report(
     test: str = "test",
     op: str = "op",
 ) -> DataFrame:
-    """``catalogue_report`` for many batteries at once, one per ``by`` group."""
+    """``catalogue_report`` for many batteries at once, one per ``by`` group.
+
+    Results are aggregated once. What a battery has of the entries, one value
+    each at most, is laid beside them, so the grid needs neither a second scan
+    nor a join; a battery of which no entry is known still has its rows.
+    """
     by = as_list(by)
+    place = F.lit(None).cast("int")
+    for i, (t, o, _) in enumerate(entries):
+        place = F.when((F.col(test) == t) & (F.col(op) == o), i).otherwise(place)
+    one = results.groupBy(*by, place.alias("_place")).agg(F.max(value).alias("_value"))
+    known = F.collect_list(F.when(F.col("_place").isNotNull(), F.struct("_place", "_value")))
     rows = F.array(
         *[
             F.struct(F.lit(i).alias("ord"), F.lit(t).alias(test), F.lit(o).alias(op), F.lit(d).alias("description"))
             for i, (t, o, d) in enumerate(entries)
         ]
     )
-    grid = results.select(*by).distinct().select(*by, F.inline(rows))
-    one = results.groupBy(*by, test, op).agg(F.max(value).alias(value))
-    return join_on(grid, one, by + [test, op], null_safe=True).orderBy(*by, "ord")
+    grid = one.groupBy(*by).agg(F.map_from_entries(known).alias("_known")).select(*by, "_known", F.inline(rows))
+    place_of = {}  # entries of one test and direction share a value
+    for i, (t, o, _) in enumerate(entries):
+        place_of[(t, o)] = i
+    at = F.get(F.array(*[F.lit(place_of[(t, o)]) for t, o, _ in entries]), F.col("ord"))
+    return grid.select(*by, "ord", test, op, "description", F.try_element_at("_known", at).alias(value)).orderBy(*by, "ord")
 
 
 def pair_clients(

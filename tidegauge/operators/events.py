@@ -60,18 +60,19 @@ def with_default(df: DataFrame, dim: DataFrame, on: str | Sequence[str], default
 
 
 def message_rows(lines: DataFrame, labels: DataFrame, label: str, line: str, messages: Mapping[str, str]) -> DataFrame:
-    """The lines, and a message row for each (label, kind) without one."""
-    wanted = labels.select(label).distinct().withColumn(
-        "kind", F.explode(F.array(*[F.lit(k) for k in messages]))
-    )
-    found = lines.select(label, "kind").distinct().withColumn("_found", F.lit(True))
+    """The lines, and a message row for each (label, kind) without one.
+
+    Labels and the kinds they have meet in one aggregation, a row per task,
+    label and kind at most.
+    """
+    asked = labels.select(label, F.lit(None).cast("string").alias("kind"), F.lit(True).alias("_asked"))
+    had = lines.select(label, F.when(F.col("kind").isin(*messages), F.col("kind")).alias("kind"), F.lit(False).alias("_asked"))
+    each = asked.unionByName(had).groupBy(label).agg(F.max("_asked").alias("_asked"), F.collect_set("kind").alias("_kinds"))
     text = F.create_map(*[F.lit(x) for pair in messages.items() for x in pair])
-    missing = (
-        join_on(wanted, found, [label, "kind"])
-        .filter(F.col("_found").isNull())
-        .select(label, "kind", F.try_element_at(text, F.col("kind")).alias(line))
+    missing = each.where(F.col("_asked") & F.col(label).isNotNull()).select(
+        label, F.explode(F.array_except(F.array(*map(F.lit, messages)), "_kinds")).alias("kind")
     )
-    return lines.unionByName(missing, allowMissingColumns=True)
+    return lines.unionByName(missing.withColumn(line, F.try_element_at(text, F.col("kind"))), allowMissingColumns=True)
 
 
 def first_or_message(

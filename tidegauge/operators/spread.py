@@ -104,6 +104,17 @@ def rank_cut(
     return cut if rank else cut.drop(name)
 
 
+def _per_range(dealt: DataFrame, by: Sequence[str], columns: Sequence[Column]) -> DataFrame:
+    """One row per range, from the shuffle that also carries the rows.
+
+    The hash makes both readers of the shuffle ask for the same columns; else
+    Spark would prune them differently, and scan and shuffle the source twice.
+    """
+    hashed = [f.name for f in dealt.schema if "map" not in f.dataType.simpleString()]
+    all_columns = F.max(F.xxhash64(*hashed)).alias("_all")
+    return dealt.groupBy(*by, "_range").agg(*columns, all_columns).where(F.col("_all").isNotNull()).drop("_all")
+
+
 def running_drops(
     df: DataFrame, by: str | Sequence[str], order: str, value: str, out: str, span: int = 4096
 ) -> DataFrame:
@@ -117,20 +128,13 @@ def running_drops(
     inside = Window.partitionBy(*by, "_range").orderBy(order)
     along = Window.partitionBy(*by).orderBy("_range")
     drop = F.coalesce((F.col(value) < F.lag(value).over(inside)).cast("bigint"), F.lit(0).cast("bigint"))
-    local = (
-        df.withColumn("_range", bin_of(order, span))
-        .withColumn("_drop", drop)
-        .withColumn("_local", F.sum("_drop").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_drop")
-    )
+    dealt = df.withColumn("_range", bin_of(order, span)).repartition(*by, "_range")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumn("_drop", drop).withColumn("_local", F.sum("_drop").over(upto)).drop("_drop")
     border = F.coalesce((F.col("_head") < F.lag("_tail").over(along)).cast("bigint"), F.lit(0).cast("bigint"))
+    ends = [F.min_by(value, order).alias("_head"), F.max_by(value, order).alias("_tail"), F.max("_local").alias("_drops")]
     before = (
-        local.groupBy(*by, "_range")
-        .agg(
-            F.min_by(value, order).alias("_head"),
-            F.max_by(value, order).alias("_tail"),
-            F.max("_local").alias("_drops"),
-        )
+        _per_range(local, by, ends)
         .withColumn("_border", border)
         .withColumn(
             "_before",
@@ -139,7 +143,7 @@ def running_drops(
         )
         .select(*by, "_range", "_before")
     )
-    counted = join_on(local, before, by + ["_range"])
+    counted = join_on(local, before, by + ["_range"], null_safe=True)
     return counted.withColumn(out, F.col("_local") + F.col("_before")).drop("_range", "_local", "_before")
 
 
@@ -158,12 +162,11 @@ def carry_forward(
     dealt = df.withColumn("_range", bin_of(order, span)).repartition(*by, "_range")
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     along = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = dealt.groupBy(*by, "_range").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_end_{c}") for c in carried]
-    )
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_end_{c}") for c in carried]
+    ends = _per_range(dealt, by, last)
     before = ends.select(*by, "_range", *[F.last(f"_end_{c}", ignorenulls=True).over(along).alias(f"_before_{c}") for c in carried])
     local = dealt.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in carried})
-    joined = join_on(local, before, by + ["_range"])
+    joined = join_on(local, before, by + ["_range"], null_safe=True)
     whole = {c: F.coalesce(c, f"_before_{c}") for c in carried}
     return joined.withColumns(whole).drop("_range", *[f"_before_{c}" for c in carried])
 

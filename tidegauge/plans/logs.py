@@ -349,7 +349,7 @@ def training_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     line = F.when(
         F.col("device") == "error",
-        F.format_string("%s | step %d | Done consolidating. Processed 5 unique indices in %.2f secs.", at, "seq", "r_mbs"),
+        F.format_string("%s | step %d | Done consolidating shard 7 in %.2f secs.", at, "seq", "r_mbs"),
     ).otherwise(F.format_string("%s | INFO | root | step %d | tps %.2f | mem %.1f GiB", at, "seq", "r_mbs", "w_mbs"))
     path = F.concat(F.lit("/logs/training-run-"), F.col("label").cast("string"), F.lit(".log"))
     lines = io_samples(spark, sf_dir).select(path.alias("path"), F.col("seq").alias("line_no"), line.alias("line"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.functions.text import EVENT_LIMITS, EVENT_PATTERNS, MEM_PATTERN, MISSING_MESSAGES
 from tidegauge.plans import reports
 from tidegauge.plans.logs import capture_blocks
 from tidegauge.plans.registry import load, registered
@@ -90,17 +91,18 @@ raw AS (
 )"""
 
 
+KIND_ROWS = " UNION ALL ".join(
+    f"SELECT *, '{k}' AS kind, {n} AS n FROM raw WHERE regexp_matches(raw, '{EVENT_PATTERNS[k]}')" for k, n in EVENT_LIMITS.items()
+)
+MESSAGE_ROWS = ", ".join(f"('{k}', '{text}')" for k, text in MISSING_MESSAGES.items())
+
+
 @registered(
     "checkpoint_report",
     rf"""WITH {RUN_LINES},
-t AS (
-  SELECT *, 'consolidation' AS kind, 10 AS n FROM raw WHERE regexp_matches(raw, 'Done consolidating|saved.*checkpoint|Checkpoint.*saved')
-  UNION ALL SELECT *, 'step', 30 FROM raw
-    WHERE regexp_matches(raw, 'step (98|99|100|198|199|200|248|249|250|255|260)\b')
-  UNION ALL SELECT *, 'bracket', 4 FROM raw WHERE regexp_matches(raw, '=== (START|END)')),
+t AS ({KIND_ROWS}),
 r AS (SELECT *, row_number() OVER (PARTITION BY label, kind ORDER BY line_no) AS rn FROM t),
-m AS (SELECT * FROM (VALUES ('consolidation', '(no consolidation lines matched)'),
-  ('step', '(no step-boundary lines matched)'), ('bracket', '(no START/END markers)')) AS m(kind, message)),
+m AS (SELECT * FROM (VALUES {MESSAGE_ROWS}) AS m(kind, message)),
 l AS (SELECT DISTINCT label FROM raw)
 SELECT label, line_no, raw, kind FROM r WHERE rn <= n
 UNION ALL SELECT l.label, NULL, m.message, m.kind FROM l CROSS JOIN m
@@ -113,8 +115,8 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     "plateau_report",
     rf"""WITH {RUN_LINES},
-e AS (SELECT label, line_no, regexp_extract(raw, 'mem [0-9.]+ GiB') AS mem FROM raw
-  WHERE regexp_matches(raw, 'mem [0-9.]+ GiB')),
+e AS (SELECT label, line_no, regexp_extract(raw, '{MEM_PATTERN}') AS mem FROM raw
+  WHERE regexp_matches(raw, '{MEM_PATTERN}')),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY line_no DESC) AS rn FROM e),
 d AS (SELECT DISTINCT label, mem FROM r WHERE rn <= 5)
 SELECT label, string_agg(mem, ',' ORDER BY mem) AS plateau FROM d GROUP BY label""",
@@ -190,7 +192,7 @@ def concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     "cross_table",
     f"""WITH {RATES}, k AS (SELECT pillar, op, max(mb_per_s) AS single, count(nullif(mb_per_s, 0)) AS n,
   sum(nullif(mb_per_s, 0)) AS total FROM rates
-  WHERE (test = 'seq-write-1m' AND op = 'WRITE') OR (test = 'seq-read-1m' AND op = 'READ') GROUP BY pillar, op),
+  WHERE (test = '{BATTERY[0][0]}' AND op = '{BATTERY[0][1]}') OR (test = '{BATTERY[1][0]}' AND op = '{BATTERY[1][1]}') GROUP BY pillar, op),
 c AS (SELECT pillar, op, CASE WHEN pillar = '3' THEN CASE WHEN n = 2 THEN total END ELSE single END AS v FROM k)
 SELECT pillar, max(v) FILTER (WHERE op = 'WRITE') AS write, max(v) FILTER (WHERE op = 'READ') AS read
 FROM c GROUP BY pillar""",

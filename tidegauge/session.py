@@ -13,12 +13,14 @@ def build_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
     driver_memory: str | None = None,
+    shared: str | None = None,
 ) -> SparkSession:
     """A session with the settings the operators are planned for.
 
     Stamps in device captures carry no zone, so the session zone is fixed to
     UTC. AQE coalesces small shuffle partitions and splits skewed ones, so on a
     cluster ``shuffle_partitions`` is best left high (a few per core).
+    ``shared`` is a folder that all executors reach, for stored tables and streams.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -39,6 +41,8 @@ def build_session(
             builder = builder.config("spark.ui.enabled", "false")
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if driver_memory is not None:
         builder = builder.config("spark.driver.memory", driver_memory)
     return builder.getOrCreate()
