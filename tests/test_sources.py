@@ -298,6 +298,18 @@ def test_file_entries(spark, write):
     assert df.columns == ["path", "length", "modified"]
 
 
+def test_files_are_listed_by_tasks(spark, write):
+    root = write({"c k/step_24/model/a b": "12345", "c k/step_24/optim/b": "123", "c k/d": "1", "c k/_SUCCESS": "", "c k/.x.crc": "1", "c k/é/f+g": ""})
+    want = {(r.path.rsplit("c k/")[1], r.length) for r in logs.read_file_entries(spark, f"{root}/c k").collect()}
+    for path in (f"{root}/c k", f"file://{root}/c k/"):
+        df = logs.scan_file_entries(spark, path)
+        got = df.collect()
+        assert {(r.path.rsplit("c k/")[1], r.length) for r in got} == {*want, ("é/f+g", 0)} and len(got) == 4
+        assert df.columns == ["path", "length", "modified"] and all(r.modified.year > 2000 for r in got)
+    with pytest.raises(Exception, match="(?i)no such|not exist|non-existent|cannot get"):
+        logs.scan_file_entries(spark, f"{root}/none").collect()
+
+
 def test_dimensions(spark):
     assert {r.spec_metric: r.spec for r in dims.spec_df(spark, {"seqread_mbs": 7000.0}).collect()} == {
         "seqwrite_mbs": 13400.0,

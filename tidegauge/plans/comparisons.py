@@ -22,7 +22,7 @@ from tidegauge.plans.registry import load, registered
 from tidegauge.plans.samples import IO, NUMBERED, SUMMARY, io_samples, io_summary
 from tidegauge.session import shared_dir
 from tidegauge.sources.dims import EXPECTED, expected_df, fixed
-from tidegauge.sources.logs import read_file_entries
+from tidegauge.sources.logs import scan_file_entries
 
 
 # ---- units and text -------------------------------------------------------
@@ -672,6 +672,6 @@ def file_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.length("html") > 1000, "long").otherwise("short")
     pages = load(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("site"), kind.alias("kind"), "html")
     pages.write.partitionBy("site", "kind").text(out)
-    entries = read_file_entries(spark, out)
+    entries = scan_file_entries(spark, out)
     inside = F.substring_index("path", f"{out.rsplit('/', 1)[1]}/", -1)
     return costs.footprint(entries.withColumn("path", inside), 2).select("dir", "bytes")

@@ -3,8 +3,12 @@ checkpoint files."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ from tidegauge.functions.text import (
 )
 from tidegauge.functions.units import scale
 from tidegauge.operators.spread import running_drops
+from tidegauge.session import shared_dir
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -162,10 +167,57 @@ def read_brackets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_file_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size and change time of files below a folder; no file is opened."""
+    """Path, size and change time of files below a folder, as the driver lists them; no file is opened.
+
+    For trees of very many files see ``scan_file_entries``.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
         .select("path", "length", F.col("modificationTime").alias("modified"))
     )
+
+
+ENTRY = "path string, length long, modified timestamp, is_folder boolean"
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies directly in each folder."""
+    for b in batches:
+        for folder in b.column(0).to_pylist():
+            store, inner = fs.FileSystem.from_uri(quote(folder, safe="/:@"))
+            scheme = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
+            entries = [e for e in store.get_file_info(fs.FileSelector(inner)) if not e.base_name.startswith(("_", "."))]
+            columns = [
+                pa.array([scheme + e.path for e in entries], pa.string()),
+                pa.array([e.size for e in entries], pa.int64()),
+                pa.array([e.mtime for e in entries], pa.timestamp("us", "UTC")),
+                pa.array([e.type == fs.FileType.Directory for e in entries], pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ENTRY.split(", ")])
+
+
+def scan_file_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Path, size and change time of files below a folder, listed by tasks.
+
+    The tree is walked level by level: each folder of a level is listed in some
+    task, and what was found is stored before the next level, so the driver
+    holds no list and a lost executor costs one level at most. A folder is
+    listed whole by one task. Names that begin with ``_`` or ``.`` are left out.
+    The store has to be one that Arrow opens by its URI on the executors.
+    """
+    root = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    root = re.sub(r"^file:/*", "file:///", root).rstrip("/")
+    folders = spark.createDataFrame([(root,)], "path string")
+    found = None
+    while True:
+        out = shared_dir(spark, "listing")
+        tasks = spark.sparkContext.defaultParallelism
+        folders.repartition(tasks, "path").mapInArrow(_list_folders, ENTRY).write.parquet(out)
+        level = spark.read.schema(ENTRY).parquet(out)
+        files = level.where(~F.col("is_folder")).drop("is_folder")
+        found = files if found is None else found.unionByName(files)
+        folders = level.where("is_folder").select("path")
+        if folders.isEmpty():
+            return found
