@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -48,6 +50,18 @@ def build_session(
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster where it is not installed.
+
+    Tasks that call into it (corpus operators, file listing) import it there.
+    """
+    here = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as folder:
+        archive = shutil.make_archive(f"{folder}/tidegauge", "zip", os.path.dirname(here), os.path.basename(here))
+        # the driver keeps the file for executors that come later
+        spark.sparkContext.addPyFile(archive)
+
+
 #: Own folders of local sessions that name none, by application.
 _OWN: dict[str, str] = {}
 
