@@ -178,3 +178,13 @@ def test_checkpoint_report_reads_its_lines_once(spark, write):
     report_df = reports.checkpoint_report(logs.read_training_log(spark, f"{root}/training-*.log"))
     plan = executed_plan(report_df)
     assert plan.count("FileScan") - plan.count("ReusedExchange") <= 1, plan
+
+
+def test_captures_are_parsed_once(spark, write):
+    row = "nvme0n1 1 {} 0 0 0 0 0 {} 0 0 0 0 1"
+    text = "\n\n".join(f"05/03/2026 11:00:{s:02}\n" + row.format(v, v / 2) for s, v in [(0, 900), (1, 60), (2, 80), (3, 80)])
+    root = write({"iostat-a-h1.log": text, "iostat-b-h1.log": text[: text.index("\n\n")]})
+    report = reports.device_report(iostat.read_iostat(spark, f"{root}/iostat-*.log"))
+    plan = executed_plan(report)
+    assert plan.count("FileScan text") == 1 and "ReusedExchange" in plan
+    assert [(r.label, r.peak_r, r.peak_rw, r.active_n) for r in report.collect()] == [("a-h1", 80.0, 120.0, 3), ("b-h1", 0.0, 0.0, 0)]

@@ -44,18 +44,20 @@ def _floor0(col: Column) -> Column:
 
 
 def _without_first(
-    df: DataFrame, by: list[str], order: str | Sequence[str], skip_first: bool
+    df: DataFrame, by: list[str], order: str | Sequence[str], rates: Sequence[str], skip_first: bool, once: bool = False
 ) -> tuple[DataFrame, Column, Column]:
     """Rows, whether a row is not its log's first, and how often that first row is there.
 
     Where the first row is there several times, all but one of them count.
-    They are the same, so they are taken up by number once the log has been
-    aggregated, and no row has to be told from its equals.
+    They are the same in all that is asked of them, so they are taken up by
+    number once the log has been aggregated, and no row has to be told from its
+    equals. Other columns are left out first.
     """
     if not skip_first:
         return df, F.lit(True), F.lit(0)
     first = F.col("_boot")
-    return match_first(df, by, order, "_boot"), ~first, F.count_if(first)
+    few = df.select(*dict.fromkeys([*by, *as_list(order), *rates]))
+    return match_first(few, by, order, "_boot", once), ~first, F.count_if(first)
 
 
 def _peak(kept: Column, value: Column, again: Column) -> Column:
@@ -73,14 +75,16 @@ def io_summary(
     threshold: float = 50,
     skip_first: bool = True,
     decimals: int | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Peak, volume and active average per log, in one aggregation.
 
     A log with nothing but its since-boot sample reports zeros. Volume is the
-    sum of rate x fixed period / 1024, whatever the true spacing.
+    sum of rate x fixed period / 1024, whatever the true spacing. With ``once``
+    samples that are parsed from text are parsed once, at the price of a shuffle.
     """
     by = as_list(by)
-    rows, kept, firsts = _without_first(df, by, order, skip_first)
+    rows, kept, firsts = _without_first(df, by, order, [r, w], skip_first, once)
     active = F.coalesce(is_active(r, w, threshold), F.lit(False))
     total = F.col(r) + F.col(w)
 
@@ -130,7 +134,7 @@ def io_peaks(
 ) -> DataFrame:
     """Peak read, peak write and peak of the per-sample sum."""
     by = as_list(by)
-    rows, kept, firsts = _without_first(df, by, order, skip_first)
+    rows, kept, firsts = _without_first(df, by, order, [r, w], skip_first)
     return rows.groupBy(*by).agg(
         _peak(kept, F.col(r), firsts).alias("peak_r"),
         _peak(kept, F.col(w), firsts).alias("peak_w"),

@@ -48,20 +48,29 @@ def join_on(
     return joined.drop(*[f"_on_{c}" for c in on])
 
 
-def match_first(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], out: str) -> DataFrame:
+def match_first(
+    df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], out: str, once: bool = False
+) -> DataFrame:
     """Mark the rows of each group that equal its first row, the one with the smallest ``order``.
 
     A null order comes last. Equal orders are told apart by a hash of the row's
     other columns, so all marked rows of a group are the same. The group
     minimum is a pre-aggregated pass over few columns. It is joined on group,
     order and hash, which spreads a hot group evenly where the minima are too
-    many to be broadcast.
+    many to be broadcast. With ``once`` rows are dealt out by a shuffle that both
+    the minimum and the join read: for rows that cost more to make, as by
+    parsing text, than to shuffle.
     """
     by, order = as_list(by), as_list(order)
     hashed = [f.name for f in df.schema if "map" not in f.dataType.simpleString()]
     keyed = df.withColumn("_tie", F.xxhash64(*hashed))
     parts = [c for o in order for c in (F.col(o).isNull().alias(f"_null_{o}"), F.col(o))]
-    smallest = keyed.groupBy(*by).agg(F.min(F.struct(*parts, "_tie")).alias("_first"))
+    first = F.min(F.struct(*parts, "_tie")).alias("_first")
+    if once:
+        keyed = keyed.repartition(*by, "_tie")
+        smallest = _same_columns(keyed, by, [first])
+    else:
+        smallest = keyed.groupBy(*by).agg(first)
     at = [*order, "_tie"]
     firsts = smallest.select(*by, *[F.col(f"_first.{c}").alias(c) for c in at], F.lit(True).alias("_hit"))
     joined = join_on(keyed, firsts, by + at, null_safe=True)
@@ -104,15 +113,15 @@ def rank_cut(
     return cut if rank else cut.drop(name)
 
 
-def _per_range(dealt: DataFrame, by: Sequence[str], columns: Sequence[Column]) -> DataFrame:
-    """One row per range, from the shuffle that also carries the rows.
+def _same_columns(dealt: DataFrame, keys: Sequence[str], columns: Sequence[Column]) -> DataFrame:
+    """One row per key, from the shuffle that also carries the rows.
 
     The hash makes both readers of the shuffle ask for the same columns; else
     Spark would prune them differently, and scan and shuffle the source twice.
     """
     hashed = [f.name for f in dealt.schema if "map" not in f.dataType.simpleString()]
     all_columns = F.max(F.xxhash64(*hashed)).alias("_all")
-    return dealt.groupBy(*by, "_range").agg(*columns, all_columns).where(F.col("_all").isNotNull()).drop("_all")
+    return dealt.groupBy(*keys).agg(*columns, all_columns).where(F.col("_all").isNotNull()).drop("_all")
 
 
 def running_drops(
@@ -134,7 +143,7 @@ def running_drops(
     border = F.coalesce((F.col("_head") < F.lag("_tail").over(along)).cast("bigint"), F.lit(0).cast("bigint"))
     ends = [F.min_by(value, order).alias("_head"), F.max_by(value, order).alias("_tail"), F.max("_local").alias("_drops")]
     before = (
-        _per_range(local, by, ends)
+        _same_columns(local, [*by, "_range"], ends)
         .withColumn("_border", border)
         .withColumn(
             "_before",
@@ -163,7 +172,7 @@ def carry_forward(
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     along = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_end_{c}") for c in carried]
-    ends = _per_range(dealt, by, last)
+    ends = _same_columns(dealt, [*by, "_range"], last)
     before = ends.select(*by, "_range", *[F.last(f"_end_{c}", ignorenulls=True).over(along).alias(f"_before_{c}") for c in carried])
     local = dealt.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in carried})
     joined = join_on(local, before, by + ["_range"], null_safe=True)

@@ -80,7 +80,7 @@ def sweep_text(report: DataFrame) -> DataFrame:
 
 def device_report(samples: DataFrame, threshold: float = 50, period: float = 2) -> DataFrame:
     """One summary row per log file; files of different folders may share a label."""
-    each = io_summary(samples, ["path", "label"], "seq", threshold=threshold, period=period, decimals=2)
+    each = io_summary(samples, ["path", "label"], "seq", threshold=threshold, period=period, decimals=2, once=True)
     return each.orderBy("label", "path")
 
 

@@ -42,6 +42,16 @@ class Fold:
     corrected: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None
 
 
+def _read(spark: SparkSession, schema: str | T.StructType, path: str) -> DataFrame | None:
+    """A table, or none where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 class Incremental:
     """A fold over a stream, kept below one folder of the shared storage.
 
@@ -72,11 +82,8 @@ class Incremental:
 
     def _marks(self, spark: SparkSession, before: int | None = None) -> tuple[int, int | None]:
         """The last batch that counts, and the greatest time up to it."""
-        try:
-            marks = spark.read.schema("mark long, batch long").parquet(f"{self.root}/mark")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        marks = _read(spark, "mark long, batch long", f"{self.root}/mark")
+        if marks is None:
             return -1, None
         rows = marks if before is None else marks.where(F.col("batch") < before)
         last = rows.agg(F.max(F.struct("batch", "mark")).alias("last")).first()["last"]
@@ -101,8 +108,9 @@ class Incremental:
         try:
             at = epoch_us(self.ts)
             late = at.isNull() if mark is None else at.isNull() | (at < self._limit(mark))
-            arrived.where(late).write.mode("overwrite").parquet(f"{self.root}/late/batch={batch}")
-            newest = arrived.agg(F.max(at)).first()[0]
+            newest, n_late = arrived.agg(F.max(at), F.count_if(late)).first()
+            if n_late:
+                arrived.where(late).write.mode("overwrite").parquet(f"{self.root}/late/batch={batch}")
             mark = newest if mark is None else mark if newest is None else max(mark, newest)
             rows = self.fold.partial(arrived.where(~late))
             if last >= 0:
@@ -133,7 +141,8 @@ class Incremental:
         kinds = T.StructType([*self.schema, T.StructField("batch", T.LongType())])
         if last < 0:
             return spark.createDataFrame([], kinds)
-        return spark.read.schema(kinds).parquet(f"{self.root}/late").where(F.col("batch") <= last)
+        late = _read(spark, kinds, f"{self.root}/late")
+        return spark.createDataFrame([], kinds) if late is None else late.where(F.col("batch") <= last)
 
 
 def incremental(
