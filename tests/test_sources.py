@@ -1,13 +1,16 @@
 import json
+import zipfile
 from datetime import datetime
 
 import pytest
+from pyspark import SparkFiles
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidegauge.functions.units import bw_mbs, latency_us
 from tidegauge.operators import curves, report
 from tidegauge.operators.samples import peak_memory
+from tidegauge.session import ship_package
 from tidegauge.sources import dims, fio, iostat, logs
 
 
@@ -365,3 +368,13 @@ def test_a_repeated_run_adds_nothing_and_half_a_run_is_not_shown(spark, tmp_path
     rows.write.partitionBy("phase").parquet(f"{path}/rows/run=broken")
     got = report.read_runs(spark, path, rows.schema)
     assert sorted(tuple(r) for r in got.collect()) == [("a", 1, "007"), ("a", 1, "2026-05 / first"), ("a", 1, "2026-05 / first"), ("b", 2, "2026-05 / first")]
+
+
+def test_the_package_is_shipped_whole(spark):
+    """Tasks find every module in the archive that the session serves."""
+    ship_package(spark)
+    archive = SparkFiles.get("tidegauge.zip")
+    with zipfile.ZipFile(archive) as z:
+        names = set(z.namelist())
+    assert {"tidegauge/__init__.py", "tidegauge/sources/logs.py", "tidegauge/operators/spread.py"} <= names
+    assert spark.range(3).mapInArrow(lambda batches: batches, "id long").count() == 3

@@ -56,10 +56,10 @@ def ship_package(spark: SparkSession) -> None:
     Tasks that call into it (corpus operators, file listing) import it there.
     """
     here = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        archive = shutil.make_archive(f"{folder}/tidegauge", "zip", os.path.dirname(here), os.path.basename(here))
-        # the driver keeps the file for executors that come later
-        spark.sparkContext.addPyFile(archive)
+    # the driver serves the archive as long as the session lives, also to executors that come later
+    folder = tempfile.mkdtemp(prefix="tidegauge-package-")
+    archive = shutil.make_archive(f"{folder}/tidegauge", "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(archive)
 
 
 #: Own folders of local sessions that name none, by application.
