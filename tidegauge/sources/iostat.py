@@ -18,6 +18,9 @@ HEADER_LINE = r"(?m)^(Device.*)$"
 READ_FIELD = 3
 WRITE_FIELD = 9
 
+#: Lines of a capture that decide how it is read.
+FIRST_LINES = 500
+
 STAMP_FORMATS = ("MM/dd/yyyy hh:mm:ss a", "MM/dd/yyyy HH:mm:ss", "MM/dd/yy hh:mm:ss a", "MM/dd/yy HH:mm:ss")
 
 
@@ -171,7 +174,7 @@ def read_iostat(
     path: str,
     device: str | None = "nvme0n1",
     match: str = "exact",
-    layout: str = "reports",
+    layout: str | None = None,
     **parse,
 ) -> DataFrame:
     """Samples of one log or of all logs a glob names, in the order of the file whatever their stamps.
@@ -180,7 +183,14 @@ def read_iostat(
     where they are read, without a shuffle; a log without such lines, as one
     with CRLF ends, is one record. ``layout="lines"`` reads any log line by
     line, in as many tasks as it has splits, and carries stamps and headers on.
+    Without ``layout`` the first lines decide: reports where one of them is
+    empty. Either layout gives the samples of any log; they differ in tasks, in
+    the type of ``seq``, and in reports without a header of their own, which
+    only ``lines`` gives the last header before them.
     """
+    if layout is None:
+        start = spark.read.option("lineSep", "\n").text(path).limit(FIRST_LINES).collect()
+        layout = "lines" if start and all(r["value"] != "" for r in start) else "reports"
     if layout == "lines":
         return parse_iostat_lines(read_lines(spark, path), device=device, match=match, **parse)
     if layout != "reports":
