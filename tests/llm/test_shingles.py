@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from tests.llm.test_exact import frame, plain_print
@@ -62,3 +63,35 @@ def test_links_are_only_of_similar_texts(spark):
     assert got and all(5 * len(a & b) >= 4 * len(a | b) for a, b in got)
     assert shingles.similar_links(frame(spark, []), lambda t: 0).collect() == []
     assert common.components(links).count() > 10
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    g = np.random.default_rng(3)
+    ruled_out = 0
+    for _ in range(400):
+        n = int(g.integers(1, 2_000))
+        base = np.unique(g.integers(0, 1 << 63, n).astype(np.uint64))
+        kept = base[g.random(len(base)) < g.choice([0.2, 0.85, 0.95])]
+        other = np.unique(np.r_[kept, g.integers(0, 1 << 63, int(g.integers(0, 1 + n // 8))).astype(np.uint64)])
+        may = shingles.may_be_similar(len(base), len(other), shingles.sketch(base), shingles.sketch(other))
+        assert may or not shingles.similar(base, other)
+        ruled_out += not may
+    assert ruled_out > 50
+
+
+def test_a_hot_shingle(spark):
+    """Some thousand texts that share one short passage, with a similar pair among them, found and nothing else."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    rows = [(i, "one passage that all texts hold " + " ".join(word() for _ in range(12))) for i in range(3000)]
+    rows.append((3000, rows[17][1] + " " + word()))
+    kept = {x.doc_id for x in simhash.keep_one(frame(spark, rows)).collect()}
+    prints = [plain_print(t) for _, t in rows]
+    near = {j for i, j in combinations(range(len(rows)), 2) if (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS}
+    assert kept == set(range(3000)) - near
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(2, a), (2, b), (2, b), (3, a)]
+    assert sorted((x.doc_id, x.text) for x in simhash.keep_one(frame(spark, rows)).collect()) == [(2, a), (2, b)]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidegauge.llm.common import WordHashes, components, small_batches, stored
+from tidegauge.llm.common import WordHashes, components, membership, possible, ragged, small_batches, stored
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -21,6 +21,10 @@ SEED = 42
 SAMPLE_DOCS, COMMON = 16_384, 1 << 18
 #: Members of a bucket up to which all its pairs are compared at once; larger ones are compared with one member first.
 ALL_PAIRS = 16
+#: Word hashes and digests that a task remembers; a full memory is emptied.
+WORDS, TEXTS = 100_000, 200_000
+#: Fewest and most bits of a sketch; between them a text gets about one bit for each shingle.
+SKETCH_BITS = (256, 1 << 16)
 #: Odd factors that mix the words of a shingle by place.
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -62,8 +66,30 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return sum(SIMILAR) * both >= SIMILAR[0] * (len(a) + len(b))
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """Parity of the number of shingles that fall on each bit; the number of bits is a power of two that follows the set."""
+    size = min(SKETCH_BITS[1], max(SKETCH_BITS[0], 1 << max(0, len(x) - 1).bit_length()))
+    counts = np.bincount((x & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """Whether sets of n and m shingles with sketches x and y can have a similarity of at least SIMILAR.
+
+    Sketches differ in at most as many bits as the sets do in shingles. The
+    longer one is folded to the length of the other, which keeps parities.
+    """
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    differ = int(np.bitwise_count(a ^ b).sum())
+    return (SIMILAR[1] - SIMILAR[0]) * (n + m) >= sum(SIMILAR) * differ
+
+
 def _sampled(batches: Batches) -> Batches:
-    hashes = WordHashes(SEED)
+    hashes = WordHashes(SEED, WORDS)
     for b in batches:
         for text in b.column(0).to_pylist():
             yield pa.RecordBatch.from_arrays([pa.array(shingles(split(text), hashes).view(np.int64))], names=["h"])
@@ -81,10 +107,10 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(common: np.ndarray, counts: np.ndarray) -> Callable[[Batches], Batches]:
-    """(h, n, c) for each shingle of a text's prefix, rare ones first: n is the size of its set, c its digest."""
+    """(h, n, i, c) for each shingle of a text's prefix, rare ones first: n is the size of its set, i the place, c the digest."""
 
     def run(batches: Batches) -> Batches:
-        hashes, seen = WordHashes(SEED), set()
+        hashes, seen = WordHashes(SEED, WORDS), set()
         for b in batches:
             out: list[np.ndarray] = []
             sizes: list[tuple[int, int, int]] = []
@@ -93,7 +119,7 @@ def _prefixes(common: np.ndarray, counts: np.ndarray) -> Callable[[Batches], Bat
                 c = digest(words)
                 if not words or c in seen:  # equal texts have equal fingerprints
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > TEXTS:
                     seen.clear()
                 seen.add(c)
                 x = shingles(words, hashes)
@@ -107,8 +133,13 @@ def _prefixes(common: np.ndarray, counts: np.ndarray) -> Callable[[Batches], Bat
             if out:
                 times, n, c = np.array(sizes, np.int64).T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(n, times)), pa.array(np.repeat(c, times))],
-                    names=["h", "n", "c"],
+                    [
+                        pa.array(np.concatenate(out).view(np.int64)),
+                        pa.array(np.repeat(n, times).astype(np.int32)),
+                        pa.array(ragged(np.zeros(len(times), np.int64), times).astype(np.int32)),
+                        pa.array(np.repeat(c, times)),
+                    ],
+                    names=["h", "n", "i", "c"],
                 )
 
     return run
@@ -140,9 +171,9 @@ def _first_pairs(all_pairs: int) -> Callable[[Batches], Batches]:
 
     def run(batches: Batches) -> Batches:
         for r in _runs(batches):
-            h, n, c = r["h"], r["n"], r["c"]
+            h, n, c = r["h"], r["n"].astype(np.int64), r["c"]
             new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-            h, n, c = h[new], n[new], c[new]
+            h, n, c, left_over = h[new], n[new], c[new], (r["n"] - r["i"])[new]
             starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             sizes = np.diff(np.r_[starts, len(h)])
             left, right, large = [], [], []
@@ -159,6 +190,8 @@ def _first_pairs(all_pairs: int) -> Callable[[Batches], Batches]:
                     i, j = np.concatenate(i), np.concatenate(j)
                     large.append(np.arange(s, s + m))
                 fit = similar_sizes(n[s + i], n[s + j])
+                if m <= all_pairs:  # where two texts share their first shingle, no more than the shorter rest can be shared
+                    fit &= sum(SIMILAR) * np.minimum(left_over[s + i], left_over[s + j]) >= SIMILAR[0] * (n[s + i] + n[s + j])
                 left.append(s + i[fit])
                 right.append(s + j[fit])
             if left:
@@ -193,25 +226,51 @@ def _further_pairs(batches: Batches) -> Batches:
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _sets(name: Callable[[str], int]) -> Callable[[Batches], Batches]:
+def _wanted(bits: np.ndarray, batches: Batches) -> Iterator[list[tuple[int, str, list[bytes]]]]:
+    """Digest, text and words of the texts whose digest the map ``bits`` may hold, each once as long as it is remembered."""
+    seen: set[int] = set()
+    for b in batches:
+        out = []
+        for text in b.column(0).to_pylist():
+            words = split(text)
+            c = digest(words)
+            if words and c not in seen and possible(bits, np.array([c], np.int64).view(np.uint64))[0]:
+                if len(seen) > TEXTS:
+                    seen.clear()
+                seen.add(c)
+                out.append((c, text, words))
+        yield out
+
+
+def _sketches(bits: np.ndarray) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
-        hashes = WordHashes(SEED)
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            words = [split(t) for t in texts]
+        hashes = WordHashes(SEED, WORDS)
+        for texts in _wanted(bits, batches):
+            rows = [(c, len(x), sketch(x)) for c, _, words in texts for x in [shingles(words, hashes)]]
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["c", "n", "bits"])
+
+    return run
+
+
+def _sets(bits: np.ndarray, name: Callable[[str], int]) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        hashes = WordHashes(SEED, WORDS)
+        for texts in _wanted(bits, batches):
             columns = [
-                pa.array([digest(w) for w in words], pa.int64()),
-                pa.array([name(t) for t in texts], pa.int64()),
-                pa.array([shingles(w, hashes).tobytes() for w in words], pa.binary()),
+                pa.array([c for c, _, _ in texts], pa.int64()),
+                pa.array([name(t) for _, t, _ in texts], pa.int64()),
+                pa.array([shingles(w, hashes).tobytes() for _, _, w in texts], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["c", "name", "s"])
 
     return run
 
 
-def _digests(batches: Batches) -> Batches:
+def _possible_pairs(batches: Batches) -> Batches:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(split(t)) for t in b.column(1).to_pylist()], pa.int64())], names=["t", "c"])
+        yes = [may_be_similar(*r) for r in zip(*(b.column(k).to_pylist() for k in range(2, 6)))]
+        yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
 
 def _compared(batches: Batches) -> Batches:
@@ -220,8 +279,25 @@ def _compared(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays(b.columns[:4], names=["a", "b", "name_a", "name_b"]).filter(pa.array(yes, pa.bool_()))
 
 
-def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar, stored."""
+def _either(pairs: DataFrame) -> np.ndarray:
+    """Map of the digests in pairs (a, b)."""
+    return membership(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "c")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, name: Callable[[str], int]) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar, stored.
+
+    Sketches meet first, some bytes for each text; only texts of pairs that
+    their sketches allow are asked for their sets.
+    """
+    short = texts.mapInArrow(_sketches(_either(pairs)), "c long, n long, bits binary").dropDuplicates(["c"])
+    short = stored(short, "sketches")
+    left = short.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"))
+    right = short.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y")
+    pairs = stored(met.mapInArrow(_possible_pairs, "a long, b long"), "possible-pairs")
+    sets = texts.mapInArrow(_sets(_either(pairs), name), "c long, name long, s binary").dropDuplicates(["c"])
+    sets = stored(sets, "shingle-sets")
     left = sets.select(F.col("c").alias("a"), F.col("name").alias("name_a"), F.col("s").alias("x"))
     right = sets.select(F.col("c").alias("b"), F.col("name").alias("name_b"), F.col("s").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "name_a", "name_b", "x", "y")
@@ -232,7 +308,8 @@ def similar_links(docs: DataFrame, name: Callable[[str], int]) -> DataFrame:
     """Edges (a, b) that connect all texts linked by a shingle similarity of at least SIMILAR, each called by ``name``.
 
     In any common order of shingles, two similar texts share one of the first
-    ``prefix_size`` of each: texts meet by these, and every pair that meets is
+    ``prefix_size`` of each: texts meet by these, and every pair that meets and
+    whose sizes, places in the prefix and sketches allow the similarity is
     compared by its whole sets. Only pairs that are connected already are left
     out: large buckets are first compared with one member each and by
     neighbours, then all pairs of different components. Shingles common in a
@@ -241,24 +318,18 @@ def similar_links(docs: DataFrame, name: Callable[[str], int]) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    entries = texts.mapInArrow(_prefixes(*common_shingles(texts)), "h long, n long, c long")
+    entries = texts.mapInArrow(_prefixes(*common_shingles(texts)), "h long, n int, i int, c long")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows are small here
-    met = stored(entries.repartition("h").sortWithinPartitions("h", "n", "c").mapInArrow(_first_pairs(ALL_PAIRS), "h long, n long, a long, b long"), "shingle-buckets")
+    met = stored(entries.repartition("h").sortWithinPartitions("h", "n", "c", "i").mapInArrow(_first_pairs(ALL_PAIRS), "h long, n long, a long, b long"), "shingle-buckets")
     small_batches(spark)
     pairs = stored(met.where("b is not null").select("a", "b").distinct(), "pairs")
     large = met.where("b is null").select("h", "n", F.col("a").alias("c"))
-    nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(large.select("c")).distinct()
-    # one text of each digest that is compared
-    ids = texts.where("text is not null").select(F.xxhash64("text").alias("t"), "text").mapInArrow(_digests, "t long, c long")
-    chosen = stored(ids.join(nodes, "c", "left_semi").groupBy("c").agg(F.min("t").alias("t")), "compared")
-    of_texts = texts.join(chosen.select(F.col("t").alias("k")), F.xxhash64("text") == F.col("k"), "left_semi")
-    sets = stored(of_texts.mapInArrow(_sets(name), "c long, name long, s binary").dropDuplicates(["c"]), "shingle-sets")
-    links = _verified(sets, pairs)
+    links = _verified(texts, pairs, name)
     named = links.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
     if large.isEmpty():
         return named
     roots = components(links)
     rooted = large.join(roots.withColumnRenamed("node", "c"), "c", "left").select("h", "n", "c", F.coalesce("root", "c").alias("root"))
     further = rooted.repartition("h").sortWithinPartitions("h", "n", "c").mapInArrow(_further_pairs, "a long, b long").distinct()
-    more = _verified(sets, stored(further.join(pairs, ["a", "b"], "left_anti"), "further-pairs"))
+    more = _verified(texts, stored(further.join(pairs, ["a", "b"], "left_anti"), "further-pairs"), name)
     return named.union(more.select("name_a", "name_b"))

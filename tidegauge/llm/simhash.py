@@ -186,9 +186,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Near-duplicates are texts whose fingerprints are linked, and all texts whose
     sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-    Of rows that repeat an id one stays. A null id names no document: such rows
-    stay as they are.
+    Null and empty texts have no words and are one group. Of rows that repeat an
+    id and a text one stays; rows of one id with different texts all stay when
+    one of them does. A null id names no document: such rows stay as they are.
+    An empty table gives none.
     """
     keep = near_duplicates(docs, similar_links(docs, signed_fingerprint)).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
