@@ -413,12 +413,62 @@ def test_terms_that_reveal_a_value(spark):
     assert pii.personal_data(frame(spark, [])).collect() == []
 
 
-def test_disclosure_is_the_share_of_information(spark):
-    df = frame(spark, personal_rows())
-    found = pii.findings(df)
-    scores = {r.term: r.disclosure for r in pii.disclosures(df, found).collect()}
-    n, n_e = len(personal_rows()), 9
-    assert scores["zanzibar"] == pytest.approx(math.log(n * 8 / (n_e * 8)) / math.log(n / n_e))
+def plain_disclosures(rows):
+    """All pairs of a value or class and a term, by sets of texts."""
+    texts = {t for _, t in rows}
+    holders, with_term, both = {}, {}, {}
+    for t in texts:
+        spans = pii.base_spans(t or "")
+        words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"\w{3,}", t or "")]
+        for w in words:
+            with_term.setdefault(w[0], set()).add(t)
+        for k, a, b in spans:
+            before = [w for w in words if w[2] <= a][-pii.REACH :]
+            after = [w for w in words if w[1] >= b][: pii.REACH]
+            for e in pii.entities(k, t[a:b]):
+                holders.setdefault(e, set()).add(t)
+                for w, x, y in before + after:
+                    if not any(x < d and c < y for _, c, d in spans):
+                        both.setdefault((e, w), set()).add(t)
+    out, others = {}, len(texts) - 1
+    for (e, w), found in both.items():
+        k, m, h = len(found) - 1, len(with_term[w]) - 1, len(holders[e]) - 1
+        if k and h < others:
+            p, z = k / m, pii.QUANTILE
+            low = (p + z * z / 2 / m - z * math.sqrt(p * (1 - p) / m + z * z / 4 / m / m)) / (1 + z * z / m)
+            share = math.log(low * others / h) / math.log(others / h)
+            if share >= pii.THRESHOLD:
+                out[e, w] = share
+    return out
+
+
+def revealing_rows():
+    """Values of one mail domain, each with a word of its own that stands far from it, and copies of a text."""
+    filler = " ".join(f"plain{k}" for k in range(25))
+    rows = [(i, f"xylograph {filler} mail user{i}@hidden.example.net {filler} row{i}") for i in range(6)]
+    rows += [(10 + i, f"quillon note {i} from +1 (017) 555-7713 {filler}") for i in range(5)]
+    rows += [(20 + i, f"single copy of 10.1.2.3 {filler}") for i in range(30)]
+    rows += [(100 + i, f"mail note from copy {filler} again number{i}") for i in range(500)]
+    return rows + [(700, "Xylograph stands here without a value"), (701, None), (702, ""), (None, "Quillon alone, quillon")]
+
+
+@pytest.mark.parametrize("rows", [personal_rows, revealing_rows])
+def test_disclosures_equal_a_plain_count(spark, rows):
+    df = frame(spark, rows())
+    got = {(r.e, r.term): r.disclosure for r in pii.disclosures(df, pii.findings(df)).collect()}
+    want = plain_disclosures(rows())
+    assert want and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_terms_go_wherever_they_stand(spark):
+    got = {r.doc_id: r for r in pii.personal_data(frame(spark, revealing_rows())).collect()}
+    assert "term:0:9" in got[0].spans and got[0].spans.startswith("email:")  # 27 words before the value
+    assert got[700].spans == "term:0:9" and got[700].n_term == 1  # in a text without any value
+    assert got[None].spans == "term:0:7,term:15:22"
+    assert "term:0:7" in got[12].spans
+    assert got[20].n_term == 0 and got[20].n_ip == 1  # thirty copies of one text are no evidence
+    assert got[100].spans == "" and got[701].spans == "" and got[702].spans == ""
 
 
 def test_sanitised(spark):
