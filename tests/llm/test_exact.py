@@ -308,6 +308,14 @@ def test_search_does_not_depend_on_shards(docs, spark, monkeypatch):
     assert search.top_k(df, asked.where("false")).collect() == []
 
 
+def test_queries_of_one_id_are_one_query(spark):
+    docs = frame(spark, [(1, "red green blue"), (2, "red red"), (3, "grey")])
+    ask = lambda rows: {(r.query_id, r.doc_id): r.score for r in search.top_k(docs, spark.createDataFrame(rows, "query_id long, text string")).collect()}
+    once = ask([(7, "red green")])
+    assert once and ask([(7, "red green"), (7, "red green")]) == once == ask([(7, "red"), (7, "green red")])
+    assert {k[1]: v for k, v in ask([(None, "red green"), (None, "green")]).items()} == {k[1]: v for k, v in once.items()}
+
+
 def test_blocks_are_skipped():
     """With one rare term most blocks have no bound at all and a common term alone can't reach the best."""
     r = np.random.default_rng(1)
