@@ -197,6 +197,82 @@ def test_license_scan(spark):
     assert licenses.license_scan(df.where("false")).collect() == []
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions\r\n * are met:\r\n",
+    "gpl": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# any later version.",
+    "apache": "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES",
+    "mpl": "// SPDX-License-Identifier: MPL-2.0",
+}
+
+
+def plain_families(words, model):
+    """All families that a window may name."""
+    own, prob = licenses.grams_of(words), model.probabilities(" ".join(words))
+    for k, f in enumerate(licenses.FAMILIES):
+        pairs = [{g for g in licenses.grams_of(licenses.tokens_of(x)) if " " in g} for x in licenses.TEMPLATES[f]]
+        if prob[k] >= licenses.CUT:
+            yield max(len(t & own) / len(t) for t in pairs) >= licenses.TEMPLATE_SHARE, True, prob[k], f
+
+
+def plain_paragraphs(text, model):
+    """Lines, and windows over paragraphs of several lines, as license_scan takes them, in Python."""
+    import re
+
+    best, n, families = [], 0, set()
+    for p in re.split(r"(?:\r\n|\r|\n)\s*[\r\n]", (text or "").replace("\r\n", "\n")):
+        lines = [t for t in (licenses.tokens_of(x) for x in re.split(licenses.LINE_END, p)) if t]
+        flat = [w for x in lines for w in x]
+        if not any(w in model.evidence for w in flat):
+            continue
+        windows = [flat[k : k + licenses.WINDOW] for k in range(0, max(1, len(flat) - licenses.HOP), licenses.HOP)] if len(lines) > 1 else []
+        alone, together = ([plain_scan(" ".join(u), model)[0] for u in units if set(u) & set(model.evidence)] for units in (lines, windows))
+        together += [y for u in windows if set(u) & set(model.evidence) for y in plain_families(u, model)]
+        alone, together = ([x for x in units if x[2] is not None] for units in (alone, together))
+        families |= {x[3] for x in alone + together if x[0]}
+        taken = alone + [x for x in together if x[0] or not alone]
+        best += taken
+        n += len(alone) or bool(taken)
+    return max(best, default=(False, None, None, None)), n, sorted(families)
+
+
+def test_license_statements_over_several_lines(spark):
+    r = random.Random(5)
+    rows = [(i, "\n".join(sentence(r, r.randint(3, 30)) for _ in range(3))) for i in range(40)]
+    for i, (family, text) in enumerate(WRAPPED.items()):
+        before = "\n".join(sentence(r, 12) for _ in range(i * 4))  # statements lie anywhere in long paragraphs
+        rows += [(100 + i, text), (200 + i, before + "\n" + text + "\n" + sentence(r, 9)), (300 + i, sentence(r, 9) + "\n\n" + text)]
+        rows.append((400 + i, " \n".join(text.split())))  # one word per line
+    rows += [(500, "Permission is hereby granted, free\n\nof charge, to any person obtaining a\n \ncopy of this software"), (501, "\n" * 3000), (502, "\r\n \r\n")]
+    rows += [(503, WRAPPED["mit"] + "\n\n\n" + WRAPPED["bsd"]), (503, WRAPPED["gpl"] + "\n" + WRAPPED["apache"]), (504, "SPDX-License-Identifier: Own-1.0"), (None, None)]
+    rows.append((505, "\n".join(["river stone"] * 20_000 + [WRAPPED["bsd"]] + ["window garden"] * 20_000)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' as unit", "1 as paragraph", "0 as lines")
+    got = licenses.license_scan(df).collect()
+    assert len(got) == len(rows)
+    for i, family in enumerate(WRAPPED):
+        for x in (x for x in got if x.doc_id in (100 + i, 200 + i, 300 + i, 400 + i)):
+            assert (x.license, x.confirmed, x.licenses) == (family, True, [family]), x
+    assert all(x.license is None for x in got if x.doc_id is not None and (x.doc_id < 40 or x.doc_id in (501, 502)))
+    assert [x.license for x in got if x.doc_id == 504] == ["unknown"] and not any(x.confirmed for x in got if x.doc_id == 500)
+    assert sorted(x.licenses for x in got if x.doc_id == 503) == [["apache", "gpl"], ["bsd", "mit"]]
+    model = licenses.train(licenses.background(df))
+    want = sorted(((i, *plain_paragraphs(t, model)) for i, t in rows), key=str)
+    have = {(x.doc_id, x.license, x.confirmed, x.n_statements, tuple(x.licenses)) for x in got}
+    assert have == {(i, best[3], best[0], n, tuple(fs)) for i, best, n, fs in want}
+
+
+def test_few_words_of_a_statement_are_none():
+    r = random.Random(8)
+    small = "the a of to and in is it for with that this has by or".split()  # ordinary words are known from the corpus
+    model = licenses.train([" ".join(r.choice(WORDS + small) for _ in range(30)) for _ in range(300)])
+    for text in ("The bridge gave way river stone free of charge", "a copy of the documentation", "the author has a following", "Underßbech im au"):
+        assert model.probabilities(text).max() < licenses.CUT
+    for family, templates in licenses.TEMPLATES.items():
+        for text in templates:
+            found = model.probabilities(text)
+            assert licenses.FAMILIES[int(found[:-1].argmax())] == family and found[:-1].max() >= licenses.CUT
+
+
 # --- pipeline
 
 
