@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import WordHashes, membership, possible, small_batches, stored
+from tidegauge.llm.common import membership, possible, small_batches, stored, words_hashed
 
 #: Words of an overlap, and how many of them may differ: four fifths and more must agree.
 SPAN, DIFFER = 13, 2
@@ -20,7 +22,9 @@ BLOCKS = (range(0, 3), range(3, 6), range(6, 9), range(9, 13))
 #: Two differing words spoil at most two of four blocks, so some mask reads only words that agree.
 MASKS = tuple(combinations(range(len(BLOCKS)), 2))
 WORD = re.compile(r"\w+")
-HASHES = WordHashes(seed=9)
+SEED = 9
+#: Code points whose words are hashed at a time; only a longer text alone is more.
+CHUNK = 2 << 20
 _RANDOM = np.random.default_rng(9)
 FACTORS = _RANDOM.integers(1, 1 << 63, SPAN).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 SALTS = _RANDOM.integers(1, 1 << 63, len(MASKS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -31,12 +35,40 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def seed_hashes(words: list[str]) -> np.ndarray:
-    """(masks, positions) hashes of every span of the words under every mask."""
-    n = len(words) - SPAN + 1
+@cache
+def _word_marks(end: int) -> np.ndarray:
+    """Which code points below ``end`` are part of words."""
+    out = np.zeros(end, bool)
+    for m in WORD.finditer("".join(map(chr, range(end)))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): a hash of each of ``words_of`` of the texts, one text after the other, and their number in each."""
+    lines = [(t or "").lower() for t in texts]
+    whole = "\n".join(lines)
+    raw = whole.encode()
+    plain = len(raw) == len(whole)
+    points = np.frombuffer(raw, np.uint8) if plain else np.frombuffer(whole.encode("utf-32-le"), "<u4")
+    ends = np.flatnonzero(np.diff(_word_marks(128 if plain else sys.maxunicode + 1)[points], prepend=False, append=False))
+    starts, ends = ends[::2], ends[1::2]
+    sizes = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(line) + 1 for line in lines)])))
+    if not plain:  # from code points to bytes
+        width = np.ones(len(points) + 1, np.int64)
+        for least in (0x80, 0x800, 0x10000):
+            width[1:] += points >= least
+        width[0] = 0
+        place = np.cumsum(width)
+        starts, ends = place[starts], place[ends]
+    return words_hashed(raw, starts, ends - starts, SEED), sizes
+
+
+def span_hashes(h: np.ndarray) -> np.ndarray:
+    """(masks, positions) hashes of every span of words with these hashes under every mask."""
+    n = len(h) - SPAN + 1
     if n <= 0:
         return np.zeros((len(MASKS), 0), np.uint64)
-    h = HASHES([w.encode() for w in words])
     blocks = []
     for block in BLOCKS:
         total = np.zeros(n, np.uint64)
@@ -44,7 +76,28 @@ def seed_hashes(words: list[str]) -> np.ndarray:
             total += h[j : j + n] * FACTORS[j]
         blocks.append(total)
     mixed = np.stack([(blocks[a] + blocks[b]) * salt for (a, b), salt in zip(MASKS, SALTS)])
-    return mixed ^ (mixed >> np.uint64(29))
+    mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def seed_hashes(words: list[str]) -> np.ndarray:
+    """(masks, positions) hashes of every span of the words under every mask."""
+    raw = [w.encode() for w in words]
+    sizes = np.array([len(w) for w in raw], np.int64)
+    return span_hashes(words_hashed(b"".join(raw), np.cumsum(sizes) - sizes, sizes, SEED))
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Neighbouring texts of at most CHUNK code points together, or one longer text, each time with the row of the first."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        size = len(text or "") + 1
+        if i > first and held + size > CHUNK:
+            yield first, texts[first:i]
+            first, held = i, 0
+        held += size
+    if texts:
+        yield first, texts[first:]
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,20 +118,24 @@ def _regions(bits: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc_id, text_hash, row, text in zip(*(c.to_pylist() for c in b.columns)):
-                words = words_of(text)
-                hashes = seed_hashes(words)
+            out, texts = [], b.column(3).to_pylist()
+            for first, group in _chunks(texts):
+                h, sizes = hashed_words(group)
+                ends, hashes = np.cumsum(sizes), span_hashes(h)
                 mask, pos = np.nonzero(possible(bits, hashes.ravel()).reshape(hashes.shape))
-                if not len(pos):
-                    continue
-                order = np.argsort(pos, kind="stable")
-                mask, pos = mask[order], pos[order]
-                for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) >= 2 * SPAN) + 1):
-                    start, end = max(0, pos[part[0]] - SPAN + 1), min(len(words), pos[part[-1]] + 2 * SPAN - 1)
-                    found = hashes[mask[part], pos[part]].view(np.int64)
-                    hits = [{"pos": p, "mask": m, "hash": h} for p, m, h in zip(pos[part].tolist(), mask[part].tolist(), found.tolist())]
-                    out.append((doc_id, text_hash, row, int(start), words[start:end], hits))
+                text_of = np.searchsorted(ends, pos, "right")
+                inside = pos + SPAN <= ends[text_of]
+                order = np.argsort(pos[inside], kind="stable")
+                mask, pos, text_of = mask[inside][order], pos[inside][order], text_of[inside][order]
+                for mine in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(text_of)) + 1) if len(pos) else []:
+                    i = int(text_of[mine[0]])
+                    doc_id, text_hash, row = (b.column(k)[first + i].as_py() for k in range(3))
+                    words, at = words_of(group[i]), pos[mine] - (ends[i] - sizes[i])
+                    for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(at) >= 2 * SPAN) + 1):
+                        start, end = max(0, at[part[0]] - SPAN + 1), min(len(words), at[part[-1]] + 2 * SPAN - 1)
+                        found = hashes[mask[mine[part]], pos[mine[part]]].view(np.int64)
+                        hits = [{"pos": p, "mask": m, "hash": x} for p, m, x in zip(at[part].tolist(), mask[mine[part]].tolist(), found.tolist())]
+                        out.append((doc_id, text_hash, row, int(start), words[start:end], hits))
             table = pa.Table.from_pylist(
                 [dict(zip(("doc_id", "text_hash", "region", "start", "words", "hits"), r)) for r in out], schema=REGIONS
             )
