@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tidegauge.llm import common, decontam
+from tidegauge.llm import common, decontam, substrings
 
 ODD = [
     None,
@@ -62,3 +62,30 @@ def test_regions_do_not_depend_on_neighbours_and_chunks(monkeypatch):
     assert found(texts) == want
     monkeypatch.setattr(decontam, "CHUNK", 50)
     assert found(texts) == want
+
+
+def test_words_of_substrings_lie_in_one_buffer():
+    texts = [*ODD, " \t a\n\nb  c \x0b", "\x1f \x85"]
+    words = substrings.Words(texts)
+    lines = [substrings.words_of(t) for t in texts]
+    flat = [w for line in lines for w in line]
+    assert words.sizes.tolist() == [len(x) for x in lines]
+    assert words.lines == [b" ".join(x) for x in lines]
+    at = np.arange(len(flat))
+    assert words.joined(at, np.ones_like(at)) == flat
+    assert words.joined(at[:-3], np.full(len(at) - 3, 4)) == [b" ".join(flat[i : i + 4]) for i in at[:-3].tolist()]
+    assert words.row.tolist() == [i for i, x in enumerate(lines) for _ in x]
+    assert len(substrings.Words([None, ""]).hashes) == 0
+
+
+def test_pairs_are_held_by_row_and_both_numbers(monkeypatch):
+    r = np.random.default_rng(7)
+    lists = [None if i == 2 else [{"k0": int(a), "k1": int(b)} for a, b in r.integers(-3, 3, (i, 2))] for i in range(9)]
+    column = pa.array(lists, pa.list_(pa.struct([("k0", pa.int64()), ("k1", pa.int64())])))
+    rows, first, second = np.repeat(np.arange(9), 36), *np.tile(np.mgrid[-3:3, -3:3].reshape(2, -1), 9)
+    want = [{"k0": a, "k1": b} in (lists[i] or []) for i, a, b in zip(rows.tolist(), first.tolist(), second.tolist())]
+    assert substrings.held(rows, first, second, column).tolist() == want
+    monkeypatch.setattr(substrings, "mixed", lambda x: x * np.uint64(0))  # keys of different pairs agree
+    assert substrings.held(rows, first, second, column).tolist() == want
+    assert not substrings.held(rows, first, second, column.slice(2, 1)).any()
+    assert len(substrings.held(rows[:0], first[:0], second[:0], column)) == 0

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from tidegauge.llm.common import WordHashes, ragged, small_batches, stored
+from tidegauge.llm.common import membership, possible, ragged, small_batches, stored, words_hashed
 
 #: Words of an edge of the graph (a window); its nodes are the first and the last EDGE - 1 of them.
 EDGE = 13
@@ -21,7 +20,7 @@ EDGE = 13
 SEED = 5
 #: One node in so many ends a path, by its hash alone, so that equal passages are cut alike.
 ANCHOR = 8
-HASHES = WordHashes(seed=2)
+WORD_SEED = 2
 _RANDOM = np.random.default_rng(2)
 NODE_FACTORS = _RANDOM.integers(1, 1 << 63, EDGE - 1).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 SEED_FACTORS = _RANDOM.integers(1, 1 << 63, SEED).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,16 +58,23 @@ def minimisers(hashes: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts one after the other, and the windows that lie inside one text."""
+    """The words of some texts one after the other, parted by one space in ``raw``, and the windows that lie inside one text."""
 
     def __init__(self, texts: list[str | None]):
-        self.lines = [words_of(t) for t in texts]
-        self.all = [w for line in self.lines for w in line]
-        sizes = np.array([len(line) for line in self.lines], np.int64)
-        self.firsts = np.cumsum(sizes) - sizes
-        self.row = np.repeat(np.arange(len(texts)), sizes)
+        self.lines = [b" ".join(words_of(t)) for t in texts]
+        self.raw = b" ".join(filter(None, self.lines))
+        gaps = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == ord(" "))
+        self.begins = np.concatenate([[0], gaps + 1]) if self.raw else gaps
+        self.ends = np.append(gaps, len(self.raw)) if self.raw else gaps
+        self.sizes = np.array([line.count(b" ") + 1 if line else 0 for line in self.lines], np.int64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.row = np.repeat(np.arange(len(texts)), self.sizes)
         self.inside = self.row[: -EDGE + 1] == self.row[EDGE - 1 :]
-        self.hashes = HASHES(self.all)
+        self.hashes = words_hashed(self.raw, self.begins, self.ends - self.begins, WORD_SEED)
+
+    def joined(self, starts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Runs of at least one word, joined by one space."""
+        return [self.raw[a:b] for a, b in zip(self.begins[starts].tolist(), self.ends[starts + sizes - 1].tolist())]
 
     def nodes(self) -> np.ndarray:
         return mixed(runs_hashed(self.hashes, NODE_FACTORS)).view(np.int64)
@@ -202,15 +208,15 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (np.diff(at) > 1) | (nodes[at[1:]] % np.uint64(ANCHOR) == 0)
         starts = at[new]
         sizes = np.diff(np.append(np.flatnonzero(new), len(at)))
-        digests = [xxh3_128_digest(b" ".join(words.all[s : s + n + EDGE - 1])) for s, n in zip(starts.tolist(), sizes.tolist())]
+        digests = list(map(xxh3_128_digest, words.joined(starts, sizes + EDGE - 1)))
         digests = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         rows = words.row[starts]
         counts = np.bincount(rows, minlength=b.num_rows)
         ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x))) for x in (starts - words.firsts[rows], sizes, digests[:, 0], digests[:, 1])]
-        whole = [hashlib.sha256(b" ".join(line)).hexdigest() for line in words.lines]
+        whole = [hashlib.sha256(line).hexdigest() for line in words.lines]
         text = pc.if_else(pa.array(counts > 0), b.column(1), pa.scalar(None, b.column(1).type))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in words.lines], pa.int64()), pa.array(whole), text, *lists], names=FOUND_NAMES)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words.sizes), pa.array(whole), text, *lists], names=FOUND_NAMES)
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +236,23 @@ def listed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def held(rows: np.ndarray, first: np.ndarray, second: np.ndarray, lists: pa.ListArray) -> np.ndarray:
     """Which pairs are in the list of their row."""
-    out = np.isin(first, (have := listed(lists))[1])
-    at = np.flatnonzero(out)
-    known = set(zip(*(x.tolist() for x in have)))
-    out[at] = [x in known for x in zip(rows[at].tolist(), first[at].tolist(), second[at].tolist())]
+    wanted, have = (rows, first, second), listed(lists)
+    if not len(rows) or not len(have[0]):
+        return np.zeros(len(rows), bool)
+
+    def key(x: tuple[np.ndarray, ...]) -> np.ndarray:
+        row, a, b = (c.astype(np.int64).view(np.uint64) for c in x)
+        return (mixed(a + row * EDGE_FACTOR) + b) * EDGE_FACTOR
+
+    keys = key(have)
+    order = np.argsort(keys)
+    want = key(wanted)
+    at = order[np.minimum(np.searchsorted(keys, want, sorter=order), len(order) - 1)]
+    out = np.logical_and.reduce([x == y[at] for x, y in zip(wanted, have)])
+    unsure = np.flatnonzero((keys[at] == want) & ~out)
+    if len(unsure):  # another pair has the same key
+        known = set(zip(*(x.tolist() for x in have)))
+        out[unsure] = [x in known for x in zip(*(c[unsure].tolist() for c in wanted))]
     return out
 
 
@@ -263,6 +282,46 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from in_chunks(pairs(), 2, False)
 
 
+OPENED = "doc_id long, text string, starts array<long>, sizes array<long>, a array<long>, b array<long>"
+
+
+def _in_map(bits: np.ndarray, yes: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column, a hash, the map may hold, or all others; without that column."""
+    for b in batches:
+        mine = possible(bits, b.column(b.num_columns - 1).to_numpy().view(np.uint64)) == yes
+        yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(mine))
+
+
+def _with_gone(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_map(bits, True, batches)
+
+    return run
+
+
+def _edges_without_gone(bits: np.ndarray):
+    """Edges of documents that have no path of a smaller document: they need not meet the paths that are gone."""
+    none = pa.list_(pa.struct([("k0", pa.int64()), ("k1", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = _in_map(bits, False, batches)
+        return _edges(pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, none)], names=[*b.schema.names, "gone_paths"]) for b in rest)
+
+    return run
+
+
+def _only_touched(bits: np.ndarray):
+    """Found rows; the text and its paths go along only if something of it may be gone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            maybe = pa.array(possible(bits, b.column(b.num_columns - 1).to_numpy().view(np.uint64)))
+            lists = [pc.if_else(maybe, c, pa.scalar(None, c.type)) for c in b.columns[3:-1]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], names=FOUND_NAMES)
+
+    return run
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         # a text without paths was left out; only another row of its id can have lost words
@@ -275,14 +334,16 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, at = paths.windows(~paths.gone)
         nodes = words.nodes()
         windows = np.concatenate([at[held(rows, nodes[at], nodes[at + 1], part.column(9))], paths.windows(paths.gone)[1]])
-        size = len(words.all) + 1
+        size = len(words.begins) + 1
         change = np.bincount(windows, minlength=size) - np.bincount(windows + EDGE, minlength=size)
         covered = np.cumsum(change)[:-1] > 0
-        for i, first, line in zip(np.flatnonzero(touched.to_numpy(zero_copy_only=False)).tolist(), words.firsts.tolist(), words.lines):
-            mine = covered[first : first + len(line)]
-            removed[i] = mine.sum()
-            sha[i] = hashlib.sha256(b" ".join(compress(line, (~mine).tolist()))).hexdigest()
-            spans[i] = np.flatnonzero(np.diff(np.concatenate([[0], mine, [0]]))).reshape(-1, 2).tolist()
+        for i, first, n in zip(np.flatnonzero(touched.to_numpy(zero_copy_only=False)).tolist(), words.firsts.tolist(), words.sizes.tolist()):
+            edges = np.flatnonzero(np.diff(covered[first : first + n], prepend=False, append=False))
+            between = np.concatenate([[0], edges, [n]]).reshape(-1, 2)  # kept words
+            between = between[between[:, 0] < between[:, 1]]
+            removed[i] = n - np.diff(between).sum()
+            sha[i] = hashlib.sha256(b" ".join(words.joined(first + between[:, 0], between[:, 1] - between[:, 0]))).hexdigest()
+            spans[i] = edges.reshape(-1, 2).tolist()
         columns = [pa.array(removed), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=KEPT_NAMES)
 
@@ -323,7 +384,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     opened = found.where("text is not null")
     paths = opened.select("doc_id", "a", "b").mapInArrow(_paths, pair)
     gone_paths = stored(shared_keys(paths, 2, False, "gone_paths"), "shared-paths")
-    with_gone = opened.join(gone_paths, "doc_id", "left").select("doc_id", "text", "starts", "sizes", "a", "b", "gone_paths")
-    gone_edges = stored(shared_keys(with_gone.mapInArrow(_edges, pair), 2, False, "gone_edges"), "shared-edges")
+    h = F.xxhash64("doc_id").alias("h")
+    bits, rows = membership(gone_paths.select(h), "h"), opened.select("doc_id", "text", "starts", "sizes", "a", "b", h)
+    with_gone = rows.mapInArrow(_with_gone(bits), OPENED).join(gone_paths, "doc_id", "left")
+    edges = with_gone.mapInArrow(_edges, pair).unionByName(rows.mapInArrow(_edges_without_gone(bits), pair))
+    gone_edges = stored(shared_keys(edges, 2, False, "gone_edges"), "shared-edges")
     both = gone_paths.join(gone_edges, "doc_id", "full")
-    return found.join(both, "doc_id", "left").select(*found.columns, "gone_paths", "gone_edges").mapInArrow(_kept, KEPT)
+    bits = membership(gone_paths.select(h).unionByName(gone_edges.select(h)), "h")
+    cut = found.select(*found.columns, h).mapInArrow(_only_touched(bits), FOUND)
+    return cut.join(both, "doc_id", "left").select(*found.columns, "gone_paths", "gone_edges").mapInArrow(_kept, KEPT)
