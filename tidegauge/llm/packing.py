@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegauge.llm.common import crc, small_batches, stored
+from tidegauge.llm.common import crc, remembered, small_batches, stored
 
 CAPACITY, END_ID = 2048, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -92,13 +92,8 @@ class WordIds:
         return out
 
 
-_TOKENIZERS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
+    return remembered(f"packing by {path}", lambda: WordIds(path))
 
 
 PIECES = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long"

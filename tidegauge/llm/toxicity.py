@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import fold, small_batches
+from tidegauge.llm.common import fold, remembered, small_batches
 from tidegauge.llm.learning import Adam, CharGrams, calibrate, labelled_sample, scatter, segment_sums, sigmoid
 
 #: Words of a window and words from one window to the next.
@@ -27,7 +27,8 @@ CLEAN_WINDOWS, TOXIC_WINDOWS, HARD_WINDOWS = 4, 12, 4
 CUT = 0.7
 PARTS, HELD_OUT = 3, 1
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-REMEMBERED = 300_000
+#: Words whose inputs a task remembers; a full memory is emptied, scores stay the same.
+REMEMBERED = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -254,6 +255,7 @@ def train(sample: pd.DataFrame, seed: int = 3) -> Network:
 
 def _scored(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("toxicity", dict)  # words are remembered by the task alone
         for b in batches:
             scores = net.scores(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores.astype(np.float64))], names=["doc_id", "text_hash", "score"])
@@ -292,6 +294,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("toxicity", dict)
         for b in batches:
             scores = net.scores(b.column(b.schema.get_field_index("text")).to_pylist())
             yield b.filter(pa.array(scores < CUT))
