@@ -538,3 +538,23 @@ def test_contaminations(spark):
     assert kept.columns == frame(spark, docs).columns
     assert decontam.contaminations(frame(spark, docs), frame_items.where("false")).collect() == []
     assert decontam.contaminations(frame(spark, []), frame_items).collect() == []
+
+
+def test_words_that_can_disclose_nothing_are_not_counted(spark, monkeypatch):
+    """A word in two of the many texts with a value can't disclose it wherever else it stands: it is not counted in all texts."""
+    names, stored = [], pii.stored
+
+    def seen(df, name):
+        out = stored(df, name)
+        if name == "pairs":
+            names.extend(r.term for r in out.select("term").distinct().collect())
+        return out
+
+    monkeypatch.setattr(pii, "stored", seen)
+    rows = [(i, f"common words of letter {i} reach {'zebra' * (i < 2)} many.people@example.org") for i in range(60)]
+    rows += [(200 + i, f"nothing here {i}") for i in range(2000)]
+    df = frame(spark, rows)
+    got = {(r.e, r.term): r.disclosure for r in pii.disclosures(df, pii.findings(df)).collect()}
+    want = plain_disclosures(rows)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    assert {"reach", "common"} <= {t for _, t in got} <= set(names) and "zebra" not in names

@@ -95,3 +95,70 @@ def test_rows_of_one_id_with_different_texts_stay(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
     rows = [(2, a), (2, b), (2, b), (3, a)]
     assert sorted((x.doc_id, x.text) for x in simhash.keep_one(frame(spark, rows)).collect()) == [(2, a), (2, b)]
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text with some words changed, most of them too far apart: all similar ones are linked by few pairs."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(600):
+        copy = list(base)
+        for _ in range(r.choice((1, 2, 3, 4, 5, 6))):
+            copy[r.randrange(len(copy))] = word()
+        rows.append((i, " ".join(copy)))
+    counts, stored = {}, shingles.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(shingles, "stored", counted)
+    digest = lambda t: shingles.digest(shingles.split(t))
+    root = {digest(t): digest(t) for _, t in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in shingles.similar_links(frame(spark, rows), lambda t: shingles.digest(shingles.split(t))).collect():
+        root[find(x.a)] = find(x.b)
+    got = {x: find(x) for x in root}
+    sets = {digest(t): plain_set(t) for _, t in rows}
+    root = {x: x for x in root}
+    for a, b in combinations(sets, 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            root[find(a)] = find(b)
+    want = {x: find(x) for x in root}
+    both = {(got[x], want[x]) for x in root}
+    assert len(both) == len(set(got.values())) == len(set(want.values())) > 1
+    assert counts["further-pairs"] < 5 * len(rows)
+
+
+def test_close_pairs_lose_no_link():
+    g = np.random.default_rng(6)
+    similar = 0
+    for _ in range(150):
+        centre, other = (np.unique(g.integers(0, 1 << 63, int(g.integers(3, 120))).astype(np.uint64)) for _ in range(2))
+        sets = []
+        for _ in range(int(g.integers(2, 40))):
+            x = centre if g.random() < 0.8 else other
+            x = x[g.random(len(x)) >= g.random() / 4]
+            sets.append(np.unique(np.r_[x, g.integers(0, 1 << 63, int(g.integers(1, 2 + len(x) // 6))).astype(np.uint64), g.choice(other, 2)]))
+        n, root = np.array([len(x) for x in sets]), np.arange(len(sets))
+        root[g.random(len(sets)) < 0.2] = 0
+        pairs = [(int(i), int(j)) for i, j in np.concatenate(list(shingles.close_pairs(sets, n, root)))]
+        every = [(i, j) for i, j in combinations(range(len(sets)), 2) if shingles.similar(sets[i], sets[j])]
+        parts = []
+        for edges in ([p for p in pairs if shingles.similar(sets[p[0]], sets[p[1]])], every):
+            part = root.copy()
+            for _ in sets:
+                for i, j in edges:
+                    part[part == part[i]] = part[j]
+            parts.append(part.tolist())
+        assert len(set(zip(*parts))) == len(set(parts[0])) == len(set(parts[1]))
+        similar += len(every)
+    assert similar > 500

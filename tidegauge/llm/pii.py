@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
@@ -274,6 +274,14 @@ def once_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     return single.unionByName(double.dropDuplicates(["text_hash"]))
 
 
+def _disclosure(n_t: Column, total: float) -> Column:
+    """Share of a value's information that a term of ``n_t`` texts gives away, by columns n_e and n_et."""
+    m, z2 = n_t - 1, QUANTILE**2
+    p = (F.col("n_et") - 1) / m
+    low = (p + z2 / (2 * m) - QUANTILE * F.sqrt(p * (1 - p) / m + z2 / (4 * m * m))) / (1 + z2 / m)
+    return 1 + F.log(low) / F.log(F.lit(total - 1) / (F.col("n_e") - 1))
+
+
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(e, term, disclosure) of terms that give away at least THRESHOLD of the information of a value or a class of values.
 
@@ -285,22 +293,23 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     log(p (N - 1) / (n(e) - 1)), over the information log((N - 1) / (n(e) - 1))
     of e: 1 means that t is sure to come with e, and a term or value of one text
     only tells nothing. All counts cover all texts; pairs that n(e) or n(e, t)
-    already rule out are left out before more is counted.
+    already rule out are left out before more is counted: a term stands in at
+    least as many texts as with any one value, and each further text without
+    that value lowers its disclosure.
     """
     texts = found.dropDuplicates(["text_hash"])
     n_e = texts.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).where("n_e > 1")
     n_e = stored(n_e, "values")
     held = found.where("held is not null").select("text_hash", "held").dropDuplicates(["text_hash"]).select("held")
     pairs = held.mapInArrow(_companions(membership(n_e, "e")), "e long, term string").groupBy("e", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    pairs = stored(pairs.where("n_et > 1").join(n_e, "e"), "pairs")
+    total = float(found.select("text_hash").distinct().count())
+    pairs = pairs.where("n_et > 1")
+    least = pairs.groupBy("term").agg(F.max("n_et").alias("least"))
+    pairs = pairs.join(n_e, "e").where(F.col("n_e") < total).join(least, "term")
+    pairs = stored(pairs.where(_disclosure(F.col("least"), total) >= THRESHOLD - 1e-6).drop("least"), "pairs")
     bits = membership(pairs.select("term").distinct().select(F.xxhash64("term").alias("h")), "h")
     n_t = once_each(docs, found).mapInArrow(_terms(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    total = float(found.select("text_hash").distinct().count())
-    m, z2 = F.col("n_t") - 1, QUANTILE**2
-    p = (F.col("n_et") - 1) / m
-    low = (p + z2 / (2 * m) - QUANTILE * F.sqrt(p * (1 - p) / m + z2 / (4 * m * m))) / (1 + z2 / m)
-    share = 1 + F.log(low) / F.log(F.lit(total - 1) / (F.col("n_e") - 1))
-    scored = pairs.where(F.col("n_e") < total).join(n_t, "term").withColumn("disclosure", share)
+    scored = pairs.join(n_t, "term").withColumn("disclosure", _disclosure(F.col("n_t"), total))
     return scored.where(F.col("disclosure") >= THRESHOLD).select("e", "term", "disclosure")
 
 

@@ -207,23 +207,75 @@ def _first_pairs(all_pairs: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def differences(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How sets differ from what over half of them hold: (set, element, place), elements of few differences first."""
+    own, flat = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    _, element, times = np.unique(flat, return_inverse=True, return_counts=True)
+    central = 2 * times > len(sets)
+    column = np.cumsum(central) - 1
+    inside = central[element]
+    lacks = np.ones((len(sets), int(central.sum())), bool)
+    lacks[own[inside], column[element[inside]]] = False
+    row, lacked = np.nonzero(lacks)
+    own, element = np.r_[own[~inside], row], np.r_[element[~inside], np.flatnonzero(central)[lacked]]
+    order = np.lexsort((element, np.where(central, len(sets) - times, times)[element], own))
+    size = np.bincount(own, minlength=len(sets))
+    return own[order], element[order], ragged(np.zeros(len(sets), np.int64), size)
+
+
+def close_pairs(sets: list[np.ndarray], n: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions (i, j) of pairs that link all similar sets of different roots, in parts.
+
+    Sets x and y differ in as many elements as their differences from any
+    common centre do. With d elements of difference and n of its own a set has
+    the weight w = 9 d - n (for a similarity of 4/5): a pair is similar if 18
+    times what its differences share is at least the sum of its weights. If that
+    is 0 or less, both are similar to the set of least weight, and these stars
+    link them. Any other similar pair shares an element of its differences, in
+    prefixes that follow from its weights. What most texts of a bucket have in
+    common is no part of a difference, so a large group of near copies, or of
+    texts with a common line, has few pairs here and no pair is lost.
+    """
+    own, element, place = differences(sets)
+    size = np.bincount(own, minlength=len(sets))
+    w = sum(SIMILAR) * size - (SIMILAR[1] - SIMILAR[0]) * n
+    star = int(np.argmin(w))
+    near = w <= -w[star]
+    linked = np.flatnonzero(near & (root != root[star]))
+    yield np.stack([np.full(len(linked), star), linked], 1)
+    # what a set shares at least with one outside the star, of no smaller weight; and one outside with any of no larger weight
+    least = np.where(near, w - w[star] + 1, 2 * w), w + w[star]
+    small, large = (place <= (size - np.maximum(1, -(-x // (2 * sum(SIMILAR)))))[own] for x in least)
+    large &= ~near[own]
+    by_element = np.argsort(element[small], kind="stable")
+    held, other, rest = element[small][by_element], own[small][by_element], (size[own] - place)[small][by_element]
+    first = np.searchsorted(held, element[large])
+    many = np.searchsorted(held, element[large], side="right") - first
+    mine, left = own[large], (size[own] - place)[large]
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(many):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - many[at] + (1 << 20), side="right")))
+        met = ragged(first[at:end], many[at:end])
+        j, i = np.repeat(mine[at:end], many[at:end]), other[met]
+        fit = (w[i] <= w[j]) & (root[i] != root[j]) & similar_sizes(n[i], n[j])
+        # from the first element that two share on, no more than the shorter rest can be shared
+        fit &= 2 * sum(SIMILAR) * np.minimum(np.repeat(left[at:end], many[at:end]), rest[met]) >= w[i] + w[j]
+        yield np.unique(np.stack([i[fit], j[fit]], 1), axis=0)
+        at = end
+
+
 def _further_pairs(batches: Batches) -> Batches:
-    """Pairs (a, b) of a bucket's members whose components differ so far."""
+    """Pairs (a, b) that link all similar members of a bucket whose components differ so far."""
     for r in _runs(batches):
         h, n, c, root = r["h"], r["n"], r["c"], r["root"]
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(h)]):
             if (root[s:e] == root[s]).all():
                 continue
-            out, held = [], 0
-            for i in range(s, e - 1):
-                end = s + int(np.searchsorted(n[s:e], n[i] * SIMILAR[1] // SIMILAR[0], side="right"))
-                other = c[i + 1 : end][root[i + 1 : end] != root[i]]
-                out.append(np.stack([np.minimum(other, c[i]), np.maximum(other, c[i])], 1))
-                held += len(other)
-                if held > 1 << 16 or i == e - 2:
-                    pairs, out, held = np.concatenate(out), [], 0
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            for pairs in close_pairs([np.frombuffer(x, np.uint64) for x in r["s"][s:e]], n[s:e], root[s:e]):
+                a, b = c[s:e][pairs[:, 0]], c[s:e][pairs[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _wanted(bits: np.ndarray, batches: Batches) -> Iterator[list[tuple[int, str, list[bytes]]]]:
@@ -312,7 +364,8 @@ def similar_links(docs: DataFrame, name: Callable[[str], int]) -> DataFrame:
     whose sizes, places in the prefix and sketches allow the similarity is
     compared by its whole sets. Only pairs that are connected already are left
     out: large buckets are first compared with one member each and by
-    neighbours, then all pairs of different components. Shingles common in a
+    neighbours, then members of different components meet by how they differ
+    from what most of the bucket holds (``close_pairs``). Shingles common in a
     sample come last in the order, which keeps buckets small and loses nothing.
     """
     spark = docs.sparkSession
@@ -330,6 +383,11 @@ def similar_links(docs: DataFrame, name: Callable[[str], int]) -> DataFrame:
         return named
     roots = components(links)
     rooted = large.join(roots.withColumnRenamed("node", "c"), "c", "left").select("h", "n", "c", F.coalesce("root", "c").alias("root"))
-    further = rooted.repartition("h").sortWithinPartitions("h", "n", "c").mapInArrow(_further_pairs, "a long, b long").distinct()
+    open_h = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    rooted = stored(rooted.join(open_h, "h"), "open-buckets")
+    members = membership(rooted.select("c").distinct(), "c")
+    sets = texts.mapInArrow(_sets(members, name), "c long, name long, s binary").select("c", "s").dropDuplicates(["c"])
+    held = rooted.join(stored(sets, "member-sets"), "c").select("h", "n", "c", "root", "s")
+    further = held.repartition("h").sortWithinPartitions("h", "n", "c").mapInArrow(_further_pairs, "a long, b long").distinct()
     more = _verified(texts, stored(further.join(pairs, ["a", "b"], "left_anti"), "further-pairs"), name)
     return named.union(more.select("name_a", "name_b"))
