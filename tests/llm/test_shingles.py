@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.test_exact import frame, plain_print
@@ -138,6 +139,24 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     assert counts["further-pairs"] < 5 * len(rows)
 
 
+def test_cut_sets_lose_no_link(spark, monkeypatch):
+    """With all sets cut to two bits stars are of texts that are not similar: their buckets are compared by whole sets."""
+    cut_sets = shingles._cut_sets
+
+    def coarse(bits, cut):
+        whole = cut_sets(bits, "<u8")
+
+        def run(batches):
+            for b in whole(batches):
+                sets = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(62)).astype(cut)).tobytes() for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["c", "s"])
+
+        return run if cut == "<u4" else whole
+
+    monkeypatch.setattr(shingles, "_cut_sets", coarse)
+    test_all_similar_texts_are_linked(spark, monkeypatch, 2)
+
+
 def test_close_pairs_lose_no_link():
     g = np.random.default_rng(6)
     similar = 0

@@ -265,17 +265,27 @@ def close_pairs(sets: list[np.ndarray], n: np.ndarray, root: np.ndarray) -> Iter
         at = end
 
 
-def _further_pairs(batches: Batches) -> Batches:
-    """Pairs (a, b) that link all similar members of a bucket whose components differ so far."""
-    for r in _runs(batches):
-        h, n, c, root = r["h"], r["n"], r["c"], r["root"]
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(h)]):
-            if (root[s:e] == root[s]).all():
-                continue
-            for pairs in close_pairs([np.frombuffer(x, np.uint64) for x in r["s"][s:e]], n[s:e], root[s:e]):
-                a, b = c[s:e][pairs[:, 0]], c[s:e][pairs[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _further_pairs(cut: str) -> Callable[[Batches], Batches]:
+    """Pairs (a, b) that link all similar members of a bucket whose components differ so far; those of a star with its bucket h.
+
+    Sets come cut to numbers of type ``cut``. Cut sets differ in no more
+    elements than the whole ones, so no similar pair is lost but where a star
+    links two that are not similar to it when whole: its bucket is named for that.
+    """
+
+    def run(batches: Batches) -> Batches:
+        for r in _runs(batches):
+            h, n, c, root = r["h"], r["n"], r["c"], r["root"]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(h)]):
+                if (root[s:e] == root[s]).all():
+                    continue
+                for k, pairs in enumerate(close_pairs([np.frombuffer(x, cut) for x in r["s"][s:e]], n[s:e], root[s:e])):
+                    a, b = c[s:e][pairs[:, 0]], c[s:e][pairs[:, 1]]
+                    bucket = pa.nulls(len(a), pa.int64()) if k else pa.array(np.full(len(a), h[s]))
+                    yield pa.RecordBatch.from_arrays([bucket, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["h", "a", "b"])
+
+    return run
 
 
 def _wanted(bits: np.ndarray, batches: Batches) -> Iterator[list[tuple[int, str, list[bytes]]]]:
@@ -319,6 +329,18 @@ def _sets(bits: np.ndarray, name: Callable[[str], int]) -> Callable[[Batches], B
     return run
 
 
+def _cut_sets(bits: np.ndarray, cut: str) -> Callable[[Batches], Batches]:
+    """Digest and set of the texts that ``bits`` may hold, each shingle by the first bytes of its hash."""
+
+    def run(batches: Batches) -> Batches:
+        hashes, shift = WordHashes(SEED, WORDS), np.uint64(64 - 8 * np.dtype(cut).itemsize)
+        for texts in _wanted(bits, batches):
+            sets = [np.unique((shingles(w, hashes) >> shift).astype(cut)).tobytes() for _, _, w in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in texts], pa.int64()), pa.array(sets, pa.binary())], names=["c", "s"])
+
+    return run
+
+
 def _possible_pairs(batches: Batches) -> Batches:
     for b in batches:
         yes = [may_be_similar(*r) for r in zip(*(b.column(k).to_pylist() for k in range(2, 6)))]
@@ -385,9 +407,16 @@ def similar_links(docs: DataFrame, name: Callable[[str], int]) -> DataFrame:
     rooted = large.join(roots.withColumnRenamed("node", "c"), "c", "left").select("h", "n", "c", F.coalesce("root", "c").alias("root"))
     open_h = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     rooted = stored(rooted.join(open_h, "h"), "open-buckets")
-    members = membership(rooted.select("c").distinct(), "c")
-    sets = texts.mapInArrow(_sets(members, name), "c long, name long, s binary").select("c", "s").dropDuplicates(["c"])
-    held = rooted.join(stored(sets, "member-sets"), "c").select("h", "n", "c", "root", "s")
-    further = held.repartition("h").sortWithinPartitions("h", "n", "c").mapInArrow(_further_pairs, "a long, b long").distinct()
-    more = _verified(texts, stored(further.join(pairs, ["a", "b"], "left_anti"), "further-pairs"), name)
-    return named.union(more.select("name_a", "name_b"))
+    for cut in ("<u4", "<u8"):
+        members = membership(rooted.select("c").distinct(), "c")
+        sets = stored(texts.mapInArrow(_cut_sets(members, cut), "c long, s binary").dropDuplicates(["c"]), "member-sets")
+        held = rooted.join(sets, "c").select("h", "n", "c", "root", "s").repartition("h").sortWithinPartitions("h", "n", "c")
+        met = stored(held.mapInArrow(_further_pairs(cut), "h long, a long, b long"), "met-pairs")
+        more = _verified(texts, stored(met.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "further-pairs"), name)
+        named = named.union(more.select("name_a", "name_b"))
+        # a star that cut sets alone brought about: its bucket again, by whole sets
+        again = met.where("h is not null").join(more, ["a", "b"], "left_anti").select("h").distinct()
+        rooted = stored(rooted.join(again, "h"), "open-buckets")
+        if rooted.isEmpty():
+            break
+    return named
