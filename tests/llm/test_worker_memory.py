@@ -39,3 +39,38 @@ def test_scores_do_not_depend_on_what_is_remembered(monkeypatch):
     got = [net.scores([t])[0] for t in texts]
     assert max(abs(a - b) for a, b in zip(got, want)) < 1e-6
     assert len(net.known) <= 5 + 3
+
+
+def test_texts_are_cut_to_words_few_at_a_time(monkeypatch):
+    many = []
+    logits, ids = toxicity.Network.window_logits, packing.WordIds.__call__
+    monkeypatch.setattr(toxicity.Network, "window_logits", lambda net, texts: many.append(len(texts)) or logits(net, texts))
+    monkeypatch.setattr(packing.WordIds, "__call__", lambda encode, texts: many.append(len(texts)) or ids(encode, texts))
+    texts = [f"text {i}" if i % 7 else None for i in range(300)]
+    net = toxicity.Network.fresh({b"text": 0})
+    scores = net.scores(texts)
+    assert max(many) <= 128 and sum(many) == len(texts)
+    assert max(abs(a - net.scores([t])[0]) for a, t in zip(scores, texts)) < 1e-6
+    many.clear()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(range(300)), pa.array(texts)], names=["doc_id", "row", "text"])
+    assert [b["row"].to_pylist() for b in packing._pieces(packing.TOKENIZER)(iter([batch]))] == [list(range(300))]
+    assert max(many) <= 128 and sum(many) == len(texts)
+
+
+def test_a_worker_holds_no_freed_memory_after_a_task():
+    def held():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    pins = []
+
+    def hungry(batches):
+        for b in batches:
+            kept = [b"x" * 60_000 for _ in range(4000)]  # 240 MB of the heap, too small to be mapped each for itself
+            pins.append(b"x" * 60_000)  # above them, so that the heap can't just end lower
+            del kept
+            yield b
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["a"])
+    before = held()
+    assert [b["a"].to_pylist() for b in common.lean(hungry)(iter([batch, batch]))] == [[1], [1]]
+    assert held() - before < 60_000_000

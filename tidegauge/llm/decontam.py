@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import membership, possible, small_batches, stored, words_hashed
+from tidegauge.llm.common import lean, membership, possible, small_batches, stored, words_hashed
 
 #: Words of an overlap, and how many of them may differ: four fifths and more must agree.
 SPAN, DIFFER = 13, 2
@@ -205,14 +205,14 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     tests = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    seeds = stored(tests.mapInArrow(_items, "item_id long, item_pos long, mask int, hash long"), "seeds")
+    seeds = stored(tests.mapInArrow(lean(_items), "item_id long, item_pos long, mask int, hash long"), "seeds")
     rows = docs.select(
         F.col("doc_id").cast("long"),
         F.xxhash64("text").alias("text_hash"),
         F.monotonically_increasing_id().alias("region"),
         F.col("text").cast("string"),
     )
-    regions = stored(rows.mapInArrow(_regions(membership(seeds, "hash")), REGION), "regions")
+    regions = stored(rows.mapInArrow(lean(_regions(membership(seeds, "hash"))), REGION), "regions")
     hits = regions.select("region", "start", F.explode("hits").alias("h")).select("region", "start", "h.*")
     pairs = (
         hits.join(seeds, ["mask", "hash"])
@@ -220,7 +220,7 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
         .distinct()
     )
     placed = pairs.join(regions.drop("hits"), ["region", "start"]).join(tests, "item_id")
-    found = placed.select("doc_id", "text_hash", "item_id", "text", "words", "shift", "start").mapInArrow(_verify, VERIFIED)
+    found = placed.select("doc_id", "text_hash", "item_id", "text", "words", "shift", "start").mapInArrow(lean(_verify), VERIFIED)
     best = F.max_by(F.struct("item_start", "overlap_words", "same_words", "doc_start"), F.struct("overlap_words", "same_words", -F.col("doc_start"), -F.col("item_start")))
     return found.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b")).select("doc_id", "text_hash", "item_id", "b.*")
 

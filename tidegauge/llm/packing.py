@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegauge.llm.common import crc, remembered, small_batches, stored
+from tidegauge.llm.common import crc, lean, remembered, small_batches, stored
 
 CAPACITY, END_ID = 2048, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Words whose ids a worker remembers; a full memory is emptied, ids stay the same.
 REMEMBERED = 1_000_000
+#: Texts that are cut to words at a time; what a worker holds for them follows from it.
+TEXTS = 128
 #: Words of letters only are one piece for the merges.
 PLAIN = re.compile(r"[a-zß-öø-ž]+")
 #: A full stop or comma alone between a letter and white space is a piece of its own.
@@ -105,13 +107,14 @@ def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(path)
         for b in batches:
-            doc_ids, rows = b.column(0).to_pylist(), b.column(1).to_pylist()
             out = []
-            for doc_id, row, ids in zip(doc_ids, rows, encode([t or "" for t in b.column(2).to_pylist()])):
-                ids = np.append(ids, np.uint32(END_ID))
-                for at in range(0, len(ids), CAPACITY):
-                    part = ids[at : at + CAPACITY]
-                    out.append((doc_id, row, at, len(part), crc(part), len(ids)))
+            for first in range(0, b.num_rows, TEXTS):
+                doc_ids, rows, texts = (c.to_pylist() for c in b.slice(first, TEXTS).columns)
+                for doc_id, row, ids in zip(doc_ids, rows, encode([t or "" for t in texts])):
+                    ids = np.append(ids, np.uint32(END_ID))
+                    for at in range(0, len(ids), CAPACITY):
+                        part = ids[at : at + CAPACITY]
+                        out.append((doc_id, row, at, len(part), crc(part), len(ids)))
             columns = zip(*out) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), pa.int64()) for c in columns], names=[f.split()[0] for f in PIECES.split(", ")]
@@ -124,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Pieces of every row of documents, stored, so that their row numbers hold for all later steps."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string"))
-    return stored(rows.mapInArrow(_pieces(tokenizer), PIECES), "pieces")
+    return stored(rows.mapInArrow(lean(_pieces(tokenizer)), PIECES), "pieces")
 
 
 def shortest_pack_first(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -225,4 +228,4 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY)
 
     kept = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     named = ranked(rows).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")
-    return named.mapInArrow(placed, kept)
+    return named.mapInArrow(lean(placed), kept)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
-from tidegauge.llm.common import membership, possible, small_batches, stored
+from tidegauge.llm.common import lean, membership, possible, small_batches, stored
 
 Span = tuple[str, int, int]
 
@@ -258,7 +258,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def findings(docs: DataFrame) -> DataFrame:
     """Base spans of every row, the values in it, and the text of rows that have any, stored."""
     small_batches(docs.sparkSession)
-    return stored(_rows(docs).mapInArrow(_find, FOUND_DDL), "personal-data")
+    return stored(_rows(docs).mapInArrow(lean(_find), FOUND_DDL), "personal-data")
 
 
 def once_each(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def once_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     again = found.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bits = membership(again, "text_hash")
     rows = _rows(docs).select("text_hash", "text")
-    single, double = (rows.mapInArrow(_repeated(bits, yes), "text_hash long, text string") for yes in (False, True))
+    single, double = (rows.mapInArrow(lean(_repeated(bits, yes)), "text_hash long, text string") for yes in (False, True))
     return single.unionByName(double.dropDuplicates(["text_hash"]))
 
 
@@ -301,14 +301,14 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     n_e = texts.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).where("n_e > 1")
     n_e = stored(n_e, "values")
     held = found.where("held is not null").select("text_hash", "held").dropDuplicates(["text_hash"]).select("held")
-    pairs = held.mapInArrow(_companions(membership(n_e, "e")), "e long, term string").groupBy("e", "term").agg(F.count(F.lit(1)).alias("n_et"))
+    pairs = held.mapInArrow(lean(_companions(membership(n_e, "e"))), "e long, term string").groupBy("e", "term").agg(F.count(F.lit(1)).alias("n_et"))
     total = float(found.select("text_hash").distinct().count())
     pairs = pairs.where("n_et > 1")
     least = pairs.groupBy("term").agg(F.max("n_et").alias("least"))
     pairs = pairs.join(n_e, "e").where(F.col("n_e") < total).join(least, "term")
     pairs = stored(pairs.where(_disclosure(F.col("least"), total) >= THRESHOLD - 1e-6).drop("least"), "pairs")
     bits = membership(pairs.select("term").distinct().select(F.xxhash64("term").alias("h")), "h")
-    n_t = once_each(docs, found).mapInArrow(_terms(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    n_t = once_each(docs, found).mapInArrow(lean(_terms(bits)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     scored = pairs.join(n_t, "term").withColumn("disclosure", _disclosure(F.col("n_t"), total))
     return scored.where(F.col("disclosure") >= THRESHOLD).select("e", "term", "disclosure")
 
@@ -326,7 +326,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = findings(docs)
     revealing = stored(disclosures(docs, found).select("term").distinct(), "disclosures")
     bits = membership(revealing.select(F.xxhash64("term").alias("h")), "h")
-    places = _rows(docs).mapInArrow(_places(bits), "doc_id long, text_hash long, term string, a long, b long")
+    places = _rows(docs).mapInArrow(lean(_places(bits)), "doc_id long, text_hash long, term string, a long, b long")
     marked = (
         places.join(revealing, "term", "left_semi")
         .groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"))
@@ -386,4 +386,4 @@ def sanitised(docs: DataFrame) -> DataFrame:
     spans = personal_data(docs).where("spans <> ''").select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), F.col("spans").alias(SPANS)).distinct()
     same = docs["doc_id"].eqNullSafe(spans["s_id"]) & (F.xxhash64(docs["text"]) == spans["s_hash"])
     joined = docs.join(spans, same, "left").select(*[docs[c] for c in docs.columns], SPANS)
-    return joined.mapInArrow(_redact, StructType(docs.schema.fields))
+    return joined.mapInArrow(lean(_redact), StructType(docs.schema.fields))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidegauge.llm.common import WordHashes, components, membership, possible, ragged, small_batches, stored
+from tidegauge.llm.common import WordHashes, components, lean, membership, possible, ragged, small_batches, stored
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -99,7 +99,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that repeat in a sample of texts, sorted, and their counts."""
     parts = -(-max(1, docs.count()) // SAMPLE_DOCS)
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
-    counts = some.mapInArrow(_sampled, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = some.mapInArrow(lean(_sampled), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     top = counts.orderBy(F.col("n").desc(), "h").limit(COMMON).toArrow()
     h = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
@@ -364,18 +364,18 @@ def _verified(texts: DataFrame, pairs: DataFrame, name: Callable[[str], int]) ->
     Sketches meet first, some bytes for each text; only texts of pairs that
     their sketches allow are asked for their sets.
     """
-    short = texts.mapInArrow(_sketches(_either(pairs)), "c long, n long, bits binary").dropDuplicates(["c"])
+    short = texts.mapInArrow(lean(_sketches(_either(pairs))), "c long, n long, bits binary").dropDuplicates(["c"])
     short = stored(short, "sketches")
     left = short.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"))
     right = short.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y")
-    pairs = stored(met.mapInArrow(_possible_pairs, "a long, b long"), "possible-pairs")
-    sets = texts.mapInArrow(_sets(_either(pairs), name), "c long, name long, s binary").dropDuplicates(["c"])
+    pairs = stored(met.mapInArrow(lean(_possible_pairs), "a long, b long"), "possible-pairs")
+    sets = texts.mapInArrow(lean(_sets(_either(pairs), name)), "c long, name long, s binary").dropDuplicates(["c"])
     sets = stored(sets, "shingle-sets")
     left = sets.select(F.col("c").alias("a"), F.col("name").alias("name_a"), F.col("s").alias("x"))
     right = sets.select(F.col("c").alias("b"), F.col("name").alias("name_b"), F.col("s").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "name_a", "name_b", "x", "y")
-    return stored(both.mapInArrow(_compared, "a long, b long, name_a long, name_b long"), "similar-pairs")
+    return stored(both.mapInArrow(lean(_compared), "a long, b long, name_a long, name_b long"), "similar-pairs")
 
 
 def similar_links(docs: DataFrame, name: Callable[[str], int]) -> DataFrame:
@@ -393,9 +393,9 @@ def similar_links(docs: DataFrame, name: Callable[[str], int]) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    entries = texts.mapInArrow(_prefixes(*common_shingles(texts)), "h long, n int, i int, c long")
+    entries = texts.mapInArrow(lean(_prefixes(*common_shingles(texts))), "h long, n int, i int, c long")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows are small here
-    met = stored(entries.repartition("h").sortWithinPartitions("h", "n", "c", "i").mapInArrow(_first_pairs(ALL_PAIRS), "h long, n long, a long, b long"), "shingle-buckets")
+    met = stored(entries.repartition("h").sortWithinPartitions("h", "n", "c", "i").mapInArrow(lean(_first_pairs(ALL_PAIRS)), "h long, n long, a long, b long"), "shingle-buckets")
     small_batches(spark)
     pairs = stored(met.where("b is not null").select("a", "b").distinct(), "pairs")
     large = met.where("b is null").select("h", "n", F.col("a").alias("c"))
@@ -409,9 +409,9 @@ def similar_links(docs: DataFrame, name: Callable[[str], int]) -> DataFrame:
     rooted = stored(rooted.join(open_h, "h"), "open-buckets")
     for cut in ("<u4", "<u8"):
         members = membership(rooted.select("c").distinct(), "c")
-        sets = stored(texts.mapInArrow(_cut_sets(members, cut), "c long, s binary").dropDuplicates(["c"]), "member-sets")
+        sets = stored(texts.mapInArrow(lean(_cut_sets(members, cut)), "c long, s binary").dropDuplicates(["c"]), "member-sets")
         held = rooted.join(sets, "c").select("h", "n", "c", "root", "s").repartition("h").sortWithinPartitions("h", "n", "c")
-        met = stored(held.mapInArrow(_further_pairs(cut), "h long, a long, b long"), "met-pairs")
+        met = stored(held.mapInArrow(lean(_further_pairs(cut)), "h long, a long, b long"), "met-pairs")
         more = _verified(texts, stored(met.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "further-pairs"), name)
         named = named.union(more.select("name_a", "name_b"))
         # a star that cut sets alone brought about: its bucket again, by whole sets

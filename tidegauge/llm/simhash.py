@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidegauge.llm.common import components, small_batches, stored
+from tidegauge.llm.common import components, lean, small_batches, stored
 from tidegauge.llm.shingles import similar_links
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 3, 3
@@ -48,7 +48,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) for each row of documents."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_fingerprints), "doc_id long, fp long")
 
 
 def covering_masks(free: list[int], radius: int = RADIUS) -> list[list[int]]:

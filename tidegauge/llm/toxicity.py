@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import fold, remembered, small_batches
+from tidegauge.llm.common import fold, lean, remembered, small_batches
 from tidegauge.llm.learning import Adam, CharGrams, calibrate, labelled_sample, scatter, segment_sums, sigmoid
 
 #: Words of a window and words from one window to the next.
@@ -29,6 +29,8 @@ PARTS, HELD_OUT = 3, 1
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 #: Words whose inputs a task remembers; a full memory is emptied, scores stay the same.
 REMEMBERED = 100_000
+#: Texts that are cut to words and windows at a time; what a worker holds for them follows from it.
+TEXTS = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -196,7 +198,8 @@ class Network:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability that each whole text is toxic, from its most toxic window."""
-        most = np.array([x.max() for x in self.window_logits(texts)]) if texts else np.zeros(0)
+        parts = (self.window_logits(texts[at : at + TEXTS]) for at in range(0, len(texts), TEXTS))
+        most = np.array([x.max() for part in parts for x in part])
         return sigmoid(self.a * most + self.b)
 
 
@@ -275,7 +278,7 @@ def toxicity(docs: DataFrame, net: Network) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(_scored(net), "doc_id long, text_hash long, score double")
+    return rows.mapInArrow(lean(_scored(net)), "doc_id long, text_hash long, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -299,4 +302,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = net.scores(b.column(b.schema.get_field_index("text")).to_pylist())
             yield b.filter(pa.array(scores < CUT))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lean(clean), docs.schema)
