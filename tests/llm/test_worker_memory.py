@@ -43,10 +43,10 @@ def test_scores_do_not_depend_on_what_is_remembered(monkeypatch):
 
 def test_texts_are_cut_to_words_few_at_a_time(monkeypatch):
     many = []
-    logits, ids = toxicity.Network.window_logits, packing.WordIds.__call__
-    monkeypatch.setattr(toxicity.Network, "window_logits", lambda net, texts: many.append(len(texts)) or logits(net, texts))
+    rows_of, ids = toxicity.Network.rows_of, packing.WordIds.__call__
+    monkeypatch.setattr(toxicity.Network, "rows_of", lambda net, parts: rows_of(net, (many.append(len(p)) or p for p in parts)))
     monkeypatch.setattr(packing.WordIds, "__call__", lambda encode, texts: many.append(len(texts)) or ids(encode, texts))
-    texts = [f"text {i}" if i % 7 else None for i in range(300)]
+    texts = [f"text{i}" for i in range(300)]  # a word each
     net = toxicity.Network.fresh({b"text": 0})
     scores = net.scores(texts)
     assert max(many) <= 128 and sum(many) == len(texts)

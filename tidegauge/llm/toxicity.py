@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ PARTS, HELD_OUT = 3, 1
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 #: Words whose inputs a task remembers; a full memory is emptied, scores stay the same.
 REMEMBERED = 100_000
-#: Texts that are cut to words and windows at a time; what a worker holds for them follows from it.
+#: Texts that are cut to words at a time; what a worker holds for them follows from it.
 TEXTS = 64
 
 
@@ -160,29 +160,44 @@ class Network:
         grads["chars"] = scatter(grams, np.repeat(d_x[:, WORD_IN:] / sizes[:, None], sizes, axis=0), GRAMS)
         return grads
 
-    def rows_of(self, words: list[bytes]) -> np.ndarray:
+    def rows_of(self, parts: Iterable[list[bytes]]) -> np.ndarray:
         """Row of each word in the table of inputs already multiplied by the weights, made for each word once."""
         if len(self.known) > REMEMBERED:
             self.known, self.inputs = {}, self.inputs[:0]
-        found = list(map(self.known.get, words))
-        missing = [i for i, r in enumerate(found) if r is None]
-        if missing:
-            new = sorted({words[i] for i in missing})
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.inputs = np.concatenate([self.inputs, self.project(self.embed(new)[0])])
-            for i in missing:
-                found[i] = self.known[words[i]]
-        return np.array(found, np.int64)
+        found, new = [], {}
+        for words in parts:
+            rows = list(map(self.known.get, words))
+            for i, r in enumerate(rows):
+                if r is None:  # below zero until all new words are there
+                    rows[i] = -1 - new.setdefault(words[i], len(new))
+            found.append(np.array(rows, np.int64))
+        out = np.concatenate(found)
+        if new:
+            order = sorted(new)
+            places = np.empty(len(new), np.int64)
+            places[[new[w] for w in order]] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(order, range(len(self.known), len(self.known) + len(new))))
+            self.inputs = np.concatenate([self.inputs, self.project(self.embed(order)[0])])
+            late = np.flatnonzero(out < 0)
+            out[late] = places[-1 - out[late]]
+        return out
 
     def window_logits(self, texts: list[str | None]) -> list[np.ndarray]:
         """Logits of all overlapping windows of each whole text; a text without words has the logit of an empty window."""
-        lines = [words_of(t) for t in texts]
-        rows = self.rows_of([w for line in lines for w in line])
-        firsts = np.cumsum([0, *map(len, lines)])
-        starts = [window_starts(len(line)) for line in lines]
+        lengths: list[int] = []
+
+        def parts() -> Iterator[list[bytes]]:
+            for first in range(0, len(texts), TEXTS):
+                lines = [words_of(t) for t in texts[first : first + TEXTS]]
+                lengths.extend(map(len, lines))
+                yield [w for line in lines for w in line]
+
+        rows = self.rows_of(parts())
+        firsts = np.cumsum([0, *lengths])
+        starts = [window_starts(n) for n in lengths]
         counts = np.array([len(s) for s in starts])
         at = np.concatenate([first + s for first, s in zip(firsts, starts)])
-        size = np.repeat(np.minimum([len(line) for line in lines], WINDOW), counts)
+        size = np.repeat(np.minimum(lengths, WINDOW), counts)
         out = np.empty(len(at), np.float32)
         for whole in (True, False):
             mine = np.flatnonzero((size == WINDOW) == whole)
@@ -198,8 +213,7 @@ class Network:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability that each whole text is toxic, from its most toxic window."""
-        parts = (self.window_logits(texts[at : at + TEXTS]) for at in range(0, len(texts), TEXTS))
-        most = np.array([x.max() for part in parts for x in part])
+        most = np.array([x.max() for x in self.window_logits(texts)]) if texts else np.zeros(0)
         return sigmoid(self.a * most + self.b)
 
 
