@@ -181,3 +181,82 @@ def test_close_pairs_lose_no_link():
         assert len(set(zip(*parts))) == len(set(parts[0])) == len(set(parts[1]))
         similar += len(every)
     assert similar > 500
+
+
+def digest_of(text):
+    return shingles.digest(shingles.split(text))
+
+
+def test_sets_of_a_group_are_dealt_out_few_times(spark, monkeypatch):
+    """Near copies of some texts, most too far apart to be linked, share many buckets: their sets go to few of them."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(150)]
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(r.choice((2, 3, 4, 5, 6))):
+                copy[r.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000 + i, " ".join(word() for _ in range(60))) for i in range(50)]
+    counts, stored = {}, shingles.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        counts.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "stored", counted)
+    root = {digest_of(t): digest_of(t) for _, t in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in shingles.similar_links(frame(spark, rows), digest_of).collect():
+        root[find(x.a)] = find(x.b)
+    got = {x: find(x) for x in root}
+    sets = {digest_of(t): plain_set(t) for _, t in rows}
+    root = {x: x for x in root}
+    for a, b in combinations(sets, 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            root[find(a)] = find(b)
+    want = {x: find(x) for x in root}
+    assert len({(got[x], want[x]) for x in root}) == len(set(got.values())) == len(set(want.values())) > 53
+    assert 0 < counts["member-sets"] <= counts["open-buckets"] <= 3 * counts["member-sets"]
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_merged_buckets_hold_every_bucket(spark, shared):
+    """Buckets of the same members become one; those that have little in common stay as they are."""
+    r = random.Random(4)
+    rows = []
+    for h in range(40):
+        members = r.sample(range(30), 20) if shared else [0, *range(30 + 20 * h, 50 + 20 * h)]
+        rows += [(h, 10 + c, c, c // 2 * 2) for c in members]
+    got = {}
+    for x in shingles._merged(spark.createDataFrame(rows, "h long, n long, c long, root long")).collect():
+        got.setdefault(x.h, []).append((x.n, x.c, x.root))
+    buckets = {}
+    for h, *x in rows:
+        buckets.setdefault(h, set()).add(tuple(x))
+    assert all(len(x) == len(set(x)) for x in got.values())
+    assert all(any(b <= set(x) for x in got.values()) for b in buckets.values())
+    dealt = sum(map(len, got.values()))
+    assert dealt <= 60 if shared else dealt == len(rows) and len(got) == len(buckets)
+
+
+def test_rare_words_come_first_in_the_order():
+    hashes = common.WordHashes(shingles.SEED)
+    table = lambda w, n: pa.table({"h": pa.array(hashes(w).view(np.int64)), "n": pa.array(n, pa.int64())})
+    text = shingles.split("the of the of the of rare the of the of")
+    line = shingles._windows(hashes(text[:5]))
+    common_shingle = pa.table({"h": pa.array(line.view(np.int64)), "n": pa.array([9], pa.int64())})
+    for known in (common_shingle, common_shingle.slice(0, 0)):
+        ordered = shingles.Order(known, table([b"the", b"of"], [500, 400]))(hashes(text))
+        assert sorted(ordered) == list(shingles.shingles(text, hashes))
+        rare = set(shingles._windows(hashes(text))[2:7].tolist())
+        assert set(ordered[:5].tolist()) == rare
+        assert known.num_rows == 0 or ordered[-1] == line[0]

@@ -33,17 +33,19 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # the words of fingerprints
 
 
-def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of all shingles of a text; fewer words than SHINGLE are one shingle, none are none."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = hashes(words)
+def _windows(w: np.ndarray) -> np.ndarray:
+    """Hash of each shingle, in the order of the text, from the hashes of its words."""
     n, size = max(1, len(w) - SHINGLE + 1), min(SHINGLE, len(w))
     out = np.full(n, size, np.uint64)
     for k in range(size):
         out = (out + w[k : k + n]) * FACTORS[k]
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct hashes of all shingles of a text; fewer words than SHINGLE are one shingle, none are none."""
+    return np.unique(_windows(hashes(words))) if words else np.zeros(0, np.uint64)
 
 
 def digest(words: list[bytes]) -> int:
@@ -89,24 +91,61 @@ def may_be_similar(n: int, m: int, x: bytes, y: bytes) -> bool:
 
 
 def _sampled(batches: Batches) -> Batches:
+    """(word, h, n): shingles h and words h of texts, and how many times they stand there."""
     hashes = WordHashes(SEED, WORDS)
     for b in batches:
-        for text in b.column(0).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(shingles(split(text), hashes).view(np.int64))], names=["h"])
+        texts = [hashes(words) for text in b.column(0).to_pylist() if (words := split(text))]
+        for word, x in (False, [np.unique(_windows(w)) for w in texts]), (True, texts):
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *x]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([word] * len(h), pa.bool_()), pa.array(h.view(np.int64)), pa.array(n)], names=["word", "h", "n"])
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that repeat in a sample of texts, sorted, and their counts."""
+class Order:
+    """An order of all shingles, rare ones first, from what repeats in a sample of texts.
+
+    Shingles that repeat there come last, by how often they do. All others go
+    by how often their words do, so that those no sample holds twice, most of
+    a large table, still have an order: what has rare words is rare itself.
+    """
+
+    def __init__(self, common: pa.Table, words: pa.Table):
+        self.common, self.counts = self._sorted(common)
+        self.words, times = self._sorted(words)
+        self.weights = np.floor(8 * np.log2(np.maximum(1, times))).astype(np.int64)
+
+    @staticmethod
+    def _sorted(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        h = t.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        return h[order], t.column("n").to_numpy()[order].astype(np.int64)
+
+    @staticmethod
+    def _of(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Value of each x, 0 if it is none of the sorted keys."""
+        if not len(keys):
+            return np.zeros(len(x), np.int64)
+        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        return np.where(keys[at] == x, values[at], 0)
+
+    def __call__(self, w: np.ndarray) -> np.ndarray:
+        """Distinct shingles of a text of these word hashes, in order."""
+        x, first = np.unique(_windows(w), return_index=True)
+        weight = self._of(self.words, self.weights, w)
+        times = sum(weight[k : len(weight) - min(SHINGLE, len(w)) + 1 + k] for k in range(min(SHINGLE, len(w))))[first]
+        return x[np.argsort((self._of(self.common, self.counts, x) << 20) + times, kind="stable")]
+
+
+def sampled_order(docs: DataFrame) -> Order:
+    """An order of shingles by those and by the words of a sample of texts."""
     parts = -(-max(1, docs.count()) // SAMPLE_DOCS)
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
-    counts = some.mapInArrow(lean(_sampled), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    top = counts.orderBy(F.col("n").desc(), "h").limit(COMMON).toArrow()
-    h = top.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], top.column("n").to_numpy()[order]
+    counts = some.mapInArrow(lean(_sampled), "word boolean, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = stored(counts, "sampled-shingles")
+    top = [counts.where(F.col("word") == word).orderBy(F.col("n").desc(), "h").limit(COMMON).select("h", "n").toArrow() for word in (False, True)]
+    return Order(*top)
 
 
-def _prefixes(common: np.ndarray, counts: np.ndarray) -> Callable[[Batches], Batches]:
+def _prefixes(ordered: Order) -> Callable[[Batches], Batches]:
     """(h, n, i, c) for each shingle of a text's prefix, rare ones first: n is the size of its set, i the place, c the digest."""
 
     def run(batches: Batches) -> Batches:
@@ -122,13 +161,8 @@ def _prefixes(common: np.ndarray, counts: np.ndarray) -> Callable[[Batches], Bat
                 if len(seen) > TEXTS:
                     seen.clear()
                 seen.add(c)
-                x = shingles(words, hashes)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
-                    ordered = x[np.argsort(np.where(common[at] == x, counts[at], 0), kind="stable")]
-                else:
-                    ordered = x
-                out.append(ordered[: prefix_size(len(x))])
+                x = ordered(hashes(words))
+                out.append(x[: prefix_size(len(x))])
                 sizes.append((len(out[-1]), len(x), c))
             if out:
                 times, n, c = np.array(sizes, np.int64).T
@@ -378,6 +412,27 @@ def _verified(texts: DataFrame, pairs: DataFrame, name: Callable[[str], int]) ->
     return stored(both.mapInArrow(lean(_compared), "a long, b long, name_a long, name_b long"), "similar-pairs")
 
 
+def _merged(rooted: DataFrame) -> DataFrame:
+    """Rows (h, n, c, root) of buckets h, with buckets that hold mostly the same members made one, named by a root.
+
+    The prefixes of a group of near copies meet in a bucket for each shingle
+    that they share, and every bucket would be dealt the whole sets of all its
+    members. A bucket joins the root that has the most rows over all buckets,
+    of the roots in it; those that join one root become one wherever that at
+    least halves the rows to deal out. No pair is lost, as a merged bucket
+    holds all members of each of its buckets.
+    """
+    held = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m"))
+    rows = held.groupBy("root").agg(F.sum("m").alias("rows"))
+    joined = held.join(rows, "root").groupBy("h").agg(F.max(F.struct("rows", "root")).alias("most"), F.sum("m").alias("m"))
+    joined = stored(joined.select("h", F.col("most.root").alias("g"), "m"), "joined-buckets")
+    named = rooted.join(joined.select("h", "g"), "h")
+    once = stored(named.select("g", "n", "c", "root").distinct(), "merged-buckets")
+    fewer = once.groupBy("g").agg(F.count(F.lit(1)).alias("k")).join(joined.groupBy("g").agg(F.sum("m").alias("m")), "g").where("m >= 2 * k").select("g")
+    together = once.join(fewer, "g").withColumnRenamed("g", "h")
+    return together.unionByName(named.join(fewer, "g", "left_anti").select("h", "n", "c", "root"))
+
+
 def similar_links(docs: DataFrame, name: Callable[[str], int]) -> DataFrame:
     """Edges (a, b) that connect all texts linked by a shingle similarity of at least SIMILAR, each called by ``name``.
 
@@ -386,14 +441,16 @@ def similar_links(docs: DataFrame, name: Callable[[str], int]) -> DataFrame:
     whose sizes, places in the prefix and sketches allow the similarity is
     compared by its whole sets. Only pairs that are connected already are left
     out: large buckets are first compared with one member each and by
-    neighbours, then members of different components meet by how they differ
-    from what most of the bucket holds (``close_pairs``). Shingles common in a
-    sample come last in the order, which keeps buckets small and loses nothing.
+    neighbours, then buckets of mostly the same members are made one and members
+    of different components meet by how they differ from what most of the
+    bucket holds (``close_pairs``). Shingles that are common in a sample, or
+    made of words that are, come last in the order, which keeps buckets small
+    and loses nothing.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    entries = texts.mapInArrow(lean(_prefixes(*common_shingles(texts))), "h long, n int, i int, c long")
+    entries = texts.mapInArrow(lean(_prefixes(sampled_order(texts))), "h long, n int, i int, c long")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows are small here
     met = stored(entries.repartition("h").sortWithinPartitions("h", "n", "c", "i").mapInArrow(lean(_first_pairs(ALL_PAIRS)), "h long, n long, a long, b long"), "shingle-buckets")
     small_batches(spark)
@@ -406,7 +463,7 @@ def similar_links(docs: DataFrame, name: Callable[[str], int]) -> DataFrame:
     roots = components(links)
     rooted = large.join(roots.withColumnRenamed("node", "c"), "c", "left").select("h", "n", "c", F.coalesce("root", "c").alias("root"))
     open_h = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    rooted = stored(rooted.join(open_h, "h"), "open-buckets")
+    rooted = stored(_merged(stored(rooted.join(open_h, "h"), "open-members")), "open-buckets")
     for cut in ("<u4", "<u8"):
         members = membership(rooted.select("c").distinct(), "c")
         sets = stored(texts.mapInArrow(lean(_cut_sets(members, cut)), "c long, s binary").dropDuplicates(["c"]), "member-sets")
