@@ -111,13 +111,13 @@ class Order:
     def __init__(self, common: pa.Table, words: pa.Table):
         self.common, self.counts = self._sorted(common)
         self.words, times = self._sorted(words)
-        self.weights = np.floor(8 * np.log2(np.maximum(1, times))).astype(np.int64)
+        self.weights = np.floor(8 * np.log2(np.maximum(1, times))).astype(np.int16)
 
     @staticmethod
     def _sorted(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         h = t.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
-        return h[order], t.column("n").to_numpy()[order].astype(np.int64)
+        return h[order], t.column("n").to_numpy()[order].astype(np.int32)
 
     @staticmethod
     def _of(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -125,7 +125,7 @@ class Order:
         if not len(keys):
             return np.zeros(len(x), np.int64)
         at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-        return np.where(keys[at] == x, values[at], 0)
+        return np.where(keys[at] == x, values[at], 0).astype(np.int64)
 
     def __call__(self, w: np.ndarray) -> np.ndarray:
         """Distinct shingles of a text of these word hashes, in order."""
